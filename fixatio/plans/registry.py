@@ -5,10 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fixatio.functions import columns as C
 from fixatio.plans import oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,11 +43,10 @@ def present(df: DataFrame) -> DataFrame:
     """Doubles rounded, arrays as text: the comparable form of a result."""
     out = []
     for f in df.schema.fields:
-        name = f"`{f.name}`"
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(C.tidy(name).alias(f.name))
+            out.append(f"round(cast(`{f.name}` as double), 9) + 0.0D as `{f.name}`")
         elif isinstance(f.dataType, T.ArrayType):
-            out.append(F.array_join(F.col(name), ",").alias(f.name))
+            out.append(f"array_join(`{f.name}`, ',') as `{f.name}`")
         else:
-            out.append(F.col(name))
-    return df.select(*out)
+            out.append(f"`{f.name}`")
+    return df.selectExpr(*out)
