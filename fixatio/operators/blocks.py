@@ -83,58 +83,61 @@ def with_previous(
     return out.drop("_blk", "_first")
 
 
-def value_blocks(df: DataFrame, keys: Sequence[str], value: str, n_blocks: int) -> DataFrame:
-    """Add ``_blk``: an order-preserving block of ``value``, of even size inside each key.
+def cumulate_values(
+    counts: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str], n_blocks: int = 64
+) -> DataFrame:
+    """For one row per distinct value: ``<s>_before`` (sum over smaller values) and ``<s>_total``.
 
-    Cut points are approximate quantiles; only evenness depends on them, never the result.
+    The values of a key are cut into blocks of about even size at approximate quantiles;
+    only evenness depends on the cuts, never the result. The cuts and the totals come from
+    the same shuffled counts as the rows they join.
     """
     keys = list(keys)
     probs = F.array(*[F.lit((i + 1) / n_blocks) for i in range(n_blocks - 1)])
-    cut = F.percentile_approx(value, probs, F.lit(20 * n_blocks)).alias("_cuts")
+    per_key = [
+        F.array_distinct(F.percentile_approx(value, probs, F.lit(20 * n_blocks))).alias("_cuts"),
+        *[F.sum(s).alias(f"{s}_total") for s in sums],
+    ]
     if keys:
-        rows = df.join(df.groupBy(*keys).agg(cut), keys)
+        rows = counts.join(counts.groupBy(*keys).agg(*per_key), keys)
     else:
-        rows = df.crossJoin(F.broadcast(df.agg(cut)))  # one row of n_blocks numbers
-    return rows.withColumn(
-        "_blk", F.size(F.array_distinct(F.filter("_cuts", lambda c: c < F.col(value))))
-    ).drop("_cuts")
-
-
-def cumulate_values(
-    counts: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str], n_blocks: int = 64
-) -> DataFrame:
-    """For one row per distinct value: ``<s>_before`` (sum over smaller values) and ``<s>_total``."""
-    keys = list(keys)
-    rows = value_blocks(counts, keys, value, n_blocks)
+        rows = counts.crossJoin(F.broadcast(counts.agg(*per_key)))  # one row
+    below = F.filter("_cuts", lambda c: c < F.col(value))
+    rows = rows.withColumn("_blk", F.size(below)).drop("_cuts")
     part = [*keys, "_blk"]
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(UNB, -1)
-    whole = Window.partitionBy(*keys)
     sizes = rows.groupBy(*part).agg(*[F.sum(s).alias(f"_b_{s}") for s in sums])
     sizes = sizes.select(
         *part,
         *[F.coalesce(F.sum(f"_b_{s}").over(before), F.lit(0)).alias(f"_off_{s}") for s in sums],
-        *[F.sum(f"_b_{s}").over(whole).alias(f"{s}_total") for s in sums],
     )
     inside = Window.partitionBy(*part).orderBy(value).rowsBetween(UNB, -1)
-    for s in sums:
-        rows = rows.withColumn(f"{s}_before", F.coalesce(F.sum(s).over(inside), F.lit(0)))
-    rows = rows.join(sizes, part)
-    for s in sums:
-        rows = rows.withColumn(f"{s}_before", F.col(f"{s}_before") + F.col(f"_off_{s}"))
-    return rows.drop("_blk", *[f"_off_{s}" for s in sums])
+    local = {f"{s}_before": F.coalesce(F.sum(s).over(inside), F.lit(0)) for s in sums}
+    rows = rows.withColumns(local).join(sizes, part)
+    total = {f"{s}_before": F.col(f"{s}_before") + F.col(f"_off_{s}") for s in sums}
+    return rows.withColumns(total).drop("_blk", *[f"_off_{s}" for s in sums])
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Add the average rank of ``value`` in each key (ties share the mean of their ranks).
+def rank_table(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """Average rank of each distinct value in each key (ties share the mean of their ranks).
 
-    Ties are folded to one row before ranking, so a value that fills most of the
-    rows costs one row.
+    Ties are folded to one row first, so a value that fills most rows costs one row.
     """
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranks = cumulate_values(counts, keys, value, ["_n"]).select(
+    return cumulate_values(counts, keys, value, ["_n"]).select(
         *keys, value, (F.col("_n_before") + (F.col("_n") + 1) / 2).alias(out)
     )
-    return df.join(ranks, [*keys, value])
+
+
+def average_ranks(df: DataFrame, keys: Sequence[str], values: dict[str, str]) -> DataFrame:
+    """Add average ranks inside each key: ``new: value`` column names.
+
+    Reads ``df`` once per value and once for the rows, so give it as a cheap plan.
+    """
+    out = df
+    for new, value in values.items():
+        out = out.join(rank_table(df, keys, value, new), [*keys, value])
+    return out
 
 
 def exact_quantiles(

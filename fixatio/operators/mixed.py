@@ -179,7 +179,8 @@ class _State:
 
     dim: int
     best: np.ndarray
-    radius: float = 0.4
+    radius: float = 0.4  # spacing of the points
+    reach: float = 0.8  # longest step
     value: float = math.inf
     fit: dict | None = None
     centre: np.ndarray = field(default=None)
@@ -222,19 +223,24 @@ class _State:
         else:
             step = self.best - centre
         size = np.linalg.norm(step)
-        limit = 2 * h
-        if size > limit:
-            step, size = step * (limit / size), limit
+        if size < 1e-6 and k:  # flat in the middle of a hump
+            step = pts[k] - centre
+            size = np.linalg.norm(step)
+        capped = size > self.reach
+        if capped:
+            step, size = step * (self.reach / size), self.reach
         moved = np.linalg.norm(self.best - centre)
-        if f[0] <= before or before == math.inf:
+        if f[0] <= before:
             self.centre = centre + step
-            self.radius = max(min(h, max(size, h / 10)), 1e-5)
+            self.reach *= 2 if capped else 1
+            self.radius = min(max(size / 3, 2e-3), 0.4)
         else:
             self.centre = self.best
-            self.radius = max(h / 4, 1e-5)
-        small = size < 1e-5 and moved < 2e-5
-        flat = self.radius <= 1e-4 and abs(before - self.value) < 1e-10 * (1 + abs(self.value))
-        self.done = self.rounds >= 3 and (small or flat)
+            self.reach = max(self.reach / 4, 1e-4)
+            self.radius = max(h / 4, 2e-3)
+        small = size < 1e-4 and moved < 2e-4
+        flat = size < 5e-2 and abs(before - self.value) < 1e-6  # in units of deviance
+        self.done = self.rounds >= 4 and (small or flat)
 
 
 def _solve(row, p: int) -> dict:
@@ -304,7 +310,7 @@ def fit(
         chosen = None
         if full.fit is not None and full.done:
             cov = _covariance(full)
-            better = single.fit is None or full.value < single.value - 1e-7
+            better = single.fit is None or full.value < single.value - 1e-6
             if better and np.all(np.diag(cov) >= BOUNDARY):
                 chosen, structure = full, "intercept+slope"
         if chosen is None and single.fit is not None:

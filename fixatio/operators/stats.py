@@ -26,8 +26,7 @@ def long_form(
 
 def _rank_correlation(rows: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Spearman r and n per key: Pearson r of the average ranks."""
-    ranked = B.average_ranks(rows, keys, x, "_rx")
-    ranked = B.average_ranks(ranked, keys, y, "_ry")
+    ranked = B.average_ranks(rows, keys, {"_rx": x, "_ry": y})
     return ranked.groupBy(*keys).agg(
         F.corr("_rx", "_ry").alias("spearman_r"), F.count(F.lit(1)).alias("n")
     )

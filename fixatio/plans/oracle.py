@@ -294,6 +294,6 @@ def sql(final: str, extra: dict[str, str] | None = None) -> str:
     return f"with {body}\n{final.strip()}"
 
 
-def r9(expr: str, name: str | None = None) -> str:
-    """Rounded double under a name; the same rounding as on the Spark side."""
-    return f"round(({expr})::double, 9) + 0.0 as {name or expr}"
+def rounded(name: str, digits: int) -> str:
+    """Rounded double under its own name; the same rounding as on the Spark side."""
+    return f"round({name}::double, {digits}) + 0.0 as {name}"

@@ -21,6 +21,7 @@ def register(
     nums: list[str] | None = None,
     others: list[str] | None = None,
     extra: dict[str, str] | None = None,
+    digits: int = 7,
 ):
     """Register the decorated plan; ``final`` is a SELECT giving ``others`` and ``nums``.
 
@@ -28,9 +29,9 @@ def register(
     """
 
     def wrap(fn: Query) -> Query:
-        QUERIES[name] = lambda spark, sf_dir: present(fn(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: present(fn(spark, sf_dir), digits)
         if final is not None:
-            picked = [*(others or []), *[oracle.r9(f'"{n}"', f'"{n}"') for n in nums or []]]
+            picked = [*(others or []), *[oracle.rounded(f'"{n}"', digits) for n in nums or []]]
             ORACLE[name] = oracle.sql(
                 f"select {', '.join(picked)} from ({final.strip()})", extra
             )
@@ -39,12 +40,12 @@ def register(
     return wrap
 
 
-def present(df: DataFrame) -> DataFrame:
+def present(df: DataFrame, digits: int = 7) -> DataFrame:
     """Doubles rounded, arrays as text: the comparable form of a result."""
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(f"round(cast(`{f.name}` as double), 9) + 0.0D as `{f.name}`")
+            out.append(f"round(cast(`{f.name}` as double), {digits}) + 0.0D as `{f.name}`")
         elif isinstance(f.dataType, T.ArrayType):
             out.append(f"array_join(`{f.name}`, ',') as `{f.name}`")
         else:

@@ -295,12 +295,12 @@ def _event_rate(spark, d):
     """Steps between the events of a session, in minutes taken for milliseconds."""
     rows = I.table(spark, d, "events").select(
         F.floor(F.col("user_id") / 10).cast("long").alias("session_id"),
-        (F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000.0).alias("timestamp_ms"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
         F.col("event_id").alias("sample_idx"),
     )
-    first = rows.agg(F.min("timestamp_ms").alias("_t0"))
+    first = rows.agg(F.min("us").alias("_t0"))
     rows = rows.crossJoin(F.broadcast(first))  # one row
-    rows = rows.withColumn("timestamp_ms", F.col("timestamp_ms") - F.col("_t0")).drop("_t0")
+    rows = rows.withColumn("timestamp_ms", (F.col("us") - F.col("_t0")) / 60_000_000.0)
     return R.sampling_rate(rows, block_ms=500)
 
 
