@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from fixatio.plans import feature_queries, report_queries, scene_queries, stat_queries  # noqa: F401
+from fixatio.plans import (  # noqa: F401
+    feature_queries,
+    learn_queries,
+    report_queries,
+    scene_queries,
+    stat_queries,
+)
 from fixatio.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
