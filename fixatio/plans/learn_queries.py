@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fixatio.operators import features as X
 from fixatio.operators import learn as N
+from fixatio.operators import prepare as P
 from fixatio.plans import inputs as I
+from fixatio.plans.feature_queries import user_table
 from fixatio.plans.registry import register
 from fixatio.plans.stages import stage
 
@@ -78,6 +81,35 @@ def regression_linear_run(spark, d):
     return run(spark, d, "regression", "label", _pick(N.REGRESSORS, "Ridge Regression"))
 
 
+@register("binary_boosted_run")
+def binary_boosted_run(spark, d):
+    """Twenty boosting rounds."""
+    return run(spark, d, "binary", "high",
+               {"Gradient Boosting": lambda n: N.boosted_classifier(n, 20)},
+               {"First quarter": DIMS[:16]})
+
+
+def user_rows(spark, d):
+    """User means of static features with targets, missing features as 0."""
+    f = X.static_features().columns
+    return stage(
+        spark, d, "user_model_rows",
+        lambda: P.model_rows(P.targets(user_table(spark, d, "static")), f, P.SCORES),
+    )
+
+
+@register("user_regression_run")
+def user_regression_run(spark, d):
+    """Scores of users from their static features, both feature sets."""
+    return stage(
+        spark, d, "user_runs",
+        lambda: N.run_models(
+            spark, user_rows(spark, d), X.feature_sets("static"), "bdi_score", "uid", "regression",
+            _pick(N.REGRESSORS, "Ridge Regression"), store=_store(spark, d, "user"),
+        ),
+    )
+
+
 @register("model_by_feature_set")
 def model_by_feature_set(spark, d):
     return N.model_by_set(binary_linear_run(spark, d), "auc_roc", list(SETS))
