@@ -17,6 +17,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fixatio.functions import columns as C
 from fixatio.operators import blocks as B
 
 # --- fixed values: model settings ------------------------------------------------
@@ -166,11 +167,13 @@ def class_scores(pred: DataFrame, y: str = "label", p: str = "prediction") -> Da
     """Accuracy and support-weighted F1, one row."""
     cells = confusion(pred, y, p)
     acc = cells.agg(
-        (F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0))
-         / F.sum("n")).alias("accuracy")
+        C.ratio(
+            F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)),
+            F.sum("n"),
+        ).alias("accuracy")
     )
     f1 = class_report(cells).agg(
-        (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("f1_weighted")
+        C.ratio(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("f1_weighted")
     )
     return acc.crossJoin(f1)  # one row each
 
@@ -200,8 +203,8 @@ def roc_points(pred: DataFrame, y: str = "label", score: str = "score") -> DataF
     rows = B.cumulate_values(counts, [], "_neg", ["pos", "neg"])
     return rows.select(
         (-F.col("_neg")).alias("threshold"),
-        ((F.col("pos_before") + F.col("pos")) / F.col("pos_total")).alias("tpr"),
-        ((F.col("neg_before") + F.col("neg")) / F.col("neg_total")).alias("fpr"),
+        C.ratio(F.col("pos_before") + F.col("pos"), "pos_total").alias("tpr"),
+        C.ratio(F.col("neg_before") + F.col("neg"), "neg_total").alias("fpr"),
     )
 
 
@@ -213,7 +216,7 @@ def regression_scores(pred: DataFrame, y: str = "label", p: str = "prediction")
     """R2, mean absolute and root mean squared error, one row."""
     e = F.col(y) - F.col(p)
     return pred.agg(
-        (1 - F.sum(e * e) / (F.var_pop(y) * F.count(y))).alias("r2"),
+        (1 - F.try_divide(F.sum(e * e), F.var_pop(y) * F.count(y))).alias("r2"),
         F.avg(F.abs(e)).alias("mae"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
     )

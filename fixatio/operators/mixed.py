@@ -266,7 +266,8 @@ def _solve(row, p: int) -> dict:
 
 
 def fit(
-    spark: SparkSession, sums: DataFrame, model: Sequence[str], design: Design, max_rounds: int = 40
+    spark: SparkSession, sums: DataFrame, model: Sequence[str], design: Design,
+    max_rounds: int = 40, random_slope: bool = True,
 ) -> list[dict]:
     """REML fits of all models in ``sums``, as a list with one entry per model.
 
@@ -279,7 +280,7 @@ def fit(
     sizes = sums.groupBy(*model).agg(F.sum("n_outcome").alias("m")).filter(F.col("m") >= MIN_ROWS)
     ids = sorted((tuple(r[k] for k in model) for r in sizes.collect()), key=str)
     state = {(k, d): _State(d, np.array([0.5, 0.0, 0.5][:d] if d == 3 else [0.5]))
-             for k in ids for d in (3, 1)}
+             for k in ids for d in ((3, 1) if random_slope else (1,))}
     fields = ", ".join(f"`{k}` string" for k in model) + ", point int, a double, b double, c double"
     for _ in range(max_rounds):
         open_ = [key for key, s in state.items() if not s.done]
@@ -306,9 +307,9 @@ def fit(
             state[key].update([x for x, _ in found], [f for _, f in found])
     out = []
     for k in ids:
-        full, single = state[(k, 3)], state[(k, 1)]
+        full, single = state.get((k, 3)), state[(k, 1)]
         chosen = None
-        if full.fit is not None and full.done:
+        if full and full.fit is not None and full.done:
             cov = _covariance(full)
             better = single.fit is None or full.value < single.value - 1e-6
             if better and np.all(np.diag(cov) >= BOUNDARY):

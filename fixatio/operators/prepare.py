@@ -88,9 +88,8 @@ def with_z_scores(rows: DataFrame, cols: dict[str, str]) -> DataFrame:
     )
     out = rows.crossJoin(F.broadcast(stats))  # one row
     for new, old in cols.items():
-        out = out.withColumn(new, (F.col(old) - F.col(f"_m_{new}")) / F.col(f"_s_{new}")).drop(
-            f"_m_{new}", f"_s_{new}"
-        )
+        z = F.try_divide(F.col(old) - F.col(f"_m_{new}"), F.col(f"_s_{new}"))
+        out = out.withColumn(new, z).drop(f"_m_{new}", f"_s_{new}")
     return out
 
 

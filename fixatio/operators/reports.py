@@ -59,7 +59,7 @@ def clean_share(stimuli: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     return stimuli.agg(
         n.alias("n_stimulus"), clean.alias("n_clean"), (n - clean).alias("n_other"),
-        (100 * clean / n).alias("pct_clean"),
+        F.try_divide(100 * clean, n).alias("pct_clean"),
     )
 
 
@@ -90,7 +90,7 @@ def sessions_per_user_report(per_user: DataFrame) -> DataFrame:
     return per_user.agg(
         F.count(F.lit(1)).alias("n_users"), n_if(n == 1).alias("one_session"),
         n_if(n >= 2).alias("several_sessions"), F.max(n).alias("max_sessions"),
-        (100 * n_if(n > 1) / F.count(F.lit(1))).alias("pct_several"),
+        F.try_divide(100 * n_if(n > 1), F.count(F.lit(1))).alias("pct_several"),
     )
 
 

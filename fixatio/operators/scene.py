@@ -70,7 +70,7 @@ def general_metrics(fixations: DataFrame, block_rows: int = FIX_BLOCK) -> DataFr
         joined.groupBy(*KEY)
         .agg(
             F.sum("n").alias("fixation_count"),
-            (F.sum("dur") / F.sum("n_dur")).alias("mean_fixation_duration_ms"),
+            C.ratio(F.sum("dur"), F.sum("n_dur")).alias("mean_fixation_duration_ms"),
             F.coalesce(F.sum("dur"), F.lit(0.0)).alias("total_fixation_duration_ms"),
             (
                 F.coalesce(F.sum("path"), F.lit(0.0))

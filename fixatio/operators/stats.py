@@ -28,7 +28,10 @@ def _rank_correlation(rows: DataFrame, keys: Sequence[str], x: str, y: str) -> D
     """Spearman r and n per key: Pearson r of the average ranks."""
     ranked = B.average_ranks(rows, keys, {"_rx": x, "_ry": y})
     return ranked.groupBy(*keys).agg(
-        F.corr("_rx", "_ry").alias("spearman_r"), F.count(F.lit(1)).alias("n")
+        F.try_divide(
+            F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry")
+        ).alias("spearman_r"),
+        F.count(F.lit(1)).alias("n"),
     )
 
 

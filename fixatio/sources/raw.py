@@ -58,7 +58,7 @@ def read_samples(spark: SparkSession, path: str, with_index: bool = True) -> Dat
         *[C.number(n).alias(n.lower()) for n in RAW_COLUMNS[1:8]],
         C.flag("BLINK").alias("blink"),
         C.real_image("IMAGE").alias("image"),
-        C.number("SCENE_INDEX").cast("int").alias("scene_index"),
+        C.number("SCENE_INDEX").try_cast("int").alias("scene_index"),
     ).filter(F.col("scene_index").isNotNull())
 
 
