@@ -32,9 +32,10 @@ def null_safe(left: str, right: str, keys: Sequence[str]) -> Column:
 
 
 def number_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence, block_col: Column, out: str
+    df: DataFrame, keys: Sequence[str], order: Sequence, block_col: Column, out: str,
+    total: str | None = None,
 ) -> DataFrame:
-    """Row number 1.. inside each key, in the given order.
+    """Row number 1.. inside each key, in the given order, and the key's row count if asked.
 
     ``block_col`` must not decrease along the order.
     """
@@ -43,7 +44,10 @@ def number_rows(
     part = [*keys, "_blk"]
     sizes = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(UNB, -1)
-    offsets = sizes.select(*part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    add = [F.sum("_n").over(Window.partitionBy(*keys)).alias(total)] if total else []
+    offsets = sizes.select(
+        *part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), *add
+    )
     local = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
     return (
         rows.withColumn(out, local)
@@ -83,6 +87,15 @@ def with_previous(
     return out.drop("_blk", "_first")
 
 
+def _search(value: str, lo: int, hi: int) -> str:
+    """SQL for the number of cut points below a value: binary search over ``_cuts``."""
+    if lo == hi:
+        return str(lo)
+    mid = (lo + hi) // 2
+    up, down = _search(value, mid + 1, hi), _search(value, lo, mid)
+    return f"if(`{value}` > _cuts[{mid}], {up}, {down})"
+
+
 def cumulate_values(
     counts: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str], n_blocks: int = 64
 ) -> DataFrame:
@@ -95,15 +108,14 @@ def cumulate_values(
     keys = list(keys)
     probs = F.array(*[F.lit((i + 1) / n_blocks) for i in range(n_blocks - 1)])
     per_key = [
-        F.array_distinct(F.percentile_approx(value, probs, F.lit(20 * n_blocks))).alias("_cuts"),
+        F.percentile_approx(value, probs, F.lit(20 * n_blocks)).alias("_cuts"),
         *[F.sum(s).alias(f"{s}_total") for s in sums],
     ]
     if keys:
         rows = counts.join(counts.groupBy(*keys).agg(*per_key), keys)
     else:
         rows = counts.crossJoin(F.broadcast(counts.agg(*per_key)))  # one row
-    below = F.filter("_cuts", lambda c: c < F.col(value))
-    rows = rows.withColumn("_blk", F.size(below)).drop("_cuts")
+    rows = rows.withColumn("_blk", F.expr(_search(value, 0, n_blocks - 1))).drop("_cuts")
     part = [*keys, "_blk"]
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(UNB, -1)
     sizes = rows.groupBy(*part).agg(*[F.sum(s).alias(f"_b_{s}") for s in sums])

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -116,10 +119,8 @@ def cross_predict(rows: DataFrame, make: Maker, k: int = FOLDS) -> DataFrame:
     """
     sizes = {r["fold"]: r["n"] for r in rows.groupBy("fold").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
-    out = None
-    for f in range(k):
-        if f not in sizes or sizes[f] == total:
-            continue
+
+    def one_fold(f: int) -> DataFrame:
         fitted = make(total - sizes[f]).fit(rows.filter(F.col("fold") != f))
         pred = fitted.transform(rows.filter(F.col("fold") == f))
         score = (
@@ -127,11 +128,14 @@ def cross_predict(rows: DataFrame, make: Maker, k: int = FOLDS) -> DataFrame:
             else F.lit(None).cast("double")
         )
         drop = {"features", "scaled", "rawPrediction", "probability"}
-        pred = pred.withColumn("score", score).select(
+        return pred.withColumn("score", score).select(
             *[c for c in pred.columns if c not in drop], "score"
         )
-        out = pred if out is None else out.unionByName(pred)
-    return out
+
+    folds = [f for f in range(k) if f in sizes and sizes[f] < total]
+    with ThreadPool(len(folds)) as pool:  # the fits are Spark jobs of their own
+        parts = pool.map(inheritable_thread_target(rows.sparkSession)(one_fold), folds)
+    return reduce(DataFrame.unionByName, parts)
 
 
 # --- scores ------------------------------------------------------------------------

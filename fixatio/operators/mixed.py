@@ -125,53 +125,59 @@ def user_sums(rows: DataFrame, model: Sequence[str], design: Design) -> DataFram
     return rows.filter(F.col("y").isNotNull()).groupBy(*model, "uid").agg(*aggs)
 
 
-def _evaluate(sums: DataFrame, model: Sequence[str], design: Design, points) -> DataFrame:
-    """Sums over users of the pieces of the likelihood, per model and parameter point.
+def _pieces(design: Design) -> tuple[list[str], list[str]]:
+    """SQL of the per-user weights and of the sums over users.
 
-    With L = [[a, 0], [b, c]], K = I + L'Z'ZL and W = L K^-1 L', the pieces are
+    With L = [[a, 0], [b, c]], K = I + L'Z'ZL and W = L K^-1 L', the sums are those of
     X'X - X'Z W Z'X, X'y - X'Z W Z'y, y'y - y'Z W Z'y and log|K|.
     """
     p, s = len(design.terms), design.slope
 
     def xx(i, j):
-        return F.col(f"xx_{min(i, j)}_{max(i, j)}")
+        return f"xx_{min(i, j)}_{max(i, j)}"
 
-    a, b, c = F.col("a"), F.col("b"), F.col("c")
     g00, g01, g11 = xx(0, 0), xx(0, s), xx(s, s)
-    rows = (
+    k = [
+        f"1 + a * ({g00} * a + {g01} * b) + b * ({g01} * a + {g11} * b) as k00",
+        f"c * (a * {g01} + b * {g11}) as k01",
+        f"1 + c * c * {g11} as k11",
+    ]
+
+    def less(full, left, right):
+        return (f"sum({full} - (w00 * {left[0]} * {right[0]} + w01 * ({left[0]} * {right[1]} + "
+                f"{left[1]} * {right[0]}) + w11 * {left[1]} * {right[1]}))")
+
+    zx = [(xx(0, i), xx(s, i)) for i in range(p)]
+    zy = ("xy_0", f"xy_{s}")
+    sums = ["sum(n) as n", "count(1) as n_users", "sum(ln(det)) as logdet",
+            f"{less('yy', zy, zy)} as q"]
+    sums += [f"{less(f'xy_{i}', zx[i], zy)} as b_{i}" for i in range(p)]
+    sums += [f"{less(xx(i, j), zx[i], zx[j])} as a_{i}_{j}" for i in range(p) for j in range(i, p)]
+    return k, sums
+
+
+_WEIGHTS = [
+    "a * a * k11 / det as w00",
+    "a * (b * k11 - c * k01) / det as w01",
+    "(b * (b * k11 - c * k01) + c * (c * k00 - b * k01)) / det as w11",
+]
+
+
+def _evaluate(sums: DataFrame, model: Sequence[str], design: Design, points) -> DataFrame:
+    """Pieces of the likelihood, summed over users, per model and parameter point."""
+    k, totals = _pieces(design)
+    return (
         sums.filter("n > 0").alias("u")
         .join(F.broadcast(points).alias("p"),  # models x points, both fixed by the caller
-              [F.col(f"u.{k}").eqNullSafe(F.col(f"p.{k}")) for k in model])
+              [F.col(f"u.{m}").eqNullSafe(F.col(f"p.{m}")) for m in model])
         .select("u.*", "p.point", "p.a", "p.b", "p.c")
-        .withColumn("k00", 1 + a * (g00 * a + g01 * b) + b * (g01 * a + g11 * b))
-        .withColumn("k01", c * (a * g01 + b * g11))
-        .withColumn("k11", 1 + c * c * g11)
-        .withColumn("det", F.col("k00") * F.col("k11") - F.col("k01") * F.col("k01"))
-        .withColumn("w00", a * a * F.col("k11") / F.col("det"))
-        .withColumn("w01", a * (b * F.col("k11") - c * F.col("k01")) / F.col("det"))
-        .withColumn(
-            "w11",
-            (b * (b * F.col("k11") - c * F.col("k01")) + c * (c * F.col("k00") - b * F.col("k01")))
-            / F.col("det"),
-        )
+        .selectExpr("*", *k)
+        .selectExpr("*", "k00 * k11 - k01 * k01 as det")
+        .selectExpr("*", *_WEIGHTS)
+        .groupBy(*model, "point")
+        .agg(*[F.expr(e) for e in totals])
     )
 
-    def less(full, l0, l1, r0, r1):
-        w00, w01, w11 = F.col("w00"), F.col("w01"), F.col("w11")
-        return full - (w00 * l0 * r0 + w01 * (l0 * r1 + l1 * r0) + w11 * l1 * r1)
-
-    zy = F.col("xy_0"), F.col(f"xy_{s}")
-    aggs = [F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_users"),
-            F.sum(F.log("det")).alias("logdet"), F.sum(less(F.col("yy"), *zy, *zy)).alias("q")]
-    for i in range(p):
-        zi = xx(0, i), xx(s, i)
-        aggs.append(F.sum(less(F.col(f"xy_{i}"), *zi, *zy)).alias(f"b_{i}"))
-        for j in range(i, p):
-            aggs.append(
-                F.sum(less(xx(i, j), *zi, xx(0, j), xx(s, j))).alias(f"a_{i}_{j}")
-            )
-    return rows.groupBy(*model, "point").agg(*aggs)
-
 
 @dataclass
 class _State:

@@ -50,33 +50,24 @@ def join_forms(df: DataFrame, forms: DataFrame, cols: Sequence[str] = ("uid", *S
 
 
 def trial_numbers(trials: DataFrame, block_scenes: int = 1 << 16) -> DataFrame:
-    """``trial_num`` 1.. in scene order inside each session."""
+    """``trial_num`` 1.. in scene order inside each session, and the session's ``n_trials``."""
     return B.number_rows(
-        trials, ["session_id"], ["scene_index"], B.block("scene_index", block_scenes), "trial_num"
+        trials, ["session_id"], ["scene_index"], B.block("scene_index", block_scenes),
+        "trial_num", "n_trials",
     )
 
 
 def with_trial_norm(trials: DataFrame) -> DataFrame:
     """Trial number scaled to 0..1 inside the session; 0 where there is one trial only."""
-    span = trials.groupBy("session_id").agg(
-        F.min("trial_num").alias("_lo"), F.max("trial_num").alias("_hi")
-    )
-    part = (F.col("trial_num") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    return (
-        trials.join(span, "session_id")
-        .withColumn("trial_norm", F.when(F.col("_hi") > F.col("_lo"), part).otherwise(0.0))
-        .drop("_lo", "_hi")
-    )
+    part = (F.col("trial_num") - 1) / (F.col("n_trials") - 1)
+    return trials.withColumn("trial_norm", F.when(F.col("n_trials") > 1, part).otherwise(0.0))
 
 
 def with_thirds(trials: DataFrame) -> DataFrame:
     """First and last third of each session's trials (``is_early``); the middle is dropped."""
-    sizes = trials.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_trials"))
     n = F.col("n_trials")
-    return (
-        trials.join(sizes, "session_id")
-        .withColumn("is_early", F.col("trial_num") <= n / 3)
-        .filter(F.col("is_early") | (F.col("trial_num") > 2 * n / 3))
+    return trials.withColumn("is_early", F.col("trial_num") <= n / 3).filter(
+        F.col("is_early") | (F.col("trial_num") > 2 * n / 3)
     )
 
 

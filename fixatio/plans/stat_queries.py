@@ -170,13 +170,21 @@ from (select *, case when hi > lo then (trial_num - lo) / (hi - lo)::double else
                 as trial_num from clean))) join forms using (session_id)"""}
 
 
+def gaze_trials(spark, d):
+    """Stored table of clean trials with position and standard scores."""
+    return stage(
+        spark, d, "trials",
+        lambda: P.mixed_model_trials(I.scenes(spark, d), I.forms(spark, d)),
+    )
+
+
 @register(
     "standard_scores", "select * from zrows",
     others=["session_id", "scene_index", "uid", "trial_num"],
     nums=["trial_norm", "phq9_z", "bdi_z"], extra=Z,
 )
 def standard_scores(spark, d):
-    return P.mixed_model_trials(I.scenes(spark, d), I.forms(spark, d)).select(
+    return gaze_trials(spark, d).select(
         "session_id", "scene_index", "uid", "trial_num", "trial_norm", "phq9_z", "bdi_z"
     )
 
@@ -202,8 +210,8 @@ from (select *, min(trial_num) over (partition by score_group) as glo,
         max(trial_num) over (partition by score_group) as ghi from halves)"""},
 )
 def trajectories(spark, d):
-    rows = P.mixed_model_trials(I.scenes(spark, d), I.forms(spark, d))
-    return S.trajectories(P.median_split(rows, "phq9_score"), L.INVARIANT_METRICS)
+    rows = P.median_split(gaze_trials(spark, d), "phq9_score")
+    return S.trajectories(rows, L.INVARIANT_METRICS)
 
 
 @register(
@@ -219,9 +227,7 @@ def trajectories(spark, d):
     extra={**Z, **SPLIT},
 )
 def valence_by_group(spark, d):
-    rows = P.median_split(
-        P.mixed_model_trials(I.scenes(spark, d), I.forms(spark, d)), "phq9_score"
-    )
+    rows = P.median_split(gaze_trials(spark, d), "phq9_score")
     suffix = F.create_map(*[F.lit(v) for p in M.PAIRS for v in (p.name, p.suffix)])
     long = L.melt_outcomes(rows).filter("score_group is not null").withColumn(
         "pair_suffix", suffix[F.col("scene_valence_pair")]
@@ -280,8 +286,6 @@ def false_discovery(spark, d):
 
 # --- mixed models -----------------------------------------------------------------
 
-def gaze_trials(spark, d):
-    return P.mixed_model_trials(I.scenes(spark, d), I.forms(spark, d))
 
 
 def temporal_sums(spark, d, score):
