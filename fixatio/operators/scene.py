@@ -188,12 +188,12 @@ def with_valence(df: DataFrame, stimuli: DataFrame, image: str, out: str) -> Dat
 _PER_IMAGE = ["dwell_time_ms", "fixation_count", "fixation_proportion", "revisit_count"]
 
 
-def valence_metrics(slots: DataFrame) -> DataFrame:
-    """Per-valence, per-slot and bias columns of each scene.
+def valence_columns() -> list[Column]:
+    """Aggregates for the per-valence, per-slot and bias columns of each scene.
 
-    ``slots`` has one row per scene and shown image, with its position, valence, the
-    image's metrics (NULL if never fixated), the scene's first fixated image and whether
-    the scene has any fixation.
+    They fold one row per scene and shown image, with its position, valence, the image's
+    metrics (NULL if never fixated), the scene's first fixated image and whether the scene
+    has any fixation.
     """
     looked = F.col("has_fixations")
     out = []
@@ -240,7 +240,7 @@ def valence_metrics(slots: DataFrame) -> DataFrame:
             F.when(F.col("image") == F.col("first_fixation_image"), F.col("valence"))
         ).alias("first_fixation_valence"),
     ]
-    return slots.groupBy(*KEY).agg(*out)
+    return out
 
 
 def scene_metrics(
@@ -249,25 +249,27 @@ def scene_metrics(
     schedule: DataFrame | None = None,
     gates: M.Gates = M.Gates(),
     fixations: DataFrame | None = None,
+    scene_rows: DataFrame | None = None,
     block_rows: int = M.BLOCK_ROWS,
     keep_invalid_sessions: bool = False,
 ) -> DataFrame:
     """The wide scene table: one row per scene of every session that passes its gate.
 
-    ``fixations`` may be given when they are stored already, so that the samples are
-    ordered once only.
+    ``fixations`` and ``scene_rows`` (see :func:`events.scene_samples`) are read several
+    times; give them as stored tables where the samples are many.
     """
     if fixations is None:
         fixations = E.extract_fixations(samples, block_rows)
-    scenes = E.scene_samples(samples, gates)
+    if scene_rows is None:
+        scene_rows = E.scene_samples(samples, gates)
+    scenes = scene_rows
     if not keep_invalid_sessions:
-        valid = E.session_quality(scenes, gates).filter("is_valid").select("session_id")
-        scenes = scenes.join(valid, "session_id", "left_semi")
+        valid = E.session_quality(scene_rows, gates).filter("is_valid").select("session_id")
+        scenes = scene_rows.join(valid, "session_id", "left_semi")
     shown = shown_images(scenes, schedule)
     near = with_neighbour(fixations)
-    general = general_metrics(fixations)
     base = (
-        shown.join(general, KEY, "left")
+        shown.join(general_metrics(fixations), KEY, "left")
         .join(E.blink_counts(samples, block_rows), KEY, "left")
         .fillna(
             0,
@@ -275,37 +277,45 @@ def scene_metrics(
              "blink_count"],
         )
     )
+    # One row per shown image that carries its scene along, so that the scene is put
+    # together in one go; a scene without images keeps one row.
     slots = base.select(
         *KEY, "folder", "first_fixation_image", "on_image_ms",
         (F.col("fixation_count") > 0).alias("has_fixations"),
-        F.posexplode("image_ids").alias("slot", "image"),
+        F.struct(*[c for c in base.columns if c not in KEY]).alias("scene"),
+        F.posexplode_outer("image_ids").alias("slot", "image"),
     ).join(image_metrics(near), [*KEY, "image"], "left")
     share = C.ratio("dwell_time_ms", "on_image_ms")
     slots = slots.withColumn("fixation_proportion", F.coalesce(share, F.lit(0.0)))
     if stimuli is None:
-        slots = slots.withColumn("valence", F.lit("unknown"))
+        unknown = F.when(F.col("image").isNotNull(), F.lit("unknown"))
+        slots = slots.withColumn("valence", unknown)
     else:
         slots = with_valence(slots, stimuli, "image", "valence")
+    whole = slots.groupBy(*KEY).agg(F.first("scene").alias("scene"), *valence_columns())
+    images = F.col("scene.n_images")
     seconds = F.col("duration_ms") / 1000.0
-    cells = (F.col("n_images") + 1) * (F.col("n_images") + 1)
-    has_images = F.col("n_images") > 0
+    cells = (images + 1) * (images + 1)
     wide = (
-        base.join(valence_metrics(slots), KEY, "left")
-        .join(transition_metrics(transition_counts(near, shown)), KEY, "left")
-        .withColumn("fixation_rate_per_sec", C.ratio("fixation_count", seconds))
-        .withColumn("saccade_rate_per_sec", C.ratio("saccade_count", seconds))
-        .withColumn("blink_rate_per_min", C.ratio("blink_count", seconds / 60))
+        whole.join(transition_metrics(transition_counts(near, shown)), KEY, "left")
         .withColumn(
             "transition_matrix_density",
-            F.when(has_images, F.coalesce("transition_cells", F.lit(0)) / cells),
+            F.when(images > 0, F.coalesce("transition_cells", F.lit(0)) / cells),
         )
         .withColumn(
-            "gaze_transition_entropy", F.when(has_images, F.coalesce("_h", F.lit(0.0)) + 0.0)
+            "gaze_transition_entropy", F.when(images > 0, F.coalesce("_h", F.lit(0.0)) + 0.0)
         )
-        .withColumn("valence_left", F.when(F.col("schedule_provided"), F.col("valence_img0")))
-        .withColumn("valence_right", F.when(F.col("schedule_provided"), F.col("valence_img1")))
+        .withColumn("scene_valence_pair", F.when(images > 0, F.col("scene_valence_pair")))
+        .select("*", "scene.*")
+        .withColumns({
+            "fixation_rate_per_sec": C.ratio("fixation_count", seconds),
+            "saccade_rate_per_sec": C.ratio("saccade_count", seconds),
+            "blink_rate_per_min": C.ratio("blink_count", seconds / 60),
+            "valence_left": F.when(F.col("schedule_provided"), F.col("valence_img0")),
+            "valence_right": F.when(F.col("schedule_provided"), F.col("valence_img1")),
+        })
     )
-    return wide.select(*[F.col(c).cast(t).alias(c) for c, t in SCENE_COLUMNS.items()])
+    return wide.selectExpr(*[f"cast(`{c}` as {t}) as `{c}`" for c, t in SCENE_COLUMNS.items()])
 
 
 def _scene_columns() -> dict[str, str]:

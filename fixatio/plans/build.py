@@ -26,17 +26,19 @@ def build_sessions(spark: SparkSession, recordings: str, forms: str, target: str
 
 
 def build_scene_metrics(
-    spark: SparkSession, recordings: str, config_path: str, fixations_target: str, target: str,
-    gates: M.Gates = M.Gates(), with_index: bool = True,
+    spark: SparkSession, recordings: str, config_path: str, fixations_target: str,
+    scene_rows_target: str, target: str, gates: M.Gates = M.Gates(), with_index: bool = True,
 ) -> None:
-    """Fixations are stored on the way, so that the samples are put in order only once."""
+    """Fixations and scene facts are stored on the way, so samples are put in order only once."""
     samples = raw.read_samples(spark, recordings, with_index)
     TB.write_table(E.extract_fixations(samples), fixations_target)
+    TB.write_table(E.scene_samples(samples, gates), scene_rows_target)
     wide: DataFrame = S.scene_metrics(
         samples,
         raw.read_stimuli(spark, config_path),
         raw.read_schedule(spark, config_path),
         gates,
         fixations=TB.read_table(spark, fixations_target),
+        scene_rows=TB.read_table(spark, scene_rows_target),
     )
     TB.write_table(TB.lists_as_json(wide), target, partition_by=["folder"])

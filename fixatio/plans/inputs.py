@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stimuli(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _stimuli(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part is an image of every folder; its type and name give category and labels."""
     word = F.split("p_name", " ")[0]
     label = F.when(word.isin(*NEGATIVE_WORDS), "Sad").otherwise("Happy Face")
@@ -44,7 +44,7 @@ def stimuli(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scene 2p + 1 of a folder shows two images, by rank of the part inside its valence."""
     ranked = B.number_rows(
         stimuli(spark, sf_dir), ["folder", "valence"], ["p_partkey"],
@@ -138,10 +138,24 @@ def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 from fixatio.model import BDI as _BDI, PHQ9 as _PHQ9  # noqa: E402
 
 
+def stimuli(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(spark, sf_dir, "stimuli", lambda: _stimuli(spark, sf_dir))
+
+
+def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(spark, sf_dir, "schedule", lambda: _schedule(spark, sf_dir))
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(spark, sf_dir, "samples", lambda: _samples(spark, sf_dir))
 
 
+def scene_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(
+        spark, sf_dir, "scene_rows", lambda: E.scene_samples(samples(spark, sf_dir))
+    )
+
+
 def fixations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(
         spark, sf_dir, "fixations", lambda: E.extract_fixations(samples(spark, sf_dir))
@@ -158,5 +172,6 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
             stimuli(spark, sf_dir),
             schedule(spark, sf_dir),
             fixations=fixations(spark, sf_dir),
+            scene_rows=scene_rows(spark, sf_dir),
         ),
     )

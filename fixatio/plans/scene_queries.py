@@ -20,7 +20,7 @@ KEY = M.SCENE_KEY
     others=["image_id", "folder", "category", "valence", "labels", "url"],
 )
 def stimuli_table(spark, d):
-    return I.stimuli(spark, d).select(
+    return I._stimuli(spark, d).select(
         "image_id", "folder", "category", "valence", F.to_json("labels").alias("labels"), "url"
     )
 
@@ -31,7 +31,7 @@ def stimuli_table(spark, d):
     others=["folder", "scene_index", "image_left_id", "image_right_id"],
 )
 def stimulus_schedule(spark, d):
-    return I.schedule(spark, d)
+    return I._schedule(spark, d)
 
 
 @register(
@@ -163,7 +163,7 @@ def scene_metrics(spark, d):
     """The whole path from samples to the wide table, not read from a stored stage."""
     return S.scene_metrics(
         I.samples(spark, d), I.stimuli(spark, d), I.schedule(spark, d),
-        fixations=I.fixations(spark, d),
+        fixations=I.fixations(spark, d), scene_rows=I.scene_rows(spark, d),
     )
 
 

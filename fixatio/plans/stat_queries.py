@@ -113,10 +113,11 @@ _PAIRS = [(a, b) for i, a in enumerate(OVERVIEW) for b in OVERVIEW[i + 1:]]
     "(count(*) over (partition by metric_a, metric_b, x) - 1) / 2.0 as rx, "
     "rank() over (partition by metric_a, metric_b order by y) + "
     "(count(*) over (partition by metric_a, metric_b, y) - 1) / 2.0 as ry from ("
-    + " union all ".join(
-        f"select '{a}' as metric_a, '{b}' as metric_b, round({a}, 9) as x, round({b}, 9) as y from stimuli_rows "
-        f"where {a} is not null and {b} is not null" for a, b in _PAIRS)
-    + ")) group by metric_a, metric_b)",
+    "select p.a as metric_a, p.b as metric_b, p.x, p.y from (select unnest(["
+    + ", ".join(
+        f"{{'a': '{a}', 'b': '{b}', 'x': round({a}, 9), 'y': round({b}, 9)}}" for a, b in _PAIRS)
+    + "]) as p from stimuli_rows)) where x is not null and y is not null) "
+    "group by metric_a, metric_b)",
     others=["metric_a", "metric_b", "n"], nums=["spearman_r"],
     extra={"stimuli_rows": "select * from scene where scene_type = 'stimulus'"},
 )

@@ -81,13 +81,13 @@ def test_schedule(spark, folder, tmp_path):
 
 
 def test_build_all(spark, folder, tmp_path):
-    t = {n: str(tmp_path / n) for n in ("stimuli", "forms", "sessions", "fixations", "scenes")}
+    t = {n: str(tmp_path / n) for n in ("stimuli", "forms", "sessions", "fixations", "rows", "scenes")}
     build.build_stimuli(spark, str(folder / "cfg"), t["stimuli"])
     build.build_forms(spark, str(folder / "forms.csv"), t["forms"])
     build.build_sessions(spark, str(folder / "rec"), t["forms"], t["sessions"])
     gates = M.Gates(session_min_samples=100, session_min_seconds=10)
     build.build_scene_metrics(spark, str(folder / "rec"), str(folder / "cfg"), t["fixations"],
-                              t["scenes"], gates)
+                              t["rows"], t["scenes"], gates)
     f = {r["session_id"]: r for r in TB.read_table(spark, t["forms"]).collect()}
     assert (f["s 1"]["phq9_severity"], f["s 1"]["bdi_severity"]) == ("moderate", "severe")
     assert f["zz"]["phq9_severity"] is None and f["s 1"]["phq9_q1"] == 2 and f["s 1"]["bdi_q21"] == 1
