@@ -97,7 +97,8 @@ def _search(value: str, lo: int, hi: int) -> str:
 
 
 def cumulate_values(
-    counts: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str], n_blocks: int = 64
+    counts: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str], n_blocks: int = 64,
+    keep_block: bool = False,
 ) -> DataFrame:
     """For one row per distinct value: ``<s>_before`` (sum over smaller values) and ``<s>_total``.
 
@@ -127,7 +128,24 @@ def cumulate_values(
     local = {f"{s}_before": F.coalesce(F.sum(s).over(inside), F.lit(0)) for s in sums}
     rows = rows.withColumns(local).join(sizes, part)
     total = {f"{s}_before": F.col(f"{s}_before") + F.col(f"_off_{s}") for s in sums}
-    return rows.withColumns(total).drop("_blk", *[f"_off_{s}" for s in sums])
+    out = rows.withColumns(total).drop(*[f"_off_{s}" for s in sums])
+    return out if keep_block else out.drop("_blk")
+
+
+def min_from_here(
+    rows: DataFrame, keys: Sequence[str], value: str, measure: str, out: str
+) -> DataFrame:
+    """Smallest ``measure`` over this and all larger values of ``value``.
+
+    ``rows`` has one row per distinct value, with its ``_blk`` from :func:`cumulate_values`.
+    """
+    part = [*keys, "_blk"]
+    inside = Window.partitionBy(*part).orderBy(value).rowsBetween(CUR, Window.unboundedFollowing)
+    later = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(1, Window.unboundedFollowing)
+    per_block = rows.groupBy(*part).agg(F.min(measure).alias("_m"))
+    per_block = per_block.select(*part, F.min("_m").over(later).alias("_later"))
+    local = rows.withColumn(out, F.min(measure).over(inside)).join(per_block, part)
+    return local.withColumn(out, F.least(out, "_later")).drop("_later")
 
 
 def rank_table(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:

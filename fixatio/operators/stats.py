@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from fixatio.functions import columns as C
 from fixatio.operators import blocks as B
@@ -110,17 +109,25 @@ def with_p_value(correlations: DataFrame) -> DataFrame:
 def benjamini_hochberg(
     tests: DataFrame, p: str, out: str, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """False-discovery q-values over the rows of a result table (one row per test)."""
-    w = Window.partitionBy(*keys)
-    by_p = w.orderBy(F.col(p).asc_nulls_last())
-    raw = F.col(p) * F.count(p).over(w) / F.col("_r")
-    later = w.orderBy("_r").rowsBetween(0, Window.unboundedFollowing)
-    return (
-        tests.withColumn("_r", F.row_number().over(by_p))
-        .withColumn("_raw", raw)
-        .withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("_raw").over(later))))
-        .drop("_r", "_raw")
+    """False-discovery q-values: the least p * m / rank over this and all larger p-values.
+
+    Equal p-values share the last of their ranks, which is the one that decides. Tests
+    without a p-value keep a missing q-value and do not count.
+    """
+    keys = list(keys)
+    counts = tests.filter(F.col(p).isNotNull()).groupBy(*keys, F.col(p).alias("_p")).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    rows = B.cumulate_values(counts, keys, "_p", ["_n"], keep_block=True).withColumn(
+        "_raw", F.col("_p") * F.col("_n_total") / (F.col("_n_before") + F.col("_n"))
+    )
+    q = B.min_from_here(rows, keys, "_p", "_raw", "_q").select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], "_p", F.least(F.lit(1.0), F.col("_q")).alias(out)
     )
+    same = F.col(p) == F.col("_p")
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_k_{k}"))
+    return tests.join(q, same, "left").drop("_p", *[f"_k_{k}" for k in keys])
 
 
 def correlation_report(df: DataFrame, metrics: Sequence[str], score: str, min_rows: int = 20):

@@ -285,6 +285,54 @@ def false_discovery(spark, d):
     return S.benjamini_hochberg(tests, "p_value", "q_value")
 
 
+@register(
+    "concordance_counts",
+    """
+select count(*) filter (a < 0.05 and b < 0.05) as "both",
+  count(*) filter (a < 0.05 and b >= 0.05) as phq_only,
+  count(*) filter (a >= 0.05 and b < 0.05) as bdi_only,
+  count(*) filter (a >= 0.05 and b >= 0.05) as neither, count(*) as n_tests
+from (select round(avg(l_discount), 9) as a, round(avg(l_tax), 9) as b from lineitem
+      group by l_partkey)""",
+    others=['"both"', "phq_only", "bdi_only", "neither", "n_tests"],
+)
+def concordance_counts(spark, d):
+    """Agreement of two numbers per part, in place of two p-values."""
+    rows = I.table(spark, d, "lineitem").groupBy("l_partkey").agg(
+        F.avg("l_discount").alias("a"), F.avg("l_tax").alias("b")
+    )
+    return S.concordance(steady(rows, ["a", "b"]), "a", "b")
+
+
+def _by_pair(df):
+    return df.groupBy("scene_valence_pair").agg(
+        F.avg("fixation_count").alias("fixations"), F.avg("blink_count").alias("blinks")
+    )
+
+
+@register(
+    "side_by_side",
+    """
+select a.scene_valence_pair, a.f as fixations_stimulus, a.b as blinks_stimulus,
+  c.f as fixations_cross, c.b as blinks_cross
+from (select scene_valence_pair, avg(fixation_count) as f, avg(blink_count) as b from scene
+      where scene_type = 'stimulus' group by 1) a
+join (select scene_valence_pair, avg(fixation_count) as f, avg(blink_count) as b from scene
+      where scene_type <> 'stimulus' group by 1) c
+  on a.scene_valence_pair is not distinct from c.scene_valence_pair""",
+    others=["scene_valence_pair"],
+    nums=["fixations_stimulus", "blinks_stimulus", "fixations_cross", "blinks_cross"],
+)
+def side_by_side(spark, d):
+    """Two result tables matched on a key that may be missing."""
+    s = I.scenes(spark, d)
+    kind = F.col("scene_type") == "stimulus"
+    return S.two_scale_comparison(
+        _by_pair(s.filter(kind)), _by_pair(s.filter(~kind)), ["scene_valence_pair"],
+        ["fixations", "blinks"], ("stimulus", "cross"),
+    )
+
+
 # --- mixed models -----------------------------------------------------------------
 
 

@@ -44,6 +44,19 @@ def test_tree_models_learn(spark, people):
     assert N.feature_importance(rows, ["x", "z"], 10).first()["feature"] == "x"
 
 
+def test_other_tree_models(spark, people):
+    rows = people.withColumn("c", F.when(F.col("x") < -0.5, 0).when(F.col("x") < 0.5, 1).otherwise(2))
+    multi = {"F": lambda n: N.forest_classifier(n, 5), "G": lambda n: N.boosted_multiclass(n, 2),
+             "L": N.logistic}
+    for r in N.run_models(spark, rows, {"x": ["x", "z"]}, "c", "grp", "multiclass", multi, k=2).collect():
+        assert r["f1_weighted"] > 0.8
+    reg = {"F": lambda n: N.forest_regressor(n, 5), "G": lambda n: N.boosted_regressor(n, 20)}
+    runs = N.run_models(spark, rows, {"x": ["x", "z"]}, "t", "grp", "regression", reg, k=2)
+    assert all(r["r2"] > 0.6 for r in runs.collect())
+    best = N.best_models({"Regression": (runs, runs, "r2")}).first()
+    assert best["phq9_model"].endswith("/ x") and best["bdi_value"] == best["phq9_value"]
+
+
 def test_scores(spark):
     df = spark.createDataFrame([(1, 1, 0.9), (1, 0, 0.4), (0, 0, 0.4), (0, 1, 0.8), (2, 2, 0.1)],
                                "label int, prediction int, score double")

@@ -78,6 +78,15 @@ def test_false_discovery(spark):
     assert all(a[1] <= b[1] for a, b in zip(pairs, pairs[1:]))
 
 
+def test_false_discovery_by_key(spark):
+    rows = [("a", 0.01), ("a", 0.02), ("b", 0.01), ("b", 0.9), ("b", 0.02)]
+    df = spark.createDataFrame(rows, "k string, p double")
+    got = {(r["k"], r["p"]): r["q"] for r in S.benjamini_hochberg(df, "p", "q", ["k"]).collect()}
+    assert got == {("a", 0.01): pytest.approx(0.02), ("a", 0.02): pytest.approx(0.02),
+                   ("b", 0.01): pytest.approx(0.03), ("b", 0.02): pytest.approx(0.03),
+                   ("b", 0.9): pytest.approx(0.9)}
+
+
 def test_concordance(spark):
     df = spark.createDataFrame([(0.01, 0.01), (0.01, 0.5), (0.6, 0.02), (0.7, 0.8), (None, 0.01)],
                                "a double, b double")
