@@ -236,8 +236,8 @@ def run_models(
 ) -> DataFrame:
     """Cross-validated scores per feature set and model, best first.
 
-    ``store`` writes the rows of one feature set to a shared folder and reads them back;
-    the driver only sees one row of scores per run.
+    ``store`` writes the rows of one feature set, and the predictions of one run, to a shared
+    folder and reads them back; the driver only sees one row of scores per run.
     """
     models = models or {"binary": CLASSIFIERS, "multiclass": MULTICLASS, "regression": REGRESSORS}[task]
     order = {"binary": "auc_roc", "multiclass": "f1_weighted", "regression": "r2"}[task]
@@ -246,7 +246,7 @@ def run_models(
     for set_name, cols in feature_sets.items():
         rows = store(assemble(folds, cols, label, ["fold"]), set_name)
         for model_name, make in models.items():
-            pred = cross_predict(rows, make, k)
+            pred = store(cross_predict(rows, make, k), f"{set_name} {model_name}")
             if task == "regression":
                 scores = regression_scores(pred)
             else:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from fixatio.operators import features as X
@@ -28,7 +30,7 @@ def vectors(spark, d):
 
 def _store(spark, d, tag):
     return lambda rows, name: stage(
-        spark, d, f"learn_{tag}_{name.replace(' ', '_').lower()}", lambda: rows
+        spark, d, f"learn_{tag}_{re.sub('[^a-z0-9]+', '_', name.lower())}", lambda: rows
     )
 
 
