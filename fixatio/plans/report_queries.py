@@ -305,7 +305,7 @@ def _event_rate(spark, d):
 
 
 @register("sampling_rate", "select * from rate", others=["session_id"],
-          nums=["median_dt_ms", "hz"], extra=RATE)
+          nums=["median_dt_ms", "hz"], extra=RATE, digits=9)
 def sampling_rate(spark, d):
     return _event_rate(spark, d)
 
