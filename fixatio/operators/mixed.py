@@ -236,7 +236,8 @@ class _State:
         if capped:
             step, size = step * (self.reach / size), self.reach
         moved = np.linalg.norm(self.best - centre)
-        if f[0] <= before:
+        accepted = f[0] <= before
+        if accepted:
             self.centre = centre + step
             self.reach *= 2 if capped else 1
             self.radius = min(max(size / 3, 2e-3), 0.4)
@@ -246,7 +247,8 @@ class _State:
             self.radius = max(h / 4, 2e-3)
         small = size < 1e-4 and moved < 2e-4
         flat = size < 5e-2 and abs(before - self.value) < 1e-6  # in units of deviance
-        self.done = self.rounds >= 4 and (small or flat)
+        stuck = not accepted and self.reach < 2e-3  # no shorter step helps
+        self.done = self.rounds >= 4 and (small or (flat and accepted) or stuck)
 
 
 def _solve(row, p: int) -> dict:
