@@ -38,12 +38,13 @@ def store(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def per_worker(key: str, make: Callable[[], Any]) -> Any:
-    """An object that a Python worker makes once and keeps between tasks."""
+def per_worker(name: str, version: str, make: Callable[[], Any]) -> Any:
+    """An object that a Python worker makes once and keeps between tasks; a new version replaces it."""
     home = sys.modules.setdefault("_fixatio_worker", types.ModuleType("_fixatio_worker"))
-    if not hasattr(home, key):
-        setattr(home, key, make())
-    return getattr(home, key)
+    if (getattr(home, name, None) or (None,))[0] != version:
+        setattr(home, name, None)
+        setattr(home, name, (version, make()))
+    return getattr(home, name)[1]
 
 
 def row_key(*columns: str | Column) -> list[Column]:

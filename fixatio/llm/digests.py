@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fixatio.llm import line_dedup as lines
-from fixatio.llm import mixing, packing
+from fixatio.llm import langid, mixing, packing, quality
 from fixatio.llm.common import store, table
 
 
@@ -37,3 +37,17 @@ def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(sizes).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
     )
+
+
+def quality_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = docs.filter("lang is not null and text is not null and doc_id is not null").filter(
+        ~langid.held_out("doc_id")
+    )
+    found = langid.identify(docs, langid.learn(known.select("doc_id", "text", "lang")))
+    return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")

@@ -157,7 +157,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, text: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = per_worker(f"words {tokenizer}", lambda: WordEncoder(tokenizer))
+        encoder = per_worker("words", tokenizer, lambda: WordEncoder(tokenizer))
         slot, step, end = TaskContext.get().partitionId() << 36, 4 * window, np.array([DOCUMENT_END], "<u4").tobytes()
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
