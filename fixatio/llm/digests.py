@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fixatio.llm import line_dedup as lines
-from fixatio.llm import langid, mixing, packing, quality
+from fixatio.llm import langid, mixing, neardup, packing, quality
 from fixatio.llm.common import store, table
 
 
@@ -51,3 +51,9 @@ def language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = langid.identify(docs, langid.learn(known.select("doc_id", "text", "lang")))
     return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", "class_id", "class_size", "stays"
+    )

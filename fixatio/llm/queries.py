@@ -12,6 +12,7 @@ from fixatio.llm.sql import ORACLE  # noqa: F401
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_best_fit": digests.pack_best_fit,
     "op3_line_dedup": digests.line_dedup,
+    "op5_minhash_near_dup": digests.near_duplicates,
     "op7_quality_co_training": digests.quality_co_training,
     "op9_language_ppm": digests.language_ppm,
     "op10_mix_sources": digests.mix_sources,
