@@ -119,3 +119,13 @@ def dedup_lines(
         .withColumn("_kept", kept_lines(text, "_drop"))
         .drop("_k1", "_k2", "_drop")
     )
+
+
+def without_frequent_lines(docs: DataFrame, min_docs: int = 10, keep: str = "none") -> DataFrame:
+    """The documents, with all their columns, with the lines that stay as ``text`` and its length as
+    ``n_chars``. A null text stays null."""
+    text = F.when(F.col("text").isNotNull(), F.array_join("_kept", "\n"))
+    out = dedup_lines(docs, min_docs=min_docs, keep=keep).withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -261,10 +261,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     """(doc_id, _k1, _k2, class_id, class_size, stays) with a row per document, stored.
 
     ``class_id`` is the least doc_id of the class, ``stays`` marks one document of it (the one
-    with that id). Documents of equal text are one class; so are texts linked by similarity, also
-    over others. A text without words (null, empty, blanks) is never linked. Null ids are fine: a
-    class of null ids only has a null class_id. Rows with equal id and text share the mark.
-    (_k1, _k2) is the key of the text.
+    with that id). Documents of equal text are one class, null and empty being equal; so are texts
+    linked by similarity, also over others. A text without words is linked to equal ones only.
+    Null ids are fine: a class of null ids only has a null class_id. Rows with equal id and text
+    share the mark. (_k1, _k2) is the key of the text. An empty table gives an empty one.
     """
     texts = docs.select(
         F.col(id_col).alias("doc_id"), *row_key(F.coalesce(F.col(text), F.lit(""))),
@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     rows = store(signatures(texts, idf), "signatures")
     # One node for each different text.
     nodes = store(
-        rows.filter("bands is not null").groupBy("_k1", "_k2").agg(
+        rows.groupBy("_k1", "_k2").agg(
             F.min("slot").alias("node"), F.min("doc_id").alias("rep"), F.first("bands").alias("bands"),
             F.max("chars").alias("chars"), F.count("*").alias("n"),
         ),
@@ -303,33 +303,28 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         "_k1", "_k2", F.col("head.rep").alias("class_id"), "class_size",
         (F.col("head.node") == F.col("node")).alias("_head"),
     )
-    out = rows.join(of_text, ["_k1", "_k2"], "left")
-    alone = F.col("_head").isNull()
+    # An equi-join whose large side, with the copies of a text, Spark can split.
     return store(
-        out.select(
-            "doc_id", "_k1", "_k2", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-            F.when(alone, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"),
-            (alone | (F.col("_head") & F.col("doc_id").eqNullSafe(F.col("class_id")))).alias("stays"),
+        rows.join(of_text, ["_k1", "_k2"]).select(
+            "doc_id", "_k1", "_k2", "class_id", "class_size",
+            (F.col("_head") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("stays"),
         ),
         "classes",
     )
 
 
 def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """One document, with all its columns, of each class; texts without words all stay."""
+    """One document, with all its columns, of each class of near-duplicates."""
     found = near_duplicates(docs, threshold=threshold)
-    stay = found.filter("stays").groupBy("_k1", "_k2", F.col("doc_id").alias("_id")).agg(
-        F.max("class_size").alias("_size")
-    )
+    stay = found.filter("stays").select("_k1", "_k2", F.col("doc_id").alias("_id")).distinct()
     key = row_key(F.coalesce(F.col("text"), F.lit("")))
     rows = docs.withColumns({"_k1": key[0], "_k2": key[1]}).alias("d").join(
         stay.alias("s"),
         (F.col("d._k1") == F.col("s._k1")) & (F.col("d._k2") == F.col("s._k2")) & F.col("d.doc_id").eqNullSafe(F.col("s._id")),
     )
-    # Repeated rows (equal id and text): one of them, if the text has words at all.
+    # Repeated rows (equal id and text) all match: one of them.
     once = Window.partitionBy("d._k1", "d._k2", "d.doc_id").orderBy(F.lit(1))
-    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     return (
-        rows.withColumn("_once", F.row_number().over(once)).filter((F.col("_once") == 1) | wordless)
+        rows.withColumn("_once", F.row_number().over(once)).filter("_once = 1")
         .select(*[F.col(f"d.`{c}`") for c in docs.columns])
     )

@@ -271,7 +271,7 @@ def packed_documents(
     keep_ids: bool = True,
 ) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the
-    ids themselves unless ``keep_ids`` is false.
+    ids themselves (four bytes each, little-endian) unless ``keep_ids`` is false.
 
     A null or empty text has the document end alone. Null ids and repeated rows are fine: pieces
     carry a number of their own. Very long texts are tokenized in parts. An empty table gives an

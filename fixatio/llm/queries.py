@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from fixatio.llm import digests
 from fixatio.llm.sql import ORACLE  # noqa: F401
 
@@ -16,4 +17,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_co_training": digests.quality_co_training,
     "op9_language_ppm": digests.language_ppm,
     "op10_mix_sources": digests.mix_sources,
+    "pipeline": corpus_pipeline.run,
 }
