@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fixatio.llm import line_dedup as lines
-from fixatio.llm import langid, mixing, neardup, packing, quality
+from fixatio.llm import ann, langid, mixing, neardup, packing, quality, topk
 from fixatio.llm.common import store, table
 
 
@@ -57,3 +57,11 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", "class_id", "class_size", "stays"
     )
+
+
+def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def collision_counting_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)

@@ -38,7 +38,7 @@ class WordEncoder:
     all other words go through the tokenizer itself.
     """
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str, remember: int = 150_000):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -160,7 +160,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, text: st
         encoder = per_worker("words", tokenizer, lambda: WordEncoder(tokenizer))
         slot, step, end = TaskContext.get().partitionId() << 36, 4 * window, np.array([DOCUMENT_END], "<u4").tobytes()
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 19):
                 texts = [x or "" for x in part.column("text").to_pylist()]
                 if len(texts) == 1:
                     ids = [b"".join(encoder.encode([x])[0] for x in _parts(texts[0]))]

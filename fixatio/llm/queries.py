@@ -14,7 +14,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_best_fit": digests.pack_best_fit,
     "op3_line_dedup": digests.line_dedup,
     "op5_minhash_near_dup": digests.near_duplicates,
+    "op6_exact_top_k": digests.exact_top_k,
     "op7_quality_co_training": digests.quality_co_training,
+    "op8_collision_ann": digests.collision_counting_ann,
     "op9_language_ppm": digests.language_ppm,
     "op10_mix_sources": digests.mix_sources,
     "pipeline": corpus_pipeline.run,

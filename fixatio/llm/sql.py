@@ -48,7 +48,23 @@ SELECT doc_id, size, source_size, target,
 FROM u
 """
 
+EXACT_TOP_K = """
+WITH v AS (
+  SELECT row_number() OVER () AS uid, vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT q.uid AS quid, q.vec_id AS query_id, c.vec_id, c.uid, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.uid <> c.uid AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY quid ORDER BY score DESC, vec_id, uid)::INTEGER AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 ORACLE = {
+    "op6_exact_top_k": EXACT_TOP_K,
     "op3_line_dedup": LINE_DEDUP,
     "op10_mix_sources": MIX_SOURCES,
 }
