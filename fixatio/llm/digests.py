@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fixatio.llm import line_dedup as lines
-from fixatio.llm import ann, langid, mixing, neardup, packing, quality, topk
-from fixatio.llm.common import store, table
+from fixatio.llm import ann, langid, mixing, neardup, packing, quality, topk, warc
+from fixatio.llm.common import scratch, store, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -65,3 +65,25 @@ def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def collision_counting_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, path = table(spark, sf_dir, "pages"), scratch(spark, "archives")
+    warc.write_archives(pages.select("page_id", "url", "html"), path)
+    # Digests of what was read; the payloads themselves are not kept.
+    read = store(
+        warc.read_archives(spark, path).select(
+            "record_id", "kind", F.col("page_id").cast(pages.schema["page_id"].dataType).alias("page_id"), "refers_to",
+            F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"),
+        ),
+        "records",
+    )
+    origin = read.filter("kind = 'response'").select(
+        F.col("record_id").alias("refers_to"), F.col("page_id").alias("_page"), F.col("payload_bytes").alias("_bytes"),
+        F.col("payload_digest").alias("_digest"),
+    )
+    return read.join(origin, "refers_to", "left").select(
+        "page_id", F.coalesce("payload_bytes", "_bytes").alias("payload_bytes"),
+        F.coalesce("payload_digest", "_digest").alias("payload_digest"), F.col("kind").alias("record_type"),
+        F.col("_page").alias("refers_to"),
+    )

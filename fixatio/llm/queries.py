@@ -13,6 +13,7 @@ from fixatio.llm.sql import ORACLE  # noqa: F401
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_best_fit": digests.pack_best_fit,
     "op3_line_dedup": digests.line_dedup,
+    "op4_warc_segments": digests.warc_round_trip,
     "op5_minhash_near_dup": digests.near_duplicates,
     "op6_exact_top_k": digests.exact_top_k,
     "op7_quality_co_training": digests.quality_co_training,

@@ -48,6 +48,19 @@ SELECT doc_id, size, source_size, target,
 FROM u
 """
 
+WARC_ROUND_TRIP = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+         row_number() OVER (PARTITION BY sha256(coalesce(html, '')) ORDER BY page_id NULLS LAST) AS n,
+         first_value(page_id) OVER (PARTITION BY sha256(coalesce(html, '')) ORDER BY page_id NULLS LAST) AS first_id
+  FROM pages
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN n > 1 AND payload_bytes >= 100 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n > 1 AND payload_bytes >= 100 THEN first_id END AS refers_to
+FROM p
+"""
+
 EXACT_TOP_K = """
 WITH v AS (
   SELECT row_number() OVER () AS uid, vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e
@@ -64,6 +77,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 ORACLE = {
+    "op4_warc_segments": WARC_ROUND_TRIP,
     "op6_exact_top_k": EXACT_TOP_K,
     "op3_line_dedup": LINE_DEDUP,
     "op10_mix_sources": MIX_SOURCES,
