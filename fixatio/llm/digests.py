@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fixatio.llm import line_dedup as lines
-from fixatio.llm import ann, langid, mixing, neardup, packing, quality, topk, warc
+from fixatio.llm import ann, langid, mixing, neardup, packing, quality, repeats, topk, warc
 from fixatio.llm.common import scratch, store, table
 
 
@@ -87,3 +87,12 @@ def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("payload_digest", "_digest").alias("payload_digest"), F.col("kind").alias("record_type"),
         F.col("_page").alias("refers_to"),
     )
+
+
+def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.repeated_strings(table(spark, sf_dir, "documents"))
+    n = F.aggregate("removed", F.lit(0).cast("long"), lambda total, x: total + x["stop"] - x["start"])
+    return found.select(
+        "doc_id", "n_bytes", n.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+        F.col("sha").alias("kept_sha256"),
+    )

@@ -12,6 +12,7 @@ from fixatio.llm.sql import ORACLE  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_best_fit": digests.pack_best_fit,
+    "op2_suffix_dedup": digests.suffix_array_dedup,
     "op3_line_dedup": digests.line_dedup,
     "op4_warc_segments": digests.warc_round_trip,
     "op5_minhash_near_dup": digests.near_duplicates,
