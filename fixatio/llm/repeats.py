@@ -276,7 +276,7 @@ def repeated_windows(contexts: list[bytes], length: int) -> tuple[np.ndarray, np
     size = np.array([len(x) for x in contexts])
     t = np.frombuffer(b"\xff".join(contexts) + b"\xff", np.uint8)  # a byte that UTF-8 has not
     start = np.cumsum(size + 1) - size - 1
-    sa = suffix_array(t, length)
+    sa = suffix_array(t)
     prefix = common_prefixes(t, sa, start, size - length + 1, length)
     context = np.repeat(np.arange(len(size)), size + 1)[sa]
     place = sa - start[context]

@@ -16,8 +16,8 @@ def first_eight(t: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first ``depth`` bytes, by Larsson and Sadakane's refinement.
+def suffix_array(t: np.ndarray) -> np.ndarray:
+    """Suffixes in order, by Larsson and Sadakane's refinement.
 
     A suffix's rank is the place of the head of its group of equals. Each round doubles the
     length that is told apart: within groups, suffixes are ordered by the rank of what follows.
@@ -33,7 +33,7 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
     rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0)) + 1
     told = 8
     open_at = np.flatnonzero(~new | ~np.append(new[1:], True))
-    while told < depth and len(open_at):
+    while len(open_at):
         here = sa[open_at]
         pair = rank[here] << 32 | rank[np.minimum(here + told, n)]
         order = np.argsort(pair, kind="stable")
@@ -52,7 +52,8 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, start: np.ndarray, count: np.
     """Kasai's common prefixes, up to ``depth``: at place p, of the suffixes at p - 1 and p.
 
     Given for the suffixes start[k], ..., start[k] + count[k] - 1 of every string k, -1 elsewhere.
-    All strings advance in step; a suffix's prefix is that of the one before less a byte at least.
+    All strings advance in step; a suffix's prefix is that of the one before less a byte at least,
+    which holds for suffixes sorted to their ends.
     """
     n = len(t)
     place = np.empty(n, np.int64)
