@@ -47,6 +47,11 @@ def per_worker(name: str, version: str, make: Callable[[], Any]) -> Any:
     return getattr(home, name)[1]
 
 
+def whole_row(frame: DataFrame, name: str = "row") -> Column:
+    """All columns of a row as one struct, safe from clashes with an operator's own columns."""
+    return F.struct(*[F.col(f"`{c}`") for c in frame.columns]).alias(name)
+
+
 def row_key(*columns: str | Column) -> list[Column]:
     """Two independent 64-bit hashes of the columns; equal rows get equal keys."""
     return [

@@ -23,12 +23,11 @@ def pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = lines.dedup_lines(docs)
-    n = F.size(lines.lines_of("text")).cast("long")
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = F.size(lines.lines_of(F.col("row.text"))).cast("long")
     return kept.select(
-        "doc_id", n.alias("n_lines"), (n - F.size("_kept")).alias("n_dropped"),
-        F.sha2(F.array_join("_kept", "\n").cast("binary"), 256).alias("kept_sha256"),
+        "row.doc_id", n.alias("n_lines"), (n - F.size("kept")).alias("n_dropped"),
+        F.sha2(F.array_join("kept", "\n").cast("binary"), 256).alias("kept_sha256"),
     )
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fixatio.llm.common import ASCII_SPACE, LOWER, UPPER, row_key, store
+from fixatio.llm.common import ASCII_SPACE, LOWER, UPPER, row_key, store, whole_row
 
 
 def lines_of(text: str | Column) -> Column:
@@ -105,27 +105,23 @@ def dedup_lines(
     docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     min_docs: int = 10, keep: str = "none", min_chars: int = 1,
 ) -> DataFrame:
-    """``docs`` with column ``_kept``, the array of lines that stay.
+    """(row, kept): each document as a struct, and the array of its lines that stay.
 
     Null or empty texts have one empty line, which has no key and stays. Null ids are fine:
     documents are told apart by id and text, and equal rows get equal results. An empty table
-    gives an empty one. All columns of ``docs`` are returned as they are; their names must not
-    start with ``_k`` followed by a digit, or be ``_drop`` or ``_kept``.
+    gives an empty one. Other columns are carried along, whatever their names.
     """
     drop = dropped_lines(docs, text, id_col, min_docs, keep, min_chars)
-    keyed = docs.withColumns({"_k1": row_key(id_col, text)[0], "_k2": row_key(id_col, text)[1]})
-    return (
-        keyed.join(drop, ["_k1", "_k2"], "left")
-        .withColumn("_kept", kept_lines(text, "_drop"))
-        .drop("_k1", "_k2", "_drop")
+    keyed = docs.select(whole_row(docs), *row_key(id_col, text))
+    return keyed.join(drop, ["_k1", "_k2"], "left").select(
+        "row", kept_lines(F.col("row")[text], "_drop").alias("kept")
     )
 
 
 def without_frequent_lines(docs: DataFrame, min_docs: int = 10, keep: str = "none") -> DataFrame:
     """The documents, with all their columns, with the lines that stay as ``text`` and its length as
     ``n_chars``. A null text stays null."""
-    text = F.when(F.col("text").isNotNull(), F.array_join("_kept", "\n"))
-    out = dedup_lines(docs, min_docs=min_docs, keep=keep).withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = dedup_lines(docs, min_docs=min_docs, keep=keep)
+    text = F.when(F.col("row.text").isNotNull(), F.array_join("kept", "\n"))
+    new = {"text": text, "n_chars": F.char_length(text).cast("long")}
+    return found.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])

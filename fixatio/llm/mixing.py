@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fixatio.llm.common import store
+from fixatio.llm.common import store, whole_row
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS = 3
@@ -122,13 +122,12 @@ def repeated_documents(docs: DataFrame, max_repeats: int = MAX_REPEATS, seed: in
     """The documents of the mix, with all their columns, each as often as the mix takes it."""
     sizes = store(docs.select(F.col("source").alias("source"), size_of("text").alias("size")), "sizes")
     goal = store(source_targets(sizes, max_repeats), "targets")
-    rate = F.when(F.col("_size") > 0, F.least(F.lit(float(max_repeats)), F.col("_target") / F.col("_size"))).otherwise(0.0)
-    right = goal.select(F.col("source").alias("_source"), F.col("source_size").alias("_size"), F.col("target").alias("_target"))
-    u = draw("doc_id", F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")), seed)
+    rate = F.when(
+        F.col("source_size") > 0, F.least(F.lit(float(max_repeats)), F.col("target") / F.col("source_size"))
+    ).otherwise(0.0)
+    u = draw(F.col("row.doc_id"), F.coalesce(F.md5(F.col("row.text").cast("binary")), F.lit("")), seed)
     return (
-        docs.join(right, docs["source"].eqNullSafe(right["_source"]))
-        .withColumn("_copies", copies(rate, u))
-        .filter("_copies > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+        docs.select(whole_row(docs)).join(goal, F.col("row.source").eqNullSafe(F.col("source")))
+        .select("row", copies(rate, u).alias("n")).filter("n > 0")
+        .select("row", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("row.*")
     )

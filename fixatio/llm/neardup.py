@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from fixatio.llm.common import byte_buffer, per_worker, row_key, slices, store
+from fixatio.llm.common import byte_buffer, per_worker, row_key, slices, store, whole_row
 from fixatio.llm.components import components
 from fixatio.llm.textbytes import mix, prefix_sums, span_hash, word_spans
 
@@ -317,14 +317,11 @@ def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """One document, with all its columns, of each class of near-duplicates."""
     found = near_duplicates(docs, threshold=threshold)
     stay = found.filter("stays").select("_k1", "_k2", F.col("doc_id").alias("_id")).distinct()
-    key = row_key(F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.withColumns({"_k1": key[0], "_k2": key[1]}).alias("d").join(
-        stay.alias("s"),
-        (F.col("d._k1") == F.col("s._k1")) & (F.col("d._k2") == F.col("s._k2")) & F.col("d.doc_id").eqNullSafe(F.col("s._id")),
+    rows = docs.select(whole_row(docs), *row_key(F.coalesce(F.col("text"), F.lit("")))).withColumn("_doc", F.col("row.doc_id"))
+    kept = rows.join(
+        stay.select(F.col("_k1").alias("_s1"), F.col("_k2").alias("_s2"), "_id"),
+        (F.col("_k1") == F.col("_s1")) & (F.col("_k2") == F.col("_s2")) & F.col("_doc").eqNullSafe(F.col("_id")),
     )
     # Repeated rows (equal id and text) all match: one of them.
-    once = Window.partitionBy("d._k1", "d._k2", "d.doc_id").orderBy(F.lit(1))
-    return (
-        rows.withColumn("_once", F.row_number().over(once)).filter("_once = 1")
-        .select(*[F.col(f"d.`{c}`") for c in docs.columns])
-    )
+    once = Window.partitionBy("_k1", "_k2", "_doc").orderBy(F.lit(1))
+    return kept.withColumn("_once", F.row_number().over(once)).filter("_once = 1").select("row.*")
