@@ -119,8 +119,8 @@ class ContextTrees:
             count = np.zeros(len(whole) * SYMBOLS)
             np.add.at(count, np.searchsorted(whole, gram >> 6) * SYMBOLS + (gram & (SYMBOLS - 1)), n)
             self.bits[:pairs, :, k] = lower
-            self.bits[pairs:, :, k] = self._code(count.reshape(-1, SYMBOLS), lower[whole & (pairs - 1)])
-        self.bits = self.bits.reshape(-1, len(self.langs))
+            self.bits[pairs:, :, k] = self._code(count.reshape(len(whole), SYMBOLS), lower[whole & (pairs - 1)])
+        self.bits = self.bits.reshape((pairs + len(whole)) * SYMBOLS, len(self.langs))
 
     @staticmethod
     def _code(count: np.ndarray, lower: np.ndarray) -> np.ndarray:
