@@ -81,7 +81,8 @@ PHQ9 = Bands(
 )
 BDI = Bands(("minimal", "mild", "moderate", "severe"), (13, 19, 28), 14, 13, 29)
 
-SCENE_KEY = ["session_id", "scene_index"]
+# A recording is one file: two folders may hold files of the same name.
+SCENE_KEY = ["session_id", "folder", "scene_index"]
 
 SAMPLE_SCHEMA = T.StructType(
     [

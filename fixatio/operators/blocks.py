@@ -4,18 +4,24 @@ A window over one key runs in one task, so a key that holds a large share of all
 rows would not fit. Everything here splits a key's ordered rows into blocks of
 bounded size, works inside the blocks, and carries one summary row per block
 across. The order-preserving block number must be a column or expression of the
-rows themselves, so that a lost task recomputes to the same result.
+rows themselves, or be stored with them, so that a lost task recomputes to the
+same result. Rows with a NULL key or block are a group or block of their own.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fixatio.plans.stages import keep
+
 UNB, CUR = Window.unboundedPreceding, Window.currentRow
+# Distinct values that one task may hold in order at a time.
+BLOCK_VALUES = 1 << 20
 
 
 def block(c: str | Column, size: int) -> Column:
@@ -31,6 +37,15 @@ def null_safe(left: str, right: str, keys: Sequence[str]) -> Column:
     return cond
 
 
+def join_blocks(rows: DataFrame, blocks: DataFrame, part: Sequence[str]) -> DataFrame:
+    """Inner join on keys and block, where NULL meets NULL."""
+    right = blocks.withColumnsRenamed({k: f"_j_{i}" for i, k in enumerate(part)})
+    cond = F.lit(True)
+    for i, k in enumerate(part):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_j_{i}"))
+    return rows.join(right, cond).drop(*[f"_j_{i}" for i in range(len(part))])
+
+
 def number_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence, block_col: Column, out: str,
     total: str | None = None,
@@ -50,8 +65,7 @@ def number_rows(
     )
     local = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
     return (
-        rows.withColumn(out, local)
-        .join(offsets, part)
+        join_blocks(rows.withColumn(out, local), offsets, part)
         .withColumn(out, (F.col(out) + F.col("_off")).cast("long"))
         .drop("_blk", "_off")
     )
@@ -79,7 +93,7 @@ def with_previous(
         .agg(last.alias("_t"))
         .select(*part, *[F.lag(f"_t._v_{new}").over(across).alias(f"_c_{new}") for new in cols])
     )
-    out = rows.join(tails, part)
+    out = join_blocks(rows, tails, part)
     for new in cols:
         out = out.withColumn(
             new, F.when(F.col("_first"), F.col(f"_c_{new}")).otherwise(F.col(new))
@@ -87,46 +101,37 @@ def with_previous(
     return out.drop("_blk", "_first")
 
 
-def _search(value: str, lo: int, hi: int) -> str:
-    """SQL for the number of cut points below a value: binary search over ``_cuts``."""
-    if lo == hi:
-        return str(lo)
-    mid = (lo + hi) // 2
-    up, down = _search(value, mid + 1, hi), _search(value, lo, mid)
-    return f"if(`{value}` > _cuts[{mid}], {up}, {down})"
-
-
 def cumulate_values(
-    counts: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str], n_blocks: int = 64,
-    keep_block: bool = False,
+    counts: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str],
+    block_values: int | None = None, keep_block: bool = False,
 ) -> DataFrame:
     """For one row per distinct value: ``<s>_before`` (sum over smaller values) and ``<s>_total``.
 
-    The values of a key are cut into blocks of about even size at approximate quantiles;
-    only evenness depends on the cuts, never the result. The cuts and the totals come from
-    the same shuffled counts as the rows they join.
+    The rows are stored with the number of their block: ranges of (keys, value) of at most
+    about ``block_values`` rows, as many as the rows need. A key's values may lie in any number
+    of ranges. Both branches below read the stored numbers, so where the cuts fall, which is
+    drawn from a sample, can only change how even the blocks are.
     """
     keys = list(keys)
-    probs = F.array(*[F.lit((i + 1) / n_blocks) for i in range(n_blocks - 1)])
-    per_key = [
-        F.percentile_approx(value, probs, F.lit(20 * n_blocks)).alias("_cuts"),
-        *[F.sum(s).alias(f"{s}_total") for s in sums],
-    ]
-    if keys:
-        rows = counts.join(counts.groupBy(*keys).agg(*per_key), keys)
+    stored = keep(counts)
+    n_blocks = max(1, math.ceil(stored.count() / (block_values or BLOCK_VALUES)))
+    if n_blocks == 1:
+        rows = stored.withColumn("_blk", F.lit(0))
     else:
-        rows = counts.crossJoin(F.broadcast(counts.agg(*per_key)))  # one row
-    rows = rows.withColumn("_blk", F.expr(_search(value, 0, n_blocks - 1))).drop("_cuts")
+        ranges = stored.repartitionByRange(n_blocks, *keys, value)
+        rows = keep(ranges.withColumn("_blk", F.spark_partition_id()))
     part = [*keys, "_blk"]
-    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(UNB, -1)
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("_blk").rowsBetween(UNB, -1)
     sizes = rows.groupBy(*part).agg(*[F.sum(s).alias(f"_b_{s}") for s in sums])
     sizes = sizes.select(
         *part,
         *[F.coalesce(F.sum(f"_b_{s}").over(before), F.lit(0)).alias(f"_off_{s}") for s in sums],
+        *[F.sum(f"_b_{s}").over(whole).alias(f"{s}_total") for s in sums],
     )
     inside = Window.partitionBy(*part).orderBy(value).rowsBetween(UNB, -1)
     local = {f"{s}_before": F.coalesce(F.sum(s).over(inside), F.lit(0)) for s in sums}
-    rows = rows.withColumns(local).join(sizes, part)
+    rows = join_blocks(rows.withColumns(local), sizes, part)
     total = {f"{s}_before": F.col(f"{s}_before") + F.col(f"_off_{s}") for s in sums}
     out = rows.withColumns(total).drop(*[f"_off_{s}" for s in sums])
     return out if keep_block else out.drop("_blk")
@@ -144,7 +149,7 @@ def min_from_here(
     later = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(1, Window.unboundedFollowing)
     per_block = rows.groupBy(*part).agg(F.min(measure).alias("_m"))
     per_block = per_block.select(*part, F.min("_m").over(later).alias("_later"))
-    local = rows.withColumn(out, F.min(measure).over(inside)).join(per_block, part)
+    local = join_blocks(rows.withColumn(out, F.min(measure).over(inside)), per_block, part)
     return local.withColumn(out, F.least(out, "_later")).drop("_later")
 
 

@@ -227,14 +227,14 @@ def scene_samples(samples: DataFrame, gates: M.Gates = M.Gates()) -> DataFrame:
 
 
 def session_quality(scenes: DataFrame, gates: M.Gates = M.Gates()) -> DataFrame:
-    """One row per session, folded from :func:`scene_samples`.
+    """One row per recording (session and folder), folded from :func:`scene_samples`.
 
     The mean sampling interval is the sum of successive differences over their number,
     which is the span from the first to the last sample over n - 1.
     """
     n = F.col("total_samples")
     return (
-        scenes.groupBy("session_id")
+        scenes.groupBy("session_id", "folder")
         .agg(
             F.sum("n_samples").alias("total_samples"),
             (F.max("_t_max") - F.min("_t_min")).alias("total_duration_ms"),

@@ -219,8 +219,11 @@ def tlbs_features(trials: DataFrame, block_scenes: int = 1 << 16) -> DataFrame:
 
 
 def user_means(sessions: DataFrame, cols: Sequence[str], user: str = "uid") -> DataFrame:
-    """Mean of every column over a user's sessions, leaving missing values out."""
-    return sessions.groupBy(user).agg(*[F.avg(c).alias(c) for c in cols])
+    """Mean of every column over a user's sessions, leaving missing values out.
+
+    Sessions without a user belong to nobody and are left out.
+    """
+    return sessions.filter(F.col(user).isNotNull()).groupBy(user).agg(*[F.avg(c).alias(c) for c in cols])
 
 
 def missingness(df: DataFrame, cols: Sequence[str], only_missing: bool = True) -> DataFrame:

@@ -41,9 +41,27 @@ def logistic(n: int) -> Estimator:
                                       regParam=1.0 / n, standardization=False))
 
 
+class Ridge(Estimator):
+    """Ridge regression with unit strength on the summed squared error of scaled features.
+
+    Spark's penalty acts on the label divided by its deviation, so the deviation of the
+    rows that are fitted to goes into its strength.
+    """
+
+    def __init__(self, n: int, alpha: float = 1.0):
+        super().__init__()
+        self.n, self.alpha = n, alpha
+
+    def _fit(self, rows: DataFrame):
+        deviation = rows.agg(F.stddev_samp("label")).first()[0] or 0.0
+        return _scaled(LinearRegression(
+            featuresCol="scaled", labelCol="label", elasticNetParam=0.0, standardization=False,
+            regParam=self.alpha * deviation / self.n,
+        )).fit(rows)
+
+
 def ridge(n: int) -> Estimator:
-    return _scaled(LinearRegression(featuresCol="scaled", labelCol="label", elasticNetParam=0.0,
-                                    regParam=1.0 / n, standardization=False))
+    return Ridge(n)
 
 
 def forest_classifier(n: int, trees: int = TREES) -> Estimator:

@@ -90,13 +90,16 @@ def mixed_model_trials(scenes: DataFrame, forms: DataFrame) -> DataFrame:
     return with_z_scores(rows, {"phq9_z": "phq9_score", "bdi_z": "bdi_score"})
 
 
-def median_split(rows: DataFrame, score: str, out: str = "score_group") -> DataFrame:
-    """``Low`` below the median over all rows, ``High`` from it on."""
-    cut = B.exact_quantiles(rows, [], score, {"_median": 0.5})
+def median_split(
+    rows: DataFrame, score: str, out: str = "score_group", keys: Sequence[str] = ()
+) -> DataFrame:
+    """``Low`` below the median over all rows (of the same keys), ``High`` from it on."""
+    cut = B.exact_quantiles(rows, keys, score, {"_median": 0.5})
     group = F.when(F.col(score) < F.col("_median"), "Low").when(
         F.col(score) >= F.col("_median"), "High"
     )
-    return rows.crossJoin(F.broadcast(cut)).withColumn(out, group).drop("_median")
+    both = B.join_blocks(rows, cut, keys) if keys else rows.crossJoin(F.broadcast(cut))  # one row
+    return both.withColumn(out, group).drop("_median")
 
 
 def trim(rows: DataFrame, value: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
@@ -126,11 +129,10 @@ def model_rows(df: DataFrame, features: Sequence[str], target: Sequence[str]) ->
     return df.fillna(0, list(features)).dropna(subset=list(target))
 
 
-def fixation_valence(fixations: DataFrame, folders: DataFrame, stimuli: DataFrame) -> DataFrame:
+def fixation_valence(fixations: DataFrame, stimuli: DataFrame) -> DataFrame:
     """Valence of the image under each fixation, ``off_image`` where there is none."""
-    rows = fixations.join(folders, "session_id")
     look = stimuli.select("folder", F.col("image_id").alias("image"), "valence")
-    return rows.join(look, ["folder", "image"], "left").withColumn(
+    return fixations.join(look, ["folder", "image"], "left").withColumn(
         "valence", F.coalesce("valence", F.lit("off_image"))
     )
 

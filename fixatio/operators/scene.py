@@ -264,8 +264,8 @@ def scene_metrics(
         scene_rows = E.scene_samples(samples, gates)
     scenes = scene_rows
     if not keep_invalid_sessions:
-        valid = E.session_quality(scene_rows, gates).filter("is_valid").select("session_id")
-        scenes = scene_rows.join(valid, "session_id", "left_semi")
+        valid = E.session_quality(scene_rows, gates).filter("is_valid")
+        scenes = scene_rows.join(valid, ["session_id", "folder"], "left_semi")
     shown = shown_images(scenes, schedule)
     near = with_neighbour(fixations)
     base = (
@@ -280,7 +280,7 @@ def scene_metrics(
     # One row per shown image that carries its scene along, so that the scene is put
     # together in one go; a scene without images keeps one row.
     slots = base.select(
-        *KEY, "folder", "first_fixation_image", "on_image_ms",
+        *KEY, "first_fixation_image", "on_image_ms",
         (F.col("fixation_count") > 0).alias("has_fixations"),
         F.struct(*[c for c in base.columns if c not in KEY]).alias("scene"),
         F.posexplode_outer("image_ids").alias("slot", "image"),

@@ -27,10 +27,10 @@ def build_sessions(spark: SparkSession, recordings: str, forms: str, target: str
 
 def build_scene_metrics(
     spark: SparkSession, recordings: str, config_path: str, fixations_target: str,
-    scene_rows_target: str, target: str, gates: M.Gates = M.Gates(), with_index: bool = True,
+    scene_rows_target: str, target: str, gates: M.Gates = M.Gates(),
 ) -> None:
     """Fixations and scene facts are stored on the way, so samples are put in order only once."""
-    samples = raw.read_samples(spark, recordings, with_index)
+    samples = raw.read_samples(spark, recordings)
     TB.write_table(E.extract_fixations(samples), fixations_target)
     TB.write_table(E.scene_samples(samples, gates), scene_rows_target)
     wide: DataFrame = S.scene_metrics(

@@ -443,8 +443,7 @@ where f.scene_index % 2 = 1 group by 1""",
 )
 def fixation_valence(spark, d):
     fx = I.fixations(spark, d).filter(F.col("scene_index") % 2 == 1)
-    folders = I.samples(spark, d).select("session_id", "folder").distinct()
-    return R.fixation_summary(P.fixation_valence(fx, folders, I.stimuli(spark, d)))
+    return R.fixation_summary(P.fixation_valence(fx, I.stimuli(spark, d)))
 
 
 @register(

@@ -55,7 +55,7 @@ def forms_table(spark, d):
     others=["session_id", "test_version", "uid", "created_at"],
 )
 def sessions_table(spark, d):
-    files = I.samples(spark, d).select("session_id", F.col("folder").alias("test_version"))
+    files = I.scene_rows(spark, d).select("session_id", F.col("folder").alias("test_version"))
     return P.sessions_table(files.distinct(), I.forms(spark, d)).withColumnRenamed(
         "createdAt", "created_at"
     )
@@ -85,7 +85,7 @@ def scene_quality(spark, d):
           "estimated_fps"],
 )
 def session_quality(spark, d):
-    return E.session_quality(E.scene_samples(I.samples(spark, d)))
+    return E.session_quality(E.scene_samples(I.samples(spark, d))).drop("folder")
 
 
 _FIX_TEXT = ["session_id", "scene_index", "fix_no", "n_samples", "image"]
@@ -98,7 +98,7 @@ _FIX_TEXT = ["session_id", "scene_index", "fix_no", "n_samples", "image"]
     nums=["start_timestamp", "end_timestamp", "duration_ms", "fpog_x", "fpog_y", "rx", "ry"],
 )
 def fixations(spark, d):
-    return E.extract_fixations(I.samples(spark, d)).drop("onset_ms")
+    return E.extract_fixations(I.samples(spark, d)).drop("onset_ms", "folder")
 
 
 @register(

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,15 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Write a step of an operator to the shared folder and read it back, so that every later
+    branch reads the same rows, also after a task was lost."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/fixatio-{spark.sparkContext.applicationId}/steps/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def stage(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Write ``build()`` once per application and source folder, and read it back."""
     app = spark.sparkContext.applicationId

@@ -220,17 +220,24 @@ def trajectories(spark, d):
     "select outcome, pair_suffix, score_group, valence, avg(y) as mean, "
     "stddev_samp(y) / sqrt(count(y)) as sem, count(y) as n from ("
     + " union all ".join(
-        f"select '{o}' as outcome, '{p.suffix}' as pair_suffix, score_group, '{v}' as valence, "
-        f"{o}_{v} as y from halves where scene_valence_pair = '{p.name}' and {o}_{v} is not null"
+        f"select '{o}' as outcome, '{p.suffix}' as pair_suffix, '{v}' as valence, {o}_{v} as y, "
+        f"case when phq9_score < m then 'Low' when phq9_score >= m then 'High' end as score_group "
+        f"from zrows cross join (select median(phq9_score) as m from ("
+        + " union all ".join(
+            f"select phq9_score from zrows where scene_valence_pair = '{p.name}' and {o}_{w} is not null"
+            for w in p.valences)
+        + f")) where scene_valence_pair = '{p.name}' and {o}_{v} is not null"
         for o in L.OUTCOMES for p in M.PAIRS for v in p.valences)
     + ") where score_group is not null group by all",
     others=["outcome", "pair_suffix", "score_group", "valence", "n"], nums=["mean", "sem"],
-    extra={**Z, **SPLIT},
+    extra=Z,
 )
 def valence_by_group(spark, d):
-    rows = P.median_split(gaze_trials(spark, d), "phq9_score")
+    """Each outcome and pair is split at the median of its own rows."""
     suffix = F.create_map(*[F.lit(v) for p in M.PAIRS for v in (p.name, p.suffix)])
-    long = L.melt_outcomes(rows).filter("score_group is not null").withColumn(
+    long = L.melt_outcomes(gaze_trials(spark, d)).filter("y is not null")
+    long = P.median_split(long, "phq9_score", keys=["outcome", "scene_valence_pair"])
+    long = long.filter("score_group is not null").withColumn(
         "pair_suffix", suffix[F.col("scene_valence_pair")]
     )
     return S.mean_sem(long, ["outcome", "pair_suffix", "score_group", "valence"], "y")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fixatio.functions import columns as C
+from fixatio.operators import blocks as B
 
 # Raw column names of a recording, as text: numbers are parsed afterwards, so that a bad
 # value costs one NULL and not the file. The unnamed first column is the row number.
@@ -35,31 +37,69 @@ def session_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_samples(spark: SparkSession, path: str, with_index: bool = True) -> DataFrame:
+def _names(header: str) -> list[str]:
+    """Column names of a header line; an empty one is the row number's."""
+    names = next(csv.reader([header.lstrip("\ufeff")]))
+    return ["_idx" if n.strip() in ("", "Unnamed: 0") else n.strip() for n in names]
+
+
+def _by_name(header: str, line: str) -> Column:
+    """The wanted fields of a line under this header, as text; a column that is missing is NULL."""
+    names = _names(header)
+    fields = F.from_csv(line, ", ".join(f"c{i} string" for i in range(len(names))))
+    return F.struct(*[
+        (fields[f"c{names.index(n)}"] if n in names else F.lit(None).cast("string")).alias(n)
+        for n in ["_idx", *RAW_COLUMNS]
+    ])
+
+
+def read_samples(spark: SparkSession, path: str) -> DataFrame:
     """Gaze samples of all recordings under a folder, typed, without rows that have no scene.
 
-    ``with_index`` says whether files carry the unnamed row-number column. Its value is
-    the order of the samples; files without it are ordered by time.
+    Columns are found by the header of each file, so files with other columns, another order,
+    or without the unnamed row-number column can lie in one tree; a file without a header
+    fails the query. The row number is the order of the samples, and samples whose number
+    cannot be read come first; files without that column are numbered by time, ties by the
+    other columns.
     """
-    names = (["_idx"] if with_index else []) + RAW_COLUMNS
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = (
-        spark.read.schema(schema).option("header", True).option("enforceSchema", True)
-        .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").csv(path)
+    lines = (
+        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(path)
+        .select(F.col("_metadata.file_path").alias("file"), F.rtrim("value").alias("line"))
+        .filter("line <> ''")
     )
-    file = F.col("_metadata.file_path")
-    stamp = C.number("TIMESTAMP")
-    order = C.number("_idx") if with_index else F.round(stamp * 1000)
-    return raw.select(
-        F.url_decode(_session(file)).alias("session_id"),
-        F.url_decode(_folder(file)).alias("folder"),
-        order.cast("long").alias("sample_idx"),
-        stamp.alias("timestamp_ms"),
-        *[C.number(n).alias(n.lower()) for n in RAW_COLUMNS[1:8]],
-        C.flag("BLINK").alias("blink"),
-        C.real_image("IMAGE").alias("image"),
-        C.number("SCENE_INDEX").try_cast("int").alias("scene_index"),
+    is_header = F.lit(True)
+    for n in ("TIMESTAMP", "SCENE_INDEX"):
+        is_header = is_header & F.array_contains(F.split(F.regexp_replace("line", '["\ufeff ]', ""), ","), n)
+    of_file = lines.groupBy("file").agg(F.min(F.when(is_header, F.col("line"))).alias("header"))
+    # The different headers, not the files, are what the plan grows with.
+    headers = [r["header"] for r in of_file.select("header").distinct().collect()]
+    if None in headers:
+        name = of_file.filter("header is null").first()["file"]
+        raise ValueError(f"{name}: no header with TIMESTAMP and SCENE_INDEX")
+    rows = lines.filter(~is_header).join(of_file, "file")
+    fields = [F.when(F.col("header") == h, _by_name(h, "line")) for h in headers or [",".join(RAW_COLUMNS)]]
+    plain = [h for h in headers if "_idx" not in _names(h)]
+    rows = rows.select("file", F.col("header").isin(plain).alias("plain"), F.coalesce(*fields).alias("r"))
+    typed = rows.select(
+        F.url_decode(_session(F.col("file"))).alias("session_id"),
+        F.url_decode(_folder(F.col("file"))).alias("folder"),
+        F.coalesce(C.number("r._idx").cast("long"), F.lit(-1).cast("long")).alias("sample_idx"),
+        C.number("r.TIMESTAMP").alias("timestamp_ms"),
+        *[C.number(f"r.{n}").alias(n.lower()) for n in RAW_COLUMNS[1:8]],
+        C.flag("r.BLINK").alias("blink"),
+        C.real_image("r.IMAGE").alias("image"),
+        C.number("r.SCENE_INDEX").try_cast("int").alias("scene_index"),
+        "plain",
     ).filter(F.col("scene_index").isNotNull())
+    if not plain:
+        return typed.drop("plain")
+    by_time = ["timestamp_ms", *[c for c in typed.columns if c not in ("timestamp_ms", "sample_idx", "plain")]]
+    minute = F.floor(F.col("timestamp_ms") / 60_000).cast("long")
+    own = B.number_rows(
+        typed.filter("plain").drop("sample_idx"), ["session_id", "folder"], by_time, minute, "sample_idx"
+    )
+    rest = typed.filter("not plain").drop("plain")
+    return rest.unionByName(own.withColumn("sample_idx", F.col("sample_idx") - 1).drop("plain"))
 
 
 def _configs(spark: SparkSession, path: str) -> DataFrame:

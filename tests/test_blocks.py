@@ -76,3 +76,42 @@ def test_null_keys_match_when_asked(spark):
 def test_block_is_monotone(spark):
     rows = spark.range(1000).select("id", B.block("id", 64).alias("b"))
     assert rows.groupBy("b").agg(F.max("id") - F.min("id")).count() == 16
+
+
+@pytest.mark.parametrize("size", [7, 40, 100_000])
+def test_values_in_blocks_of_any_size(skewed, size):
+    """More blocks than 64, one block, and keys that are NULL give the same sums."""
+    df, pdf = skewed
+    df = df.union(df.filter("k = 'a'").selectExpr("null as k", "i", "v"))
+    counts = df.groupBy("k", "v").agg(F.count("*").alias("n"))
+    got = B.cumulate_values(counts, ["k"], "v", ["n"], block_values=size, keep_block=True).toPandas()
+    assert (got["_blk"].nunique() > 64) == (size == 7) and (got["_blk"].nunique() == 1) == (size == 100_000)
+    for key in ["hot", "a", "b", "c", None]:
+        own = got[got["k"].isna() if key is None else got["k"] == key].sort_values("v")
+        plain = pdf[pdf["k"] == (key or "a")].groupby("v").size()
+        assert own["n_before"].tolist() == (plain.cumsum() - plain).tolist()
+        assert set(own["n_total"]) == {plain.sum()}
+
+
+def test_a_plan_reads_its_blocks_from_storage(skewed):
+    """Where cuts fall is decided once: no sample or range exchange is left in the plan."""
+    df, _ = skewed
+    counts = df.groupBy("k", "v").agg(F.count("*").alias("n"))
+    plan = B.cumulate_values(counts, ["k"], "v", ["n"], block_values=50)._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan and "percentile" not in plan and "Scan parquet" in plan
+
+
+def test_rows_without_key_or_block_stay(spark):
+    rows = spark.createDataFrame([("a", 1, 5), ("a", None, 6), (None, 1, 7), (None, 2, 8)], "k string, i int, v int")
+    got = B.number_rows(rows, ["k"], ["i"], B.block("i", 2), "n").collect()
+    assert sorted((r.v, r.n) for r in got) == [(5, 2), (6, 1), (7, 1), (8, 2)]
+    steps = B.with_previous(rows, ["k"], ["i"], B.block("i", 2), {"p": "v"}).collect()
+    assert sorted((r.v, r.p) for r in steps if r.k is None) == [(7, None), (8, 7)] and len(steps) == 4
+
+
+def test_median_of_each_key(skewed):
+    df, pdf = skewed
+    m = pdf.groupby("k")["v"].transform("median")
+    got = P.median_split(df, "v", keys=["k"]).groupBy("score_group").count().collect()
+    assert {r["score_group"]: r["count"] for r in got} == {
+        "Low": int((pdf["v"] < m).sum()), "High": int((pdf["v"] >= m).sum())}

@@ -105,3 +105,10 @@ def test_expressions(spark):
     assert [tuple(r) for r in got] == [(None, None, None, False), (7.0, None, None, True)]
     p = spark.createDataFrame([(0.0005,), (0.005,), (0.03,), (0.2,), (None,)], "p double")
     assert [r[0] for r in p.select(C.stars("p")).collect()] == ["***", "**", "*", "n.s.", None]
+
+
+def test_sessions_without_user_are_nobodys(spark):
+    from fixatio.operators import features as X
+
+    rows = spark.createDataFrame([("u", 1.0), ("u", 3.0), (None, 9.0)], "uid string, a double")
+    assert [tuple(r) for r in X.user_means(rows, ["a"]).collect()] == [("u", 2.0)]

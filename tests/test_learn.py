@@ -83,3 +83,16 @@ def test_scores(spark):
     e = N.regression_scores(spark.createDataFrame([(1.0, 2.0), (3.0, 3.0), (5.0, 3.0)],
                                                   "label double, prediction double")).first()
     assert (e["r2"], e["mae"]) == (pytest.approx(1 - 5 / 8), pytest.approx(1.0))
+
+
+def test_ridge_solves_the_normal_equations(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 2))
+    y = 20 * x[:, 0] - 9 * x[:, 1] + rng.normal(size=40)
+    rows = spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y)], "x double, z double, y double")
+    fitted = N.ridge(40).fit(N.assemble(rows, ["x", "z"], "y", []))
+    scaled = (x - x.mean(0)) / x.std(0, ddof=1)
+    beta = np.linalg.solve(scaled.T @ scaled + np.eye(2), scaled.T @ (y - y.mean()))
+    assert fitted.stages[-1].coefficients.toArray() == pytest.approx(beta, rel=1e-4)

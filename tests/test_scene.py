@@ -22,10 +22,10 @@ def metrics(df, stimuli, schedule=None, **kw):
 
 
 def fixation_frame(spark, rows):
-    fields = ("session_id string, scene_index int, fix_no long, start_timestamp double, "
+    fields = ("session_id string, folder string, scene_index int, fix_no long, start_timestamp double, "
               "end_timestamp double, duration_ms double, rx double, ry double, image string, "
               "onset_ms double")
-    return spark.createDataFrame([("s", 1, i + 1, *r, 0.0) for i, r in enumerate(rows)], fields)
+    return spark.createDataFrame([("s", "set_0", 1, i + 1, *r, 0.0) for i, r in enumerate(rows)], fields)
 
 
 def test_valence_rule(stimuli):
@@ -135,3 +135,14 @@ def test_bias_extremes(spark, stimuli):
     skew = look(0, 304, "a") + look(400, 96, "b")
     r = metrics(frame(spark, skew), stimuli).first()
     assert r["bias_neg_vs_pos"] == pytest.approx((304 - 96) / 400)
+
+
+def test_one_file_name_in_two_folders(spark):
+    from fixatio.operators import events as E
+
+    a = frame(spark, look(0, 300, "a"))
+    both = a.union(a.withColumn("folder", F.lit("set_9")))
+    fixations = E.extract_fixations(both).collect()
+    assert sorted(r.folder for r in fixations) == ["set_0", "set_9"]
+    scenes = S.scene_metrics(both, keep_invalid_sessions=True).collect()
+    assert sorted((r.folder, r.fixation_count) for r in scenes) == [("set_0", 1), ("set_9", 1)]

@@ -105,3 +105,25 @@ def test_build_all(spark, folder, tmp_path):
 def test_tidy_text(spark):
     df = spark.createDataFrame([("nan", 1), ("None", 2), ("ok", 3)], "a string, b int")
     assert [r["a"] for r in TB.tidy_text(df).orderBy("b").collect()] == [None, None, "ok"]
+
+
+def test_headers_are_read_by_name_for_each_file(spark, tmp_path):
+    """Files with and without the row number, in other column order, and one name in two folders."""
+    body = [(16 * i, i % 2) for i in range(6)]
+    for folder in ("set_a", "set_b", "set_c"):
+        (tmp_path / folder).mkdir()
+    indexed = [HEAD, *[f"{i},{t},1,{f},9,0.1,0.2,0.3,0.4,False,i1,1" for i, (t, f) in enumerate(body)]]
+    indexed[3] = "oops" + indexed[3][1:]
+    (tmp_path / "set_a" / "s.csv").write_text("\n".join(indexed) + "\n")
+    plain = "IMAGE,SCENE_INDEX,TIMESTAMP,FEV"
+    (tmp_path / "set_b" / "s.csv").write_text("\n".join([plain, *[f"i2,3,{t},{f}" for t, f in reversed(body)]]) + "\n")
+    (tmp_path / "set_c" / "q.csv").write_text("\n".join(['"",TIMESTAMP,SCENE_INDEX', '4,"8",5']) + "\n")
+    rows = raw.read_samples(spark, str(tmp_path)).collect()
+    by = {f: sorted((r for r in rows if r.folder == f), key=lambda r: r.sample_idx) for f in ("set_a", "set_b", "set_c")}
+    assert [r.sample_idx for r in by["set_a"]] == [-1, 0, 1, 3, 4, 5] and by["set_a"][0].timestamp_ms == 32
+    assert [(r.sample_idx, r.timestamp_ms) for r in by["set_b"]] == [(i, 16.0 * i) for i in range(6)]
+    assert {(r.fdur, r.image, r.scene_index) for r in by["set_b"]} == {(None, "i2", 3)}
+    assert [(r.sample_idx, r.timestamp_ms, r.blink, r.scene_index) for r in by["set_c"]] == [(4, 8.0, True, 5)]
+    (tmp_path / "set_c" / "none.csv").write_text("1,2,3\n")
+    with pytest.raises(Exception, match="no header"):
+        raw.read_samples(spark, str(tmp_path)).collect()
