@@ -191,6 +191,7 @@ class _State:
     fit: dict | None = None
     centre: np.ndarray = field(default=None)
     done: bool = False
+    singular: bool = False
     rounds: int = 0
 
     def points(self) -> list[np.ndarray]:
@@ -281,11 +282,15 @@ def fit(
 
     ``sums`` is read once per round, so give it as a stored table. Models whose random
     slope vanishes, or do not converge, are fitted with a random intercept only; both
-    searches run side by side. Models below the minimum size, or without a solution,
-    are left out.
+    searches run side by side. Models of one pair below the minimum size, and models without
+    a solution, are left out. ``converged`` says whether the reported search came to its end.
     """
     p = len(design.terms)
-    sizes = sums.groupBy(*model).agg(F.sum("n_outcome").alias("m")).filter(F.col("m") >= MIN_ROWS)
+    # Only models of one stimulus pair have a minimum size.
+    enough = F.col("m") >= MIN_ROWS
+    if "pair_suffix" in model:
+        enough = enough | F.col("pair_suffix").isNull()
+    sizes = sums.groupBy(*model).agg(F.sum("n_outcome").alias("m")).filter(enough)
     ids = sorted((tuple(r[k] for k in model) for r in sizes.collect()), key=str)
     state = {(k, d): _State(d, np.array([0.5, 0.0, 0.5][:d] if d == 3 else [0.5]))
              for k in ids for d in ((3, 1) if random_slope else (1,))}
@@ -310,14 +315,14 @@ def fit(
             found = [got[key].get(i, (x, {"value": math.inf}))
                      for i, x in enumerate(state[key].points())]
             if all(not math.isfinite(f["value"]) for _, f in found):
-                state[key].done = True  # singular at every point
+                state[key].done = state[key].singular = True  # at every point
                 continue
             state[key].update([x for x, _ in found], [f for _, f in found])
     out = []
     for k in ids:
         full, single = state.get((k, 3)), state[(k, 1)]
         chosen = None
-        if full and full.fit is not None and full.done:
+        if full and full.fit is not None and full.done and not full.singular:
             cov = _covariance(full)
             better = single.fit is None or full.value < single.value - 1e-6
             if better and np.all(np.diag(cov) >= BOUNDARY):
@@ -330,6 +335,7 @@ def fit(
         out.append({
             **dict(zip(model, k)), "terms": design.terms, "beta": f["beta"], "se": f["se"],
             "cov_re": cov, "scale": f["scale"], "n_obs": int(f["n"]), "structure": structure,
+            "converged": chosen.done and not chosen.singular,
         })
     return out
 
@@ -363,11 +369,11 @@ def summary(spark: SparkSession, fits: list[dict], model: Sequence[str], names:
         for term in names:
             i = f["terms"].index(term)
             row += [float(f["beta"][i]), float(p_value(f, i)), float(cohens_d(f, i))]
-        rows.append((*row, float(icc(f)), f["structure"], f["n_obs"]))
+        rows.append((*row, float(icc(f)), f["structure"], f["n_obs"], f["converged"]))
     schema = ", ".join(f"`{k}` string" for k in model)
     for n in names.values():
         schema += f", `{n}_coef` double, `{n}_pval` double, `{n}_d` double"
-    return spark.createDataFrame(rows, schema + ", icc double, random_structure string, n_obs long")
+    return spark.createDataFrame(rows, schema + ", icc double, random_structure string, n_obs long, converged boolean")
 
 
 def temporal_summary(spark, sums: DataFrame) -> DataFrame:

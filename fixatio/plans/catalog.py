@@ -7,6 +7,7 @@ from fixatio.plans import (  # noqa: F401
     learn_queries,
     report_queries,
     scene_queries,
+    source_queries,
     stat_queries,
 )
 from fixatio.plans.registry import ORACLE, QUERIES

@@ -33,11 +33,16 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own for files in the shared folder."""
+    return f"{shared_folder(spark)}/fixatio-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write a step of an operator to the shared folder and read it back, so that every later
     branch reads the same rows, also after a task was lost."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/fixatio-{spark.sparkContext.applicationId}/steps/{uuid.uuid4().hex}"
+    path = new_folder(spark, "step")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
