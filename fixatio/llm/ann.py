@@ -65,8 +65,8 @@ def searcher(seed: int = 8):
                 near = np.argsort(-count, kind="stable")[: 16 * k]
             near = near[uids[near] != q_uids[i]]
             s = ux[near] @ uq[i]
-            best = k_best(s, ids[near], uids[near], min(len(near), 2 * k))
-            near = near[best]
+            if len(near) > k:  # products of equal vectors may differ in the last digit
+                near = near[s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-9]
             exact = cosines(q[i], x[near])
             pick = k_best(exact, ids[near], uids[near], k)
             rows.append(np.full(len(pick), i))
@@ -78,13 +78,15 @@ def searcher(seed: int = 8):
 
 
 def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Cosines of original vectors, in double precision."""
-    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
-        out = (x @ q) / (np.sqrt((x * x).sum(1)) * np.sqrt(q @ q))
+    """Cosines of original vectors, in double precision; equal vectors have equal ones."""
+    def ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (b * a).sum(1) / (np.sqrt((b * b).sum(1)) * np.sqrt((a * a).sum()))
+
+    with np.errstate(over="ignore", under="ignore", invalid="ignore", divide="ignore"):
+        out = ratio(q, x)
     bad = ~np.isfinite(out)
-    if bad.any():
-        a, b = q / np.abs(q).max(), x[bad] / np.abs(x[bad]).max(1, keepdims=True)
-        out[bad] = (b @ a) / (np.sqrt((b * b).sum(1)) * np.sqrt(a @ a))
+    if bad.any():  # beyond the range of squares
+        out[bad] = ratio(q / np.abs(q).max(), x[bad] / np.abs(x[bad]).max(1, keepdims=True))
     return out
 
 

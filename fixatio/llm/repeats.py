@@ -32,6 +32,7 @@ from fixatio.llm.suffix import common_prefixes, suffix_array
 from fixatio.llm.textbytes import mix, prefix_sums, span_hash
 
 LENGTH, GRAM = 200, 48
+LONGEST = 1 << 23  # bytes that are looked at in one go; places have 24 bits
 FLUSH = 500_000  # anchors that a task gathers before it sends them on
 BUCKET = 250_000  # anchors of a bucket, about
 HOT = 64  # contexts of an anchor within a flush that make it a hot one, dealt by context as well
@@ -44,6 +45,15 @@ _FOUND = "kind int, slot long, k1 long, k2 long, s int, e int, h long, c long, n
 def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     """Anchors of texts in a buffer: hash, hash of context, first and last window, anchor's place."""
     n, w = len(data), length - gram + 1
+    if n > LONGEST + length:
+        # Windows in turns. A context that is cut there differs from whole ones of its anchor, and
+        # is compared with them.
+        parts = []
+        for lo in range(0, n - length + 1, LONGEST):
+            piece = data[lo:lo + LONGEST + length - 1]
+            h, c, *places = anchors(piece, np.clip(at - lo, 0, len(piece)), length, gram)
+            parts.append((h, c, *(x + lo for x in places)))
+        return tuple(np.concatenate(x) for x in zip(*parts))
     size = np.diff(at)
     starts = np.flatnonzero(np.arange(n) + length <= np.repeat(at[1:], size)) if n >= length else np.zeros(0, np.int64)
     if not len(starts):
@@ -56,8 +66,6 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int =
     # Least hash (its upper 40 bits), first place, over w grams in a row: minima to the left and
     # right of every w-th gram.
     low = np.uint64((1 << 24) - 1)
-    if m > 1 << 24:
-        raise ValueError("cut texts into buffers of at most 16 MB")
     key = np.full(-(-m // w) * w, np.uint64(0xFFFFFFFFFFFFFFFF))
     key[:m] = h & ~low | place.astype(np.uint64)
     rows = key.reshape(-1, w)

@@ -154,7 +154,7 @@ def plain_repeats(texts, length):
 @pytest.mark.parametrize("split", [False, True])
 def test_repeated_strings(spark, monkeypatch, split):
     if split:  # flushes, hot anchors and shards so small that every way is taken
-        for name, value in {"FLUSH": 300, "BUCKET": 100, "HOT": 3, "SPLIT": 4, "SHARD_BYTES": 2000}.items():
+        for name, value in {"FLUSH": 300, "BUCKET": 100, "HOT": 3, "SPLIT": 4, "SHARD_BYTES": 2000, "LONGEST": 700}.items():
             monkeypatch.setattr(repeats, name, value)
     rng = np.random.default_rng(4)
     passages = [prose(100 + i, 12) for i in range(3)]
@@ -407,6 +407,17 @@ def test_nearest(spark):
     assert rows(ann.nearest(df.limit(0), F.col("vec_id") % 50 == 0)) == []
 
 
+def test_nearest_among_copies(spark):
+    """Of many equal vectors the smallest ids are taken."""
+    rng = np.random.default_rng(13)
+    hot = rng.standard_normal(64).astype(np.float32).tolist()
+    data = [(i, hot if i % 3 else rng.standard_normal(64).astype(np.float32).tolist(), 0) for i in range(1200)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, block int").repartition(3)
+    out = rows(ann.nearest(df, F.col("vec_id").isin(50, 1000)))
+    assert sorted(r[:3] for r in out) == [(q, r + 1, v) for q in (50, 1000) for r, v in enumerate((1, 2, 4, 5, 7))]
+    assert len({r[3] for r in out}) == 1
+
+
 def use_rows(use):
     return [(i, np.array(v)) for i, v in use if len(v) == 16]
 
