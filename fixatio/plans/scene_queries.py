@@ -4,16 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fixatio import model as M
 from fixatio.operators import events as E
 from fixatio.operators import prepare as P
 from fixatio.operators import scene as S
 from fixatio.plans import inputs as I
 from fixatio.plans.registry import register
 
-KEY = M.SCENE_KEY
-
-
 @register(
     "stimuli_table",
     "select * from stim",
@@ -112,7 +108,7 @@ def fixation_pairing(spark, d):
     """Pairing in small blocks, so that most scenes are stitched together from several."""
     f = E.extract_fixations(I.samples(spark, d), block_rows=7)
     return f.select(
-        *KEY, "fix_no", "n_samples",
+        "session_id", "scene_index", "fix_no", "n_samples",
         (F.col("end_timestamp") - F.col("start_timestamp")).alias("span_ms"),
     )
 
@@ -124,7 +120,7 @@ def fixation_pairing(spark, d):
     nums=["start_timestamp", "end_timestamp", "duration_ms"],
 )
 def blinks(spark, d):
-    return E.extract_blinks(I.samples(spark, d))
+    return E.extract_blinks(I.samples(spark, d)).drop("folder")
 
 
 @register(
@@ -145,7 +141,7 @@ from (
     others=["session_id", "scene_index", "left_image", "right_image"],
 )
 def image_sides(spark, d):
-    return E.image_sides(I.samples(spark, d))
+    return E.image_sides(I.samples(spark, d)).drop("folder")
 
 
 _LISTS = ["image_ids", "detected_image_ids", "unexpected_detected_images"]
@@ -174,7 +170,7 @@ def scene_metrics(spark, d):
 )
 def transition_matrix(spark, d):
     near = S.with_neighbour(I.fixations(spark, d))
-    return S.transition_counts(near, I.scenes(spark, d))
+    return S.transition_counts(near, I.scenes(spark, d)).drop("folder")
 
 
 @register(
@@ -186,7 +182,7 @@ def transition_matrix(spark, d):
 )
 def image_metrics(spark, d):
     """All fixated images, also those no schedule lists; small blocks to exercise stitching."""
-    return S.image_metrics(S.with_neighbour(I.fixations(spark, d), block_rows=2))
+    return S.image_metrics(S.with_neighbour(I.fixations(spark, d), block_rows=2)).drop("folder")
 
 
 @register(
@@ -203,4 +199,4 @@ def image_metrics(spark, d):
 )
 def scanpath(spark, d):
     m = S.general_metrics(I.fixations(spark, d), block_rows=2)
-    return m.drop("fixation_count", "on_image_ms")
+    return m.drop("folder", "fixation_count", "on_image_ms")
