@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from fixatio.plans import (  # noqa: F401
+    check_queries,
     feature_queries,
     learn_queries,
     report_queries,
