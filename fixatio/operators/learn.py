@@ -53,7 +53,7 @@ class Ridge(Estimator):
         self.n, self.alpha = n, alpha
 
     def _fit(self, rows: DataFrame):
-        deviation = rows.agg(F.stddev_samp("label")).first()[0] or 0.0
+        deviation = rows.agg(F.stddev_pop("label")).first()[0] or 0.0
         return _scaled(LinearRegression(
             featuresCol="scaled", labelCol="label", elasticNetParam=0.0, standardization=False,
             regParam=self.alpha * deviation / self.n,
