@@ -44,7 +44,8 @@ def simulate(rng, users, n, sd0, sd1, noise):
 
 
 def sums_of(spark, models):
-    data = [(m, None, *r) for m, rows in models.items() for r in rows]
+    # Only models of a pair have a minimum size.
+    data = [(m, "pair" if m == "tiny" else None, *r) for m, rows in models.items() for r in rows]
     df = spark.createDataFrame(
         data, "metric string, pair_suffix string, uid string, score double, trial double, y double")
     return L.user_sums(df, ["metric", "pair_suffix"], L.TEMPORAL_DESIGN).cache()
