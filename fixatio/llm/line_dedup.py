@@ -65,13 +65,15 @@ def dropped_lines(
     found = store(_occurrences(docs, text, min_chars, keys), "line-hashes")
     order = ["_a", "_b", "_k1", "_k2", "_pos"]
     runs = found.repartitionByRange(*order).sortWithinPartitions(*order)
-    frequent = (
+    # Stored, so that the join below has an exchange of its own, which Spark can split at a hot key.
+    frequent = store(
         runs.groupBy("_a", "_b")
         .agg(
             F.sum(F.col("_first").cast("long")).alias("_docs"),
             F.min(F.struct("_k1", "_k2", "_pos")).alias("_at"),
         )
-        .filter(F.col("_docs") >= min_docs)
+        .filter(F.col("_docs") >= min_docs),
+        "frequent-lines",
     )
     gone = found.join(frequent, ["_a", "_b"])
     if keep == "first":
