@@ -11,8 +11,10 @@ from fixatio.llm.common import store
 def _to_least(pairs: DataFrame, larger_only: bool) -> DataFrame:
     """Link the neighbours of each node ``a`` (those above it, or all) to the least of them and ``a``.
 
-    The least is a plain aggregate, and the join back is an equi-join whose large side Spark can
-    split, so a node with very many neighbours is no single task's work.
+    The least is a plain aggregate, and the join back uses its partitioning. A node with very many
+    neighbours sends pairs of two numbers to one task, which sorts them on disk if it must; nothing
+    is gathered in memory. (Storing the least first would let Spark split that join, at twice as
+    many small writes in every round.)
     """
     least = pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     linked = pairs.join(least, "a")

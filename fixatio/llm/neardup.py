@@ -222,20 +222,21 @@ def similar_pairs(texts: pa.Array, bands: np.ndarray, side: np.ndarray, idf: np.
     return pairs[ok], similarity[i, j][ok]
 
 
-def links(members: DataFrame, idf: np.ndarray, threshold: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """(a, b, similarity): verified links of (component, node, bands, chars, text), of each block
+def in_blocks(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Add ``blocks`` to (component, chars, ...): the number of blocks that the component is cut into."""
+    cut = nodes.groupBy("component").agg(
+        F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("chars") / BLOCK_CHARS)).cast("int").alias("blocks")
+    )
+    return nodes.join(cut, "component")
+
+
+def links(members: DataFrame, idf: np.ndarray, threshold: float = SIMILARITY) -> DataFrame:
+    """(a, b, similarity): verified links of (component, blocks, node, bands, text), of each block
     those that join its texts. Large components are cut into blocks, and every pair of blocks is
     compared in a task of its own."""
-    size = members.groupBy("component").agg(F.count("*").alias("_n"), F.sum("chars").alias("_c"))
-    cut = size.select(
-        "component",
-        F.greatest(F.ceil(F.col("_n") / block), F.ceil(F.col("_c") / BLOCK_CHARS)).cast("int").alias("_blocks"),
-    )
-    own = members.join(cut, "component").withColumn(
-        "_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
-    )
+    own = members.withColumn("_own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # Pair (i, j) with i <= j of blocks; a text goes to every pair that its block is part of.
-    spread = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
+    spread = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "component", "node", "bands", "text",
         F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own",
     )
@@ -257,7 +258,9 @@ def links(members: DataFrame, idf: np.ndarray, threshold: float = SIMILARITY, bl
     return spread.groupBy("component", "_i", "_j").applyInArrow(compare, "a long, b long, similarity double")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = SIMILARITY) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = SIMILARITY, block: int = BLOCK,
+) -> DataFrame:
     """(doc_id, _k1, _k2, class_id, class_size, stays) with a row per document, stored.
 
     ``class_id`` is the least doc_id of the class, ``stays`` marks one document of it (the one
@@ -281,17 +284,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         "nodes",
     )
     keys = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("_n")).filter("_n > 1")
+    shared = store(
+        keys.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("_n")).filter("_n > 1"), "bands"
+    )
     stars = keys.join(shared, "key").filter("node <> center").select("node", "center").distinct()
     candidates = components(stars, "node", "center")
-    wanted = candidates.join(nodes, "node")
+    # Blocks are counted before texts come in, so texts are never gathered by component alone.
+    wanted = in_blocks(candidates.join(nodes, "node"), block)
     found = texts.join(
-        wanted.select("_k1", "_k2", F.col("rep").alias("_rep"), "node", "component", "bands", "chars"), ["_k1", "_k2"]
+        wanted.select("_k1", "_k2", F.col("rep").alias("_rep"), "node", "component", "blocks", "bands"), ["_k1", "_k2"]
     ).filter(F.col("doc_id").eqNullSafe(F.col("_rep")))
     once = Window.partitionBy("_k1", "_k2").orderBy("node")
     members = store(
         found.withColumn("_n", F.row_number().over(once)).filter("_n = 1")
-        .select("component", "node", "bands", "chars", "text"),
+        .select("component", "blocks", "node", "bands", "text"),
         "members",
     )
     linked = components(links(members, idf, threshold), "a", "b")

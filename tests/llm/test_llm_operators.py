@@ -301,7 +301,7 @@ def plain_classes(docs, threshold=0.8):
 
 
 @pytest.mark.parametrize("block", [256, 8])
-def test_near_duplicates(spark, monkeypatch, block):
+def test_near_duplicates(spark, block):
     rng = np.random.default_rng(6)
     docs = [(0, None), (1, ""), (2, " \n"), (3, "one two"), (4, "one two"), (5, "one two three")]
     for g in range(12):
@@ -311,9 +311,8 @@ def test_near_duplicates(spark, monkeypatch, block):
             for at in rng.integers(0, len(words), int(rng.integers(0, 7))):
                 words[at] = f"edit{rng.integers(10_000)}"
             docs.append((len(docs), " ".join(words)))
-    monkeypatch.setattr(neardup.links, "__defaults__", (neardup.SIMILARITY, block))
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    out = neardup.near_duplicates(df).collect()
+    out = neardup.near_duplicates(df, block=block).collect()
     classes, sizes = plain_classes(docs)
     assert {r.doc_id: r.class_id for r in out} == classes
     assert {r.doc_id: r.class_size for r in out} == sizes
