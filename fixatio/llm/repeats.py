@@ -403,8 +403,11 @@ def repeated_strings(
     opens = store(opens.select("_k1", "_k2", "s", "e", "h", "c", "need"), "open")
     wide = opens.agg(F.sum(F.col("e") - F.col("s") + length)).first()[0] or 0
     shards = max(1, math.ceil(wide / SHARD_BYTES))
-    many = opens.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT).select(
-        "h", F.ceil(F.col("n") / SPLIT).cast("int").alias("split")
+    many = store(
+        opens.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT).select(
+            "h", F.ceil(F.col("n") / SPLIT).cast("int").alias("split")
+        ),
+        "hot-anchors",
     )
     dealt = opens.join(many, "h", "left").withColumn("split", F.coalesce("split", F.lit(1)))
     shard = F.when(
