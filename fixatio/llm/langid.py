@@ -20,7 +20,7 @@ from fixatio.llm.common import byte_buffer, per_worker, slices
 
 #: The most documents of a language that are learned from (expected value; drawn by hash of the id).
 DOCS_PER_LANGUAGE = 2000
-SYMBOLS = 64  # the 63 most frequent bytes, and one symbol for all others
+SYMBOLS = 256  # every byte value
 UNKNOWN = "und"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -82,63 +82,82 @@ def learn(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> dict[s
     return out
 
 
+def _place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Position of each wanted value in the sorted keys, or -1."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
 class ContextTrees:
-    """Code lengths in bits of each symbol after each context, for all languages.
+    """Code lengths in bits of each byte after each context, for all languages.
 
-    ``row[context of three symbols]`` points into ``bits[row, symbol, language]``: to the row of
-    the whole context if a language has seen it, else to the row of its last two symbols.
+    For each order the (context, byte) pairs that any language has seen are a sorted array, with
+    a row of code lengths each; so are the contexts, with the length of the escape in each
+    language (0 where the language has not seen the context). A pair that no language has seen
+    costs the escape of its context and is looked up one order lower.
     """
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.langs = list(counts)
-        seen = np.zeros(256, np.int64)
-        for gram, n in counts.values():
-            np.add.at(seen, gram & 255, n)
-        seen[32] = max(seen[32], seen.max() + 1)  # the blank before a text has a symbol of its own
-        self.symbol = np.full(256, SYMBOLS - 1, np.int64)
-        top = np.argsort(-seen, kind="stable")[: SYMBOLS - 1]
-        self.symbol[top[seen[top] > 0]] = np.arange((seen[top] > 0).sum())
-        self.symbol = self.symbol[_LOWER]
-        self.blank = int(self.symbol[32])
-        coded = {
-            lang: (sum(self.symbol[gram >> 8 * k & 255] << 6 * k for k in range(4)), n)
-            for lang, (gram, n) in counts.items()
-        }
-        whole = np.unique(np.concatenate([g >> 6 for g, _ in coded.values()])) if coded else np.zeros(0, np.int64)
-        pairs = SYMBOLS * SYMBOLS
-        self.row = np.tile(np.arange(pairs, dtype=np.int32), SYMBOLS)
-        self.row[whole] = pairs + np.arange(len(whole), dtype=np.int32)
-        self.bits = np.zeros((pairs + len(whole), SYMBOLS, len(self.langs)), np.float32)
-        for k, (gram, n) in enumerate(coded.values()):
-            lower = np.full((1, SYMBOLS), np.log2(SYMBOLS))
-            for order in range(3):
-                contexts = SYMBOLS**order
-                count = np.zeros(contexts * SYMBOLS)
-                np.add.at(count, gram & (contexts * SYMBOLS - 1), n)
-                lower = self._code(count.reshape(contexts, SYMBOLS), np.tile(lower, (contexts // len(lower), 1)))
-            count = np.zeros(len(whole) * SYMBOLS)
-            np.add.at(count, np.searchsorted(whole, gram >> 6) * SYMBOLS + (gram & (SYMBOLS - 1)), n)
-            self.bits[:pairs, :, k] = lower
-            self.bits[pairs:, :, k] = self._code(count.reshape(len(whole), SYMBOLS), lower[whole & (pairs - 1)])
-        self.bits = self.bits.reshape((pairs + len(whole)) * SYMBOLS, len(self.langs))
+        self.symbol = _LOWER.astype(np.int64)
+        #: For orders 0 to 3: pairs, their code lengths, contexts, their escapes.
+        self.orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        for order in range(4 if counts else 0):
+            own = []
+            for gram, n in counts.values():
+                pair, back = np.unique(gram & (SYMBOLS ** (order + 1) - 1), return_inverse=True)
+                own.append((pair, np.bincount(back, n, len(pair))))
+            pairs = np.unique(np.concatenate([p for p, _ in own]))
+            contexts = np.unique(pairs >> 8)
+            bits = np.zeros((len(pairs), len(self.langs)), np.float32)
+            escapes = np.zeros((len(contexts), len(self.langs)), np.float32)
+            at = np.searchsorted(contexts, pairs >> 8)
+            # The lower pair of one that was seen was seen as well.
+            below = np.searchsorted(self.orders[-1][0], pairs & (SYMBOLS**order - 1)) if order else None
+            for k, (pair, n) in enumerate(own):
+                count = np.zeros(len(pairs))
+                count[np.searchsorted(pairs, pair)] = n
+                lower = self.orders[-1][1][below, k] if order else np.log2(SYMBOLS)
+                bits[:, k], escapes[:, k] = self._code(count, at, len(contexts), lower)
+            self.orders.append((pairs.astype(np.uint32), bits, contexts.astype(np.uint32), escapes))
 
     @staticmethod
-    def _code(count: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """Code lengths where a context with n symbols of d kinds escapes with d / (n + d)."""
-        n, d = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
+    def _code(count: np.ndarray, at: np.ndarray, contexts: int, lower) -> tuple[np.ndarray, np.ndarray]:
+        """Code lengths where a context with n symbols of d kinds escapes with d / (n + d), and
+        the lengths of the escapes."""
+        n, d = np.bincount(at, count, contexts), np.bincount(at, count > 0, contexts)
         with np.errstate(divide="ignore", invalid="ignore"):
-            own = np.log2(n + d) - np.log2(count)
-            escaped = np.log2(n + d) - np.log2(d) + lower
-        return np.where(n == 0, lower, np.where(count > 0, own, escaped))
+            escape = np.where(n == 0, 0, np.log2(n + d) - np.log2(d))
+            own = np.log2(n + d)[at] - np.log2(count)
+        return np.where(count > 0, own, escape[at] + lower), escape
 
     def lengths(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Code length of each text in each language."""
         out = np.zeros((len(at) - 1, len(self.langs)))
         symbols = self.symbol[data]
-        cell = self.row[_contexts(symbols, at, self.blank, 6)].astype(np.int64) * SYMBOLS + symbols
+        grams = (_contexts(symbols, at, 32, 8) << 8 | symbols).astype(np.uint32)
         full = np.flatnonzero(at[1:] > at[:-1])
-        if len(full):
-            out[full] = np.add.reduceat(self.bits[cell], at[:-1][full], axis=0, dtype=np.float64)
+        if not len(full) or not self.orders:
+            return out
+        cell = _place(self.orders[3][0], grams)
+        rare = np.flatnonzero(cell < 0)  # no language has seen these four bytes in a row
+        left, more = grams[rare], np.zeros((len(rare), len(self.langs)))
+        open_ = np.arange(len(rare))
+        for order in (3, 2, 1, 0):
+            pairs, bits, contexts, escapes = self.orders[order]
+            here = _place(pairs, left)
+            more[open_[here >= 0]] += bits[here[here >= 0]]
+            open_, left = open_[here < 0], left[here < 0]
+            context = _place(contexts, left >> 8)
+            more[open_[context >= 0]] += escapes[context[context >= 0]]
+            left = left & (SYMBOLS**order - 1)
+        more[open_] += np.log2(SYMBOLS)
+        for k in range(len(self.langs)):
+            each = self.orders[3][1][cell, k].astype(np.float64)
+            each[rare] = more[:, k]
+            out[full, k] = np.add.reduceat(each, at[:-1][full])
         return out
 
 

@@ -469,6 +469,36 @@ def test_language(spark, awkward, nothing):
     assert rows(langid.identify(nothing, counts)) == [] and langid.learn(nothing.filter("lang is not null")) == {}
 
 
+def test_languages_of_many_scripts(spark):
+    """Two small languages differ in rare lead bytes only, beside large ones that use most byte values."""
+    rng = np.random.default_rng(14)
+    scripts = {"en": range(97, 123), "ru": range(0x430, 0x450), "zh": range(0x4E00, 0x5200), "ko": range(0xAC00, 0xB000), "he": range(0x5D0, 0x5E0), "syc": range(0x710, 0x720)}
+    docs = []
+    for lang, letters in scripts.items():
+        for _ in range(8 if lang in ("he", "syc") else 60):
+            words = ["".join(map(chr, rng.choice(letters, 5))) for _ in range(10 if lang in ("he", "syc") else 60)]
+            docs.append((len(docs), " ".join(words), lang))
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    out = {r.doc_id: r.lang_pred for r in langid.identify(df, langid.learn(df.filter(~langid.held_out("doc_id")))).collect()}
+    assert [(i, out[i]) for i, _, _ in docs] == [(i, lang) for i, _, lang in docs]
+
+
+def test_code_lengths_of_all_bytes():
+    """Each byte value has a symbol of its own, whatever else was learned."""
+    train = bytes(range(32, 65)) + bytes(range(91, 244))
+    padded = b"   " + train
+    counts = {"a": (np.array(sorted({int.from_bytes(padded[i:i + 4], "big") for i in range(len(train))})), np.ones(len(train), np.int64))}
+    trees = langid.ContextTrees(counts)
+    assert len({int(trees.symbol[b]) for b in range(256)}) == 256 - 26
+    kinds = len(set(train))
+    # After three bytes that never came before: 186 symbols of 186 kinds at order 0; unseen ones pay the escape of 1/2 and 8 bits.
+    got = trees.lengths(np.frombuffer(bytes([250, 251, 252, 200]) + bytes([250, 251, 252, 253]), np.uint8), np.array([0, 3, 4, 7, 8]))
+    seen, unseen = math.log2(2 * kinds), 1 + 8
+    first = math.log2(2)  # a context of blanks, or of one blank more, that was seen with another byte
+    assert abs(got[1, 0] - (3 * first + seen)) < 1e-4
+    assert abs(got[3, 0] - (3 * first + unseen)) < 1e-4
+
+
 def test_code_lengths_are_the_plain_ones():
     rng = np.random.default_rng(11)
     train = {"a": b"abracadabra abra", "b": b"banana bandana"}
