@@ -4,21 +4,43 @@ Unit vectors are projected on random lines; each line is a sorted array of its o
 a window around itself on every line, and wider windows by virtual rehashing, radius after radius:
 the windows of a radius contain those before, so each vector's count of lines on which it collides
 only grows. Vectors that reach the collision threshold are verified by their exact cosine. A
-search ends when the k-th verified vector is within the radius, or after the last radius.
+search ends when the k-th verified vector is within the radius. No two unit vectors are farther
+apart than the last radius, so all that are left are verified there.
 """
 
 from __future__ import annotations
 
+from math import ceil, sqrt
+from statistics import NormalDist
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 
 from fixatio.llm.vectorgrid import best_of_grid, k_best, packed
 
-LINES = 256
-#: A vector at the radius' distance collides on 68 % of the lines, one at 1.4 times it on 52 %.
-THRESHOLD = 0.585
-#: Half-widths of the windows on unit vectors, in turn.
-RADII = (0.25, 0.5, 1.0)
+#: Half-widths of the windows on unit vectors, in turn; each is the radius that is searched.
+RADII = tuple(2 * 2 ** (i / 2) for i in range(-6, 1))
+#: Shares of the vectors at the radius that are missed, and of those at the next one that are verified.
+MISSED, VERIFIED = 0.001, 0.01
+VERIFY = 1024  # vectors that are verified at once
+
+
+def _plan() -> tuple[int, int]:
+    """Lines, and collisions that are asked for.
+
+    The difference of two vectors at distance r is normal with deviation r on a random line,
+    whatever their length, so they collide in a window of half-width w with P(|N| <= w / r).
+    Windows grow with the radius, hence one plan serves all radii.
+    """
+    unit = NormalDist()
+    near, far = (2 * unit.cdf(x) - 1 for x in (1, 1 / sqrt(2)))
+    miss = unit.inv_cdf(1 - MISSED) * sqrt(near * (1 - near))
+    more = unit.inv_cdf(1 - VERIFIED) * sqrt(far * (1 - far))
+    lines = ceil(((miss + more) / (near - far)) ** 2)
+    return lines, int(lines * near - miss * sqrt(lines))
+
+
+LINES, THRESHOLD = _plan()
 
 
 def _lines(dim: int, seed: int) -> np.ndarray:
@@ -37,36 +59,40 @@ def searcher(seed: int = 8):
         place, own = ux @ a, uq @ a
         order = np.argsort(place.T, axis=1)
         line = np.take_along_axis(place.T, order, 1)
-        need = int(np.ceil(THRESHOLD * LINES))
         sides = [
-            np.array([[np.searchsorted(line[j], own[:, j] - w), np.searchsorted(line[j], own[:, j] + w, side="right")] for j in range(LINES)])
-            for w in RADII
+            np.array([[np.searchsorted(line[j], own[:, j] - w), np.searchsorted(line[j], own[:, j] + w, side="right")] for j in range(LINES)], np.int32)
+            for w in RADII[:-1]
         ]  # radius: line x (from, to) x query
         rows, found, score = [], [], []
         for i in range(len(q)):
             count = np.zeros(len(x), np.int64)
+            s = np.full(len(x), -np.inf)  # cosines of the verified vectors
+            left = uids != q_uids[i]  # neither verified nor the query itself
             inner = None
-            for radius, windows in zip(RADII, sides):
-                lo, hi = windows[:, 0, i].tolist(), windows[:, 1, i].tolist()
-                if inner is None:
-                    parts = [order[j, lo[j]:hi[j]] for j in range(LINES)]
-                else:  # what the wider window adds on both sides
-                    parts = [order[j, lo[j]:inner[0][j]] for j in range(LINES)]
-                    parts += [order[j, inner[1][j]:hi[j]] for j in range(LINES)]
-                inner = lo, hi
-                count += np.bincount(np.concatenate(parts), minlength=len(x))
-                near = np.flatnonzero(count >= need)
-                near = near[uids[near] != q_uids[i]]
-                if len(near) >= k:
-                    s = ux[near] @ uq[i]
-                    if np.sqrt(max(0.0, 2 - 2 * np.partition(s, len(s) - k)[len(s) - k])) <= radius:
-                        break
-            if len(near) < k:  # fewer than k at the last radius: those that collide most
-                near = np.argsort(-count, kind="stable")[: 16 * k]
-            near = near[uids[near] != q_uids[i]]
-            s = ux[near] @ uq[i]
+            for at, radius in enumerate(RADII):
+                if at < len(sides):
+                    lo, hi = sides[at][:, 0, i].tolist(), sides[at][:, 1, i].tolist()
+                    if inner is None:
+                        parts = [order[j, lo[j]:hi[j]] for j in range(LINES)]
+                    else:  # what the wider window adds on both sides
+                        parts = [order[j, lo[j]:inner[0][j]] for j in range(LINES)]
+                        parts += [order[j, inner[1][j]:hi[j]] for j in range(LINES)]
+                    inner = lo, hi
+                    count += np.bincount(np.concatenate(parts), minlength=len(x))
+                    new = np.flatnonzero(left & (count >= THRESHOLD))
+                else:
+                    new = np.flatnonzero(left)
+                for start in range(0, len(new), VERIFY):
+                    some = new[start:start + VERIFY]
+                    s[some] = ux[some] @ uq[i]
+                left[new] = False
+                if len(x) >= k and sqrt(max(0.0, 2 - 2 * min(1.0, np.partition(s, len(s) - k)[len(s) - k]))) <= radius:
+                    break
+                if not left.any():
+                    break
+            near = np.flatnonzero(s > -np.inf)
             if len(near) > k:  # products of equal vectors may differ in the last digit
-                near = near[s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-9]
+                near = near[s[near] >= np.partition(s, len(s) - k)[len(s) - k] - 1e-9]
             exact = cosines(q[i], x[near])
             pick = k_best(exact, ids[near], uids[near], k)
             rows.append(np.full(len(pick), i))

@@ -406,6 +406,31 @@ def test_nearest(spark):
     assert rows(ann.nearest(df.limit(0), F.col("vec_id") % 50 == 0)) == []
 
 
+@pytest.mark.parametrize("dim", [64, 128, 256, 768])
+def test_nearest_of_long_vectors(dim):
+    """Vectors without near neighbours: the longer they are, the farther is the nearest."""
+    rng = np.random.default_rng(dim)
+    x = rng.standard_normal((4000, dim))
+    ids, asked, k = np.arange(len(x)), np.arange(0, len(x), 200), 5
+    found = ann.searcher()((ids[asked], ids[asked], x[asked]), (ids, ids, x, []), k)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for i, a in enumerate(asked):
+        s = u @ u[a]
+        s[a] = -2
+        got = found[1][found[0] == i]
+        assert len(set(got.tolist())) == k and a not in got
+        hits += len(set(got.tolist()) & set(np.argsort(-s)[:k].tolist()))
+    assert hits / (k * len(asked)) >= 0.9
+
+
+def test_nearest_of_few_and_of_opposite_vectors():
+    x = np.array([[1.0, 0.0], [-1.0, 0.0], [0.0, 2.0]])
+    ids = np.arange(3)
+    rows_, found, score = ann.searcher()((ids[:1], ids[:1], x[:1]), (ids, ids, x, []), 5)
+    assert (rows_.tolist(), found.tolist(), score.tolist()) == ([0, 0], [2, 1], [0.0, -1.0])
+
+
 def test_nearest_among_copies(spark):
     """Of many equal vectors the smallest ids are taken."""
     rng = np.random.default_rng(13)
