@@ -87,9 +87,31 @@ def regression_linear_run(spark, d):
 
 @register("binary_boosted_run")
 def binary_boosted_run(spark, d):
-    """Twenty boosting rounds."""
-    return run(spark, d, "binary", "high",
-               {"Gradient Boosting": lambda n: N.boosted_classifier(n, 20)},
+    return run(spark, d, "binary", "high", _pick(N.CLASSIFIERS, "Gradient Boosting"),
+               {"All dimensions": DIMS})
+
+
+@register("multiclass_forest_run")
+def multiclass_forest_run(spark, d):
+    return run(spark, d, "multiclass", "label", _pick(N.MULTICLASS, "Random Forest"),
+               {"All dimensions": DIMS})
+
+
+@register("multiclass_boosted_run")
+def multiclass_boosted_run(spark, d):
+    return run(spark, d, "multiclass", "label", _pick(N.MULTICLASS, "Gradient Boosting"),
+               {"All dimensions": DIMS})
+
+
+@register("regression_forest_run")
+def regression_forest_run(spark, d):
+    return run(spark, d, "regression", "label", _pick(N.REGRESSORS, "Random Forest"),
+               {"All dimensions": DIMS})
+
+
+@register("regression_boosted_run")
+def regression_boosted_run(spark, d):
+    return run(spark, d, "regression", "label", _pick(N.REGRESSORS, "Gradient Boosting"),
                {"All dimensions": DIMS})
 
 

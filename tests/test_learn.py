@@ -69,6 +69,28 @@ def test_other_tree_models(spark, people, store):
     assert best["phq9_model"].endswith("/ r") and best["bdi_value"] == best["phq9_value"]
 
 
+def test_registered_tree_runs_are_whole(spark, monkeypatch):
+    """Every kind of tree learner has a query, with the reference's 200 trees or rounds."""
+    from fixatio.plans import learn_queries as L
+    from fixatio.plans.registry import QUERIES
+
+    asked = {}
+    monkeypatch.setattr(L, "run", lambda spark, d, task, label, models, sets=None: asked.update({(task, m): (f, sets) for m, f in models.items()}))
+    for task in ("binary", "multiclass", "regression"):
+        for kind in ("forest", "boosted"):
+            assert f"{task}_{kind}_run" in QUERIES
+            getattr(L, f"{task}_{kind}_run")(spark, "")
+    for (task, kind), (make, sets) in asked.items():
+        model = make(100)
+        if kind == "Random Forest":
+            assert model.getNumTrees() == 200
+        else:
+            one = model.getClassifier() if task == "multiclass" else model
+            assert (one.getMaxIter(), one.getMaxDepth(), one.getStepSize()) == (200, 4, 0.1)
+        assert sets == {"All dimensions": L.DIMS}
+    assert len(asked) == 6
+
+
 def test_scores(spark):
     df = spark.createDataFrame([(1, 1, 0.9), (1, 0, 0.4), (0, 0, 0.4), (0, 1, 0.8), (2, 2, 0.1)],
                                "label int, prediction int, score double")
