@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fixatio.llm import line_dedup as lines
-from fixatio.llm import ann, langid, mixing, neardup, packing, quality, repeats, topk, warc
+from fixatio.llm import ann, langid, mixing, neardup, packing, periods, quality, repeats, topk, warc
 from fixatio.llm.common import scratch, store, table
 
 
@@ -95,3 +95,38 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", n.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
         F.col("sha").alias("kept_sha256"),
     )
+
+
+def with_planted_period(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in every document whose crc32(doc_id) is divisible by 10, the words from a
+    place on repeat with a period, as the contract of the query lays down."""
+    h, words = F.crc32(F.col("doc_id").cast("string")), r"([^\x20\x09-\x0D]+)"
+    found = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g")).withColumn(
+        "w", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(words), F.lit(1)))
+    )
+    n = F.size("w")
+    placed = found.withColumn("a", F.when(n > 0, F.col("g") % n).cast("int")).withColumn(
+        "p", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int")
+    )
+    rest = n - F.col("a")
+    again = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int")))
+    planted = F.array_join(F.concat(F.slice("w", 1, F.col("a")), F.slice(again, 1, rest)), " ")
+    return placed.select("doc_id", F.when(n > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def periodic_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(
+        with_planted_period(table(spark, sf_dir, "documents")), carry=["doc_id"], keep_text=False
+    )
+    # The greatest length first, then the smallest start and period.
+    order = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period")
+    )))
+    each = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.when(F.size("runs") > 0, F.concat(F.array_join(each, "\n"), F.lit("\n"))).otherwise("")
+    return found.withColumn("top", order).select(
+        "row.doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.start")).alias("start"), "top.length",
+        (-F.col("top.period")).alias("period"),
+        F.expr("top.length * 1000 div -top.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.col("collapsed").alias("collapsed_sha256"),
+    )

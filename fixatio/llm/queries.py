@@ -21,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_collision_ann": digests.collision_counting_ann,
     "op9_language_ppm": digests.language_ppm,
     "op10_mix_sources": digests.mix_sources,
+    "op11_periodic_runs": digests.periodic_run_detection,
     "pipeline": corpus_pipeline.run,
 }
