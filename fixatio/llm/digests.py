@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fixatio.llm import line_dedup as lines
-from fixatio.llm import ann, langid, mixing, neardup, packing, periods, quality, repeats, topk, warc
+from fixatio.llm import alignment, ann, langid, mixing, neardup, packing, periods, quality, rangejoin, repeats, topk, warc
 from fixatio.llm.common import scratch, store, table
 
 
@@ -130,3 +130,20 @@ def periodic_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("top.length * 1000 div -top.period").alias("exponent_milli"),
         F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.col("collapsed").alias("collapsed_sha256"),
     )
+
+
+def embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rangejoin.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+    return found.select("row.vec_id", "n_links", "component_id", "kept")
+
+
+def cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = alignment.aligned(
+        table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"),
+        public_tokenizers.PATTERN, carry=["doc_id"], keep_groups=False,
+    )
+    return found.select(
+        "row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256")
+    )

@@ -22,5 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_ppm": digests.language_ppm,
     "op10_mix_sources": digests.mix_sources,
     "op11_periodic_runs": digests.periodic_run_detection,
+    "op12_token_alignment": digests.cross_tokenizer_alignment,
+    "op13_vector_range_join": digests.embedding_near_duplicates,
     "pipeline": corpus_pipeline.run,
 }

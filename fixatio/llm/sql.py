@@ -76,7 +76,30 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+VECTOR_RANGE_JOIN = """
+WITH RECURSIVE r AS (
+  SELECT row_number() OVER () AS uid, vec_id, [x::DOUBLE FOR x IN embedding] AS e FROM embeddings
+), v AS MATERIALIZED (
+  SELECT * FROM r WHERE vec_id IS NOT NULL AND len(e) > 0
+    AND len([1 FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([1 FOR x IN e IF x <> 0]) > 0
+), links AS (
+  SELECT a.uid, b.uid AS other, b.vec_id AS id FROM v a JOIN v b ON a.uid <> b.uid AND len(a.e) = len(b.e)
+  WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.9 ELSE false END
+), reach AS (
+  SELECT uid, uid AS at, vec_id AS id FROM r
+  UNION
+  SELECT reach.uid, links.other, links.id FROM reach JOIN links ON links.uid = reach.at
+), least AS (
+  SELECT uid, min(id) AS component_id FROM reach GROUP BY uid
+), n AS (
+  SELECT uid, count(*) AS n FROM links GROUP BY uid
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM r JOIN least USING (uid) LEFT JOIN n USING (uid)
+"""
+
 ORACLE = {
+    "op13_vector_range_join": VECTOR_RANGE_JOIN,
     "op4_warc_segments": WARC_ROUND_TRIP,
     "op6_exact_top_k": EXACT_TOP_K,
     "op3_line_dedup": LINE_DEDUP,
