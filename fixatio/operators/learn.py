@@ -8,26 +8,22 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    OneVsRest,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fixatio.functions import columns as C
 from fixatio.operators import blocks as B
+from fixatio.operators.boosting import HistogramBoosting
 
 # --- fixed values: model settings ------------------------------------------------
 TREES, ROUNDS, DEPTH, RATE, SEED, FOLDS = 200, 200, 4, 0.1, 42, 5
 # ---------------------------------------------------------------------------------
 
-Maker = Callable[[int], Estimator]
+Maker = Callable[[int], Estimator | HistogramBoosting]
 
 
 def _scaled(last) -> Pipeline:
@@ -74,16 +70,16 @@ def forest_regressor(n: int, trees: int = TREES) -> Estimator:
                                  featureSubsetStrategy="all")
 
 
-def boosted_classifier(n: int, rounds: int = ROUNDS) -> Estimator:
-    return GBTClassifier(maxIter=rounds, maxDepth=DEPTH, stepSize=RATE, seed=SEED, labelCol="label")
+def boosted_classifier(n: int, rounds: int = ROUNDS) -> HistogramBoosting:
+    return HistogramBoosting("binary", rounds, DEPTH, RATE)
 
 
-def boosted_multiclass(n: int, rounds: int = ROUNDS) -> Estimator:
-    return OneVsRest(classifier=boosted_classifier(n, rounds), labelCol="label", parallelism=4)
+def boosted_multiclass(n: int, rounds: int = ROUNDS) -> HistogramBoosting:
+    return HistogramBoosting("multiclass", rounds, DEPTH, RATE)
 
 
-def boosted_regressor(n: int, rounds: int = ROUNDS) -> Estimator:
-    return GBTRegressor(maxIter=rounds, maxDepth=DEPTH, stepSize=RATE, seed=SEED, labelCol="label")
+def boosted_regressor(n: int, rounds: int = ROUNDS) -> HistogramBoosting:
+    return HistogramBoosting("regression", rounds, DEPTH, RATE)
 
 
 CLASSIFIERS: dict[str, Maker] = {
@@ -137,6 +133,8 @@ def cross_predict(rows: DataFrame, make: Maker, k: int = FOLDS) -> DataFrame:
     """
     sizes = {r["fold"]: r["n"] for r in rows.groupBy("fold").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
+    if isinstance(boosting := make(total), HistogramBoosting):  # all folds at once
+        return boosting.cross_predict(rows, k)
 
     def one_fold(f: int) -> DataFrame:
         fitted = make(total - sizes[f]).fit(rows.filter(F.col("fold") != f))
