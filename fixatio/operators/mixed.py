@@ -1,18 +1,21 @@
 """Linear mixed models with a random intercept and slope per user.
 
 The likelihood needs, of each user, only sums of products of the design columns. Those
-sums come from one aggregation; after that each step of the fit is one aggregation over
-users for all models and all trial parameters at once, and the driver sees a handful of
-numbers per model.
+sums come from one aggregation. After that each Newton step is one aggregation over users, at one
+point for every model: value, score vector and information matrix of the restricted likelihood are
+functions of the same few hundred sums, which are all the driver sees of a model.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+import sys
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +23,11 @@ from fixatio import model as M
 from fixatio.operators import features as X
 from fixatio.operators import stats as S
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks bring this module along
+
 MIN_ROWS = 30
 BOUNDARY = 1e-6
+FAN_IN = 256  # partial sums of a model that are added up at once
 
 # --- fixed values: model families ------------------------------------------------
 INVARIANT_METRICS = [
@@ -125,158 +131,219 @@ def user_sums(rows: DataFrame, model: Sequence[str], design: Design) -> DataFram
     return rows.filter(F.col("y").isNotNull()).groupBy(*model, "uid").agg(*aggs)
 
 
-def _pieces(design: Design) -> tuple[list[str], list[str]]:
-    """SQL of the per-user weights and of the sums over users.
+def _user_pieces(design: Design, n_params: int, own: np.ndarray, column) -> np.ndarray:
+    """Per user, the numbers whose sums give the criterion and its first two derivatives.
 
-    With L = [[a, 0], [b, c]], K = I + L'Z'ZL and W = L K^-1 L', the sums are those of
-    X'X - X'Z W Z'X, X'y - X'Z W Z'y, y'y - y'Z W Z'y and log|K|.
+    ``own`` are each user's (a, b, c) and ``column`` gives a column of the sums. With
+    L = [[a, 0], [b, c]], K = I + L'Z'ZL and W = L K^-1 L', the inverse of a user's covariance
+    V = I + Z L L' Z' is I - Z W Z'. Rows hold, one after the other: log|K|; C = [X y]'V^-1[X y];
+    tr(E_k M), tr(E_k M E_l M), R_k = w'E_k w and Q_kl = w'E_k M E_l w with M = Z'V^-1 Z and
+    w = Z'V^-1[X y], for the three elements E_k of a symmetric matrix.
     """
     p, s = len(design.terms), design.slope
+    a, b, c = own.T
+    full = np.empty((len(own), p + 1, p + 1))  # [X y]'[X y]
+    for i in range(p):
+        for j in range(i, p):
+            full[:, i, j] = full[:, j, i] = column(f"xx_{i}_{j}")
+        full[:, i, p] = full[:, p, i] = column(f"xy_{i}")
+    full[:, p, p] = column("yy")
+    z = full[:, [0, s], :]  # Z'[X y]
+    g = z[:, :, [0, s]]
+    lower = np.zeros((len(own), 2, 2))
+    lower[:, 0, 0], lower[:, 1, 0], lower[:, 1, 1] = a, b, c
+    k = np.eye(2) + lower.transpose(0, 2, 1) @ g @ lower
+    det = k[:, 0, 0] * k[:, 1, 1] - k[:, 0, 1] ** 2
+    inverse = np.empty_like(k)
+    inverse[:, 0, 0], inverse[:, 1, 1] = k[:, 1, 1], k[:, 0, 0]
+    inverse[:, 0, 1] = inverse[:, 1, 0] = -k[:, 0, 1]
+    weight = lower @ (inverse / det[:, None, None]) @ lower.transpose(0, 2, 1)
+    zt = z.transpose(0, 2, 1)
+    rest = np.eye(2) - g @ weight
+    m, w = rest @ g, rest @ z
+    em = [e @ m for e in _ELEMENTS[:n_params]]
+    ew = [e @ w for e in _ELEMENTS[:n_params]]
+    wt = w.transpose(0, 2, 1)
+    out = [np.log(det), (full - zt @ weight @ z).reshape(len(own), -1).T]
+    out += [np.trace(x, axis1=1, axis2=2) for x in em]
+    out += [np.trace(x @ y, axis1=1, axis2=2) for x in em for y in em]
+    out += [(wt @ x).reshape(len(own), -1).T for x in ew]
+    out += [(wt @ _ELEMENTS[i] @ m @ ew[j]).reshape(len(own), -1).T for i in range(n_params) for j in range(n_params)]
+    return np.vstack([np.atleast_2d(x) for x in out])
+
+
+#: The elements of a symmetric 2 x 2 matrix: variances of intercept and slope, and their covariance.
+_ELEMENTS = np.array([[[1.0, 0.0], [0.0, 0.0]], [[0.0, 1.0], [1.0, 0.0]], [[0.0, 0.0], [0.0, 1.0]]])
+
+
+def _sum_vectors(parts: DataFrame, n_parts: int, keys: str) -> DataFrame:
+    """Add up the packed vectors of each key, a bounded number of them in a task."""
+    names = [x.split()[0] for x in keys.split(", ")]
+
+    def add(table: pa.Table) -> pa.Table:
+        data = table.sort_by("part").column("sums").to_pylist()
+        total = np.sum([np.frombuffer(x, np.float64) for x in data], axis=0)
+        return pa.table({
+            **{k: table.column(k)[:1] for k in names}, "part": pa.array([table.column("_to")[0].as_py()], pa.int64()),
+            "sums": pa.array([total.tobytes()], pa.binary()),
+        })
 
-    def xx(i, j):
-        return f"xx_{min(i, j)}_{max(i, j)}"
-
-    g00, g01, g11 = xx(0, 0), xx(0, s), xx(s, s)
-    k = [
-        f"1 + a * ({g00} * a + {g01} * b) + b * ({g01} * a + {g11} * b) as k00",
-        f"c * (a * {g01} + b * {g11}) as k01",
-        f"1 + c * c * {g11} as k11",
-    ]
-
-    def less(full, left, right):
-        return (f"sum({full} - (w00 * {left[0]} * {right[0]} + w01 * ({left[0]} * {right[1]} + "
-                f"{left[1]} * {right[0]}) + w11 * {left[1]} * {right[1]}))")
-
-    zx = [(xx(0, i), xx(s, i)) for i in range(p)]
-    zy = ("xy_0", f"xy_{s}")
-    sums = ["sum(n) as n", "count(1) as n_users", "sum(ln(det)) as logdet",
-            f"{less('yy', zy, zy)} as q"]
-    sums += [f"{less(f'xy_{i}', zx[i], zy)} as b_{i}" for i in range(p)]
-    sums += [f"{less(xx(i, j), zx[i], zx[j])} as a_{i}_{j}" for i in range(p) for j in range(i, p)]
-    return k, sums
-
-
-_WEIGHTS = [
-    "a * a * k11 / det as w00",
-    "a * (b * k11 - c * k01) / det as w01",
-    "(b * (b * k11 - c * k01) + c * (c * k00 - b * k01)) / det as w11",
-]
+    while True:
+        parts = parts.withColumn("_to", F.floor(F.col("part") / FAN_IN).cast("long")).groupBy(*names, "_to").applyInArrow(
+            add, f"{keys}, part long, sums binary"
+        )
+        n_parts = math.ceil(n_parts / FAN_IN)
+        if n_parts <= 1:
+            return parts
 
 
-def _evaluate(sums: DataFrame, model: Sequence[str], design: Design, points) -> DataFrame:
-    """Pieces of the likelihood, summed over users, per model and parameter point."""
-    k, totals = _pieces(design)
-    return (
-        sums.filter("n > 0").alias("u")
-        .join(F.broadcast(points).alias("p"),  # models x points, both fixed by the caller
-              [F.col(f"u.{m}").eqNullSafe(F.col(f"p.{m}")) for m in model])
-        .select("u.*", "p.point", "p.a", "p.b", "p.c")
-        .selectExpr("*", *k)
-        .selectExpr("*", "k00 * k11 - k01 * k01 as det")
-        .selectExpr("*", *_WEIGHTS)
-        .groupBy(*model, "point")
-        .agg(*[F.expr(e) for e in totals])
-    )
+def _evaluate(sums: DataFrame, model: Sequence[str], design: Design, points: dict[tuple, np.ndarray]) -> dict[tuple, dict]:
+    """The criterion and its derivatives for each (model, parameters) at its point (a, b, c)."""
+    p = len(design.terms)
+    names = ["n", "yy", *[f"xy_{i}" for i in range(p)], *[f"xx_{i}_{j}" for i in range(p) for j in range(i, p)]]
+    places: dict[tuple, list] = {}
+    for at, (key, dim) in enumerate(points):
+        places.setdefault(key, []).append((at, dim, points[key, dim]))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            keys = list(zip(*[batch.column(k).to_pylist() for k in model]))
+            rows: dict[tuple, list] = {}
+            for i, key in enumerate(keys):
+                rows.setdefault(key, []).append(i)
+            data = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+            for key, mine in rows.items():
+                for at, dim, point in places.get(key, ()):
+                    pieces = _user_pieces(design, dim, np.tile(point, (len(mine), 1)), lambda c: data[c][mine])  # noqa: B023
+                    found = np.concatenate([[data["n"][mine].sum(), len(mine)], pieces.sum(1)])
+                    total[at] = total[at] + found if at in total else found
+        part = TaskContext.get().partitionId()
+        for at, found in total.items():
+            yield pa.record_batch({
+                "at": pa.array([at], pa.int32()), "part": pa.array([part], pa.int64()), "sums": pa.array([found.tobytes()], pa.binary()),
+            })
+
+    rows = sums.filter("n > 0").select(*model, *[F.col(c).cast("double").alias(c) for c in names])
+    parts = rows.mapInArrow(partial, "at int, part long, sums binary")
+    found = _sum_vectors(parts, rows.rdd.getNumPartitions(), "at int").collect()  # one row a model
+    order = list(points)
+    return {order[r["at"]]: _solve(np.frombuffer(bytes(r["sums"]), np.float64), p, order[r["at"]][1], points[order[r["at"]]]) for r in found}
+
+
+def _solve(sums: np.ndarray, p: int, dim: int, point: np.ndarray) -> dict:
+    """Fixed effects, residual variance, REML criterion, and its gradient and Hessian by (a, b, c)
+    or by a alone.
+
+    In the elements v of the covariance the criterion f = (n - p) log r + log|V| + log|A|, with
+    r = y'Py, has the derivatives tr(P V_k) - (n - p) d_k / r and
+    -tr(P V_k P V_l) + (n - p) (2 c_kl / r - d_k d_l / r^2), where d_k = y'P V_k P y and
+    c_kl = y'P V_k P V_l P y.
+    """
+    n, users, logdet = sums[:3]
+    size, at = p + 1, 3
+    n_params = 1 if dim == 1 else 3
+
+    def take(*shape: int) -> np.ndarray:
+        nonlocal at
+        count = math.prod(shape)
+        at += count
+        return sums[at - count:at].reshape(shape)
+
+    c, m1, m2 = take(size, size), take(n_params), take(n_params, n_params)
+    r_k, q_kl = take(n_params, size, size), take(n_params, n_params, size, size)
+    a, b = c[:p, :p], c[:p, p]
+    try:
+        sign, logdet_a = np.linalg.slogdet(a)
+        inverse = np.linalg.inv(a)
+    except np.linalg.LinAlgError:
+        return {"value": math.inf}
+    beta = inverse @ b
+    r = c[p, p] - beta @ b
+    if n <= p or sign <= 0 or r <= 0 or np.linalg.cond(a) > 1e14:
+        return {"value": math.inf}
+    residual = np.append(-beta, 1.0)
+    d = np.array([residual @ x @ residual for x in r_k])
+    h = np.array([(x @ residual)[:p] for x in r_k])
+    crossed = np.array([[residual @ y @ residual for y in x] for x in q_kl]) - h @ inverse @ h.T
+    spread = [inverse @ x[:p, :p] for x in r_k]
+    squared = m2 + np.array([[
+        -2 * np.sum(inverse * q_kl[k, j][:p, :p]) + np.sum(spread[k] * spread[j].T)
+        for j in range(n_params)] for k in range(n_params)])
+    grad = m1 - np.array([np.trace(x) for x in spread]) - (n - p) * d / r
+    hess = -squared + (n - p) * (2 * crossed / r - np.outer(d, d) / r**2)
+    hess = (hess + hess.T) / 2
+    # From the elements of L L' to those of L.
+    if dim == 1:
+        jacobian, bend = np.array([[2 * point[0]]]), np.array([[2 * grad[0]]])
+    else:
+        x, y, z = point
+        jacobian = np.array([[2 * x, 0, 0], [y, x, 0], [0, 2 * y, 2 * z]])
+        bend = np.array([[2 * grad[0], grad[1], 0], [grad[1], 2 * grad[2], 0], [0, 0, 2 * grad[2]]])
+    s2 = r / (n - p)
+    # Where no random part is assumed, the means of d and r tell how large it is.
+    share = d / r
+    moments = np.linalg.lstsq(m2 - np.outer(share, m1), share * (n - p) - m1, rcond=None)[0]
+    return {
+        "moments": moments, "value": (n - p) * math.log(s2) + logdet + logdet_a, "grad": jacobian.T @ grad,
+        "hess": jacobian.T @ hess @ jacobian + bend, "beta": beta, "se": np.sqrt(s2 * np.diag(inverse)),
+        "scale": s2, "n": n, "n_users": users,
+    }
 
 
 @dataclass
 class _State:
-    """Search for one model's best random part: (a, b, c), or a alone."""
+    """Newton's search for one model's best random part: (a, b, c), or a alone.
+
+    The first evaluation, without a random part, only serves for a start.
+    """
 
     dim: int
     best: np.ndarray
-    radius: float = 0.4  # spacing of the points
-    reach: float = 0.8  # longest step
+    step: np.ndarray
+    reach: float = 1.0  # longest step
     value: float = math.inf
     fit: dict | None = None
-    centre: np.ndarray = field(default=None)
+    gain: float = math.inf  # decrease that the last step promised
     done: bool = False
     singular: bool = False
     rounds: int = 0
 
-    def points(self) -> list[np.ndarray]:
-        c = self.best if self.centre is None else self.centre
-        steps = [np.zeros(self.dim)]
-        eye = np.eye(self.dim) * self.radius
-        steps += [sign * e for e in eye for sign in (1, -1)]
-        steps += [eye[i] + eye[j] for i in range(self.dim) for j in range(i)]
-        return [c + s for s in steps]
+    def point(self) -> np.ndarray:
+        return self.best + self.step
 
-    def update(self, pts: list[np.ndarray], fits: list[dict]) -> None:
-        """Quadratic through the points; step to its minimum inside the trust radius."""
+    def update(self, found: dict) -> None:
         self.rounds += 1
-        f = np.array([x["value"] for x in fits])
-        k = int(np.nanargmin(f))
-        before = self.value
-        if f[k] < self.value:
-            self.value, self.best, self.fit = float(f[k]), pts[k], fits[k]
-        h, d = self.radius, self.dim
-        grad, hess = np.zeros(d), np.zeros((d, d))
-        for i in range(d):
-            up, down = f[1 + 2 * i], f[2 + 2 * i]
-            grad[i] = (up - down) / (2 * h)
-            hess[i, i] = (up - 2 * f[0] + down) / h**2
-        at = 1 + 2 * d
-        for i in range(d):
-            for j in range(i):
-                hess[i, j] = hess[j, i] = (
-                    f[at] - f[1 + 2 * i] - f[1 + 2 * j] + f[0]
-                ) / h**2
-                at += 1
-        centre = pts[0]
-        if np.all(np.isfinite(hess)) and np.all(np.isfinite(grad)):
-            vals, vecs = np.linalg.eigh(hess)
-            step = -vecs @ ((vecs.T @ grad) / np.maximum(np.abs(vals), 1e-10))
-        else:
-            step = self.best - centre
-        size = np.linalg.norm(step)
-        if size < 1e-6 and k:  # flat in the middle of a hump
-            step = pts[k] - centre
+        noise = 1e-12 * (1 + abs(self.value)) if self.fit else 0.0
+        if not math.isfinite(found["value"]) and self.fit is None:
+            self.done = self.singular = True
+        elif self.rounds == 1:
+            v = found["moments"]
+            values, vectors = np.linalg.eigh(np.array([[v[0], v[1]], [v[1], v[2]]]) if self.dim == 3 else v[:1, None])
+            lower = np.linalg.cholesky(vectors @ np.diag(np.maximum(values, 0.01)) @ vectors.T)
+            self.best = lower[np.tril_indices(len(lower))]
+        elif found["value"] <= self.value + noise:
+            self.best, self.value, self.fit = self.point(), found["value"], found
+            values, vectors = np.linalg.eigh(found["hess"])
+            # Away from humps: the sign of a curvature does not turn a step uphill.
+            step = -vectors @ ((vectors.T @ found["grad"]) / np.maximum(np.abs(values), 1e-8))
             size = np.linalg.norm(step)
-        capped = size > self.reach
-        if capped:
-            step, size = step * (self.reach / size), self.reach
-        moved = np.linalg.norm(self.best - centre)
-        accepted = f[0] <= before
-        if accepted:
-            self.centre = centre + step
-            self.reach *= 2 if capped else 1
-            self.radius = min(max(size / 3, 2e-3), 0.4)
-        else:
-            self.centre = self.best
-            self.reach = max(self.reach / 4, 1e-4)
-            self.radius = max(h / 4, 2e-3)
-        small = size < 1e-4 and moved < 2e-4
-        flat = size < 5e-2 and abs(before - self.value) < 1e-6  # in units of deviance
-        stuck = not accepted and self.reach < 2e-3  # no shorter step helps
-        self.done = self.rounds >= 4 and (small or (flat and accepted) or stuck)
-
-
-def _solve(row, p: int) -> dict:
-    """Fixed effects, residual variance and REML criterion from the summed pieces."""
-    a = np.empty((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            a[i, j] = a[j, i] = row[f"a_{i}_{j}"]
-    b = np.array([row[f"b_{i}"] for i in range(p)])
-    n = row["n"]
-    try:
-        sign, logdet_a = np.linalg.slogdet(a)
-        inv = np.linalg.inv(a)
-    except np.linalg.LinAlgError:
-        return {"value": math.inf}
-    beta = inv @ b
-    s2 = (row["q"] - beta @ b) / (n - p) if n > p else -1.0
-    if sign <= 0 or s2 <= 0 or np.linalg.cond(a) > 1e14:
-        return {"value": math.inf}
-    value = (n - p) * math.log(s2) + row["logdet"] + logdet_a
-    return {"value": value, "beta": beta, "se": np.sqrt(s2 * np.diag(inv)), "scale": s2, "n": n,
-            "n_users": row["n_users"]}
+            if size > self.reach:
+                step *= self.reach / size
+                self.reach *= 2
+            self.step, self.gain = step, -(found["grad"] @ step) / 2
+            self.done = self.gain < max(1e-8, noise)
+        else:  # too long
+            self.step = self.step / 4
+            self.reach = float(np.linalg.norm(self.step))
+            self.done = self.reach < 1e-7 or self.gain < 1e-6
 
 
 def fit(
     spark: SparkSession, sums: DataFrame, model: Sequence[str], design: Design,
-    max_rounds: int = 40, random_slope: bool = True,
+    max_rounds: int = 30, random_slope: bool = True,
 ) -> list[dict]:
     """REML fits of all models in ``sums``, as a list with one entry per model.
 
@@ -292,32 +359,15 @@ def fit(
         enough = enough | F.col("pair_suffix").isNull()
     sizes = sums.groupBy(*model).agg(F.sum("n_outcome").alias("m")).filter(enough)
     ids = sorted((tuple(r[k] for k in model) for r in sizes.collect()), key=str)
-    state = {(k, d): _State(d, np.array([0.5, 0.0, 0.5][:d] if d == 3 else [0.5]))
-             for k in ids for d in ((3, 1) if random_slope else (1,))}
-    fields = ", ".join(f"`{k}` string" for k in model) + ", point int, a double, b double, c double"
+    state = {(k, d): _State(d, np.zeros(d), np.zeros(d)) for k in ids for d in ((3, 1) if random_slope else (1,))}
     for _ in range(max_rounds):
         open_ = [key for key, s in state.items() if not s.done]
         if not open_:
             break
-        rows, where = [], {}
-        for key in open_:
-            for i, x in enumerate(state[key].points()):
-                a, b, c = (*x, 0.0, 0.0)[:3] if key[1] == 1 else x
-                point = i if key[1] == 3 else 100 + i
-                rows.append((*key[0], point, float(a), float(b), float(c)))
-                where[(key[0], point)] = (key, i, x)
-        got: dict = {key: {} for key in open_}
-        table = _evaluate(sums, model, design, spark.createDataFrame(rows, fields))
-        for r in table.collect():  # one row per model and point
-            key, i, x = where[(tuple(r[k] for k in model), r["point"])]
-            got[key][i] = (x, _solve(r, p))
+        points = {key: np.append(state[key].point(), [0.0, 0.0])[:3] for key in open_}
+        found = _evaluate(sums, model, design, points)
         for key in open_:
-            found = [got[key].get(i, (x, {"value": math.inf}))
-                     for i, x in enumerate(state[key].points())]
-            if all(not math.isfinite(f["value"]) for _, f in found):
-                state[key].done = state[key].singular = True  # at every point
-                continue
-            state[key].update([x for x, _ in found], [f for _, f in found])
+            state[key].update(found.get(key, {"value": math.inf}))
     out = []
     for k in ids:
         full, single = state.get((k, 3)), state[(k, 1)]
@@ -335,7 +385,7 @@ def fit(
         out.append({
             **dict(zip(model, k)), "terms": design.terms, "beta": f["beta"], "se": f["se"],
             "cov_re": cov, "scale": f["scale"], "n_obs": int(f["n"]), "structure": structure,
-            "converged": chosen.done and not chosen.singular,
+            "converged": chosen.done and not chosen.singular, "rounds": chosen.rounds,
         })
     return out
 

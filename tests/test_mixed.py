@@ -116,3 +116,38 @@ def test_reference_and_target():
     got = {p.suffix: L.reference_and_target(p) for p in L.M.PAIRS}
     assert got == {"neg_vs_pos": ("positive", "negative"), "neg_vs_neu": ("neutral", "negative"),
                    "pos_vs_neu": ("neutral", "positive")}
+
+
+def test_gradient_and_hessian_are_those_of_the_dense_criterion(spark):
+    rng = np.random.default_rng(11)
+    rows = simulate(rng, 12, 7, 0.9, 0.7, 0.6)
+    sums, key = sums_of(spark, {"m": rows}), ("m", None)
+    at, h = np.array([0.7, -0.3, 0.4]), 1e-4
+    got = L._evaluate(sums, ["metric", "pair_suffix"], L.TEMPORAL_DESIGN, {(key, 3): at, (key, 1): np.array([0.7, 0, 0])})
+    full, single = got[key, 3], got[key, 1]
+
+    def f(*theta):
+        return dense_reml(rows, terms, theta, 2)[0]
+
+    assert full["value"] == pytest.approx(f(*at), abs=1e-8)
+    steps = np.eye(3) * h
+    for i in range(3):
+        assert full["grad"][i] == pytest.approx((f(*(at + steps[i])) - f(*(at - steps[i]))) / (2 * h), rel=1e-5, abs=1e-5)
+        for j in range(3):
+            second = (f(*(at + steps[i] + steps[j])) - f(*(at + steps[i] - steps[j])) - f(*(at - steps[i] + steps[j])) + f(*(at - steps[i] - steps[j]))) / (4 * h * h)
+            assert full["hess"][i, j] == pytest.approx(second, rel=1e-3, abs=1e-3)
+    assert single["grad"][0] == pytest.approx((f(0.7 + h, 0, 0) - f(0.7 - h, 0, 0)) / (2 * h), rel=1e-5, abs=1e-5)
+
+
+def test_few_rounds_also_with_partial_sums(spark, monkeypatch):
+    """Ten rounds at most, wherever the optimum lies, and the same fit from many small parts."""
+    models = {}
+    for seed, (sd0, sd1, noise) in enumerate([(1, 1.5, 0.5), (0.8, 0, 1), (0, 0, 1), (6, 2, 0.3), (0.05, 0.4, 1), (0, 1, 1)]):
+        models[f"m{seed}"] = simulate(np.random.default_rng(seed), 50, 8, sd0, sd1, noise)
+    sums = sums_of(spark, models)
+    whole = {f["metric"]: f for f in L.fit(spark, sums, ["metric", "pair_suffix"], L.TEMPORAL_DESIGN)}
+    assert set(whole) == set(models) and all(f["converged"] and f["rounds"] <= 10 for f in whole.values())
+    monkeypatch.setattr(L, "FAN_IN", 2)
+    for f in L.fit(spark, sums.repartition(9).cache(), ["metric", "pair_suffix"], L.TEMPORAL_DESIGN):
+        assert f["beta"] == pytest.approx(whole[f["metric"]]["beta"], abs=1e-5)
+        assert f["structure"] == whole[f["metric"]]["structure"]
