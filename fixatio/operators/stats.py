@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fixatio.functions import columns as C
 from fixatio.operators import blocks as B
+from fixatio.plans.stages import keep
 
 
 def long_form(
@@ -43,22 +46,90 @@ def spearman(
     return with_p_value(out.filter(F.col("n") >= min_rows))
 
 
+def _gram(rows: DataFrame, vector: str, n: int) -> np.ndarray:
+    """Sum over rows of the outer product of an array column with itself (nulls count as 0): a
+    matrix per task, summed."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n, n))
+        for batch in batches:
+            x = np.asarray(batch.column("v").flatten().fill_null(0.0), np.float64).reshape(-1, n)
+            total += x.T @ x
+        i, j = np.nonzero(total)
+        yield pa.record_batch({"i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), "x": pa.array(total[i, j])})
+
+    out = np.zeros((n, n))
+    for r in rows.select(F.col(vector).alias("v")).mapInArrow(run, "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).collect():
+        out[r.i, r.j] = r.x  # at most n x n numbers
+    return out
+
+
 def spearman_matrix(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """Spearman r of every two metrics (a before b), each over the rows that have both."""
-    pairs = [(a, b) for i, a in enumerate(metrics) for b in metrics[i + 1 :]]
-    both = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(a).alias("metric_a"), F.lit(b).alias("metric_b"),
-                    F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"),
-                )
-                for a, b in pairs
-            ]
-        )
-    )
-    rows = df.select(both.alias("p")).select("p.*").filter("x is not null and y is not null")
-    return _rank_correlation(rows, ["metric_a", "metric_b"], "x", "y")
+    """Spearman r of every two metrics (a before b), each over the rows that have both.
+
+    Ranks of a metric among the rows that another metric has as well depend on which rows those
+    are, not on the other's values. Metrics that are missing in the same rows form a pattern, and a
+    metric gets one rank for each pattern. All correlations are then sums of products of ranks: a Gram
+    matrix per task, for each two patterns. No row is made for a pair of metrics.
+    """
+    spark, n = df.sparkSession, len(metrics)
+    stored = keep(df.select(*[F.col(m).cast("double").alias(f"m{i}") for i, m in enumerate(metrics)]).withColumn(
+        "_row", F.monotonically_increasing_id()
+    ))
+    known = [F.col(f"m{i}").isNotNull() for i in range(n)]
+    both = _gram(stored.select(F.array(*[k.cast("double") for k in known]).alias("v")), "v", n)
+    # Pattern of each metric: that of the first that is known in the same rows.
+    pattern, first = [], []
+    for i in range(n):
+        same = next((p for p, j in enumerate(first) if both[i, j] == both[i, i] == both[j, j]), None)
+        pattern.append(len(first) if same is None else same)
+        if same is None:
+            first.append(i)
+    marks = [f"_p{k}" for k in range(len(first))]
+    marked = stored.withColumns({m: known[i].cast("long") for m, i in zip(marks, first)})
+    rows = marked.unpivot(["_row", *marks], [f"m{i}" for i in range(n)], "metric", "value").filter("value is not null")
+    counts = rows.groupBy("metric", "value").agg(*[F.sum(m).alias(m) for m in marks])
+    placed = B.cumulate_values(counts, ["metric"], "value", marks)
+    # Average ranks less their mean, and their sums of squares.
+    rank = [(F.col(f"{m}_before") + (F.col(m) + 1) / 2 - (F.col(f"{m}_total") + 1) / 2) for m in marks]
+    ranks = keep(placed.select("metric", "value", F.array(*rank).alias("ranks"), F.array(*marks).alias("n")))
+    squares = ranks.groupBy("metric").agg(*[F.sum(F.col("n")[k] * F.col("ranks")[k] ** 2).alias(m) for k, m in enumerate(marks)])
+    spread = {int(r["metric"][1:]): [r[m] for m in marks] for r in squares.collect()}  # metrics x patterns
+    width = len(marks)
+    ranked = rows.select("_row", "metric", "value").join(ranks.select("metric", "value", "ranks"), ["metric", "value"])
+    # A row of the table again, with at most one entry a metric.
+    wide = ranked.groupBy("_row").agg(F.collect_list(F.struct(F.substring("metric", 2, 9).cast("int").alias("m"), "ranks")).alias("r"))
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = [[i for i in range(n) if pattern[i] == p] for p in range(width)]
+        total = np.zeros((n, n))
+        for batch in batches:
+            entries = batch.column("r")
+            owner = np.repeat(np.arange(batch.num_rows), np.asarray(entries.value_lengths()))
+            flat = entries.flatten()
+            x = np.zeros((batch.num_rows, n, width))
+            x[owner, np.asarray(flat.field("m"))] = np.asarray(flat.field("ranks").flatten(), np.float64).reshape(-1, width)
+            has = np.zeros((batch.num_rows, n), bool)
+            has[owner, np.asarray(flat.field("m"))] = True
+            for p, left in enumerate(groups):
+                for q, right in enumerate(groups[p:], p):
+                    # Only rows that have both; a pattern is missing as a whole.
+                    rows_of = has[:, left[0]] & has[:, right[0]]
+                    total[np.ix_(left, right)] += x[np.ix_(rows_of, left)][:, :, q].T @ x[np.ix_(rows_of, right)][:, :, p]
+        i, j = np.nonzero(total)
+        yield pa.record_batch({"i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), "x": pa.array(total[i, j])})
+
+    found = np.zeros((n, n))
+    for r in wide.select("r").mapInArrow(products, "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).collect():
+        found[r.i, r.j] = r.x
+    out = []
+    for i in range(n):
+        for j in range(i + 1, n):
+            if both[i, j]:
+                # Products stand where the pattern that comes first does.
+                xy = found[i, j] if pattern[i] <= pattern[j] else found[j, i]
+                scale = math.sqrt(spread[i][pattern[j]]) * math.sqrt(spread[j][pattern[i]])
+                out.append((metrics[i], metrics[j], float(xy / scale) if scale > 0 else None, int(both[i, j])))
+    return spark.createDataFrame(out, "metric_a string, metric_b string, spearman_r double, n long")
 
 
 def two_sided_t(t: np.ndarray, dof: np.ndarray) -> np.ndarray:

@@ -56,6 +56,33 @@ def test_spearman(numbers):
     assert S.spearman(df.limit(10), ["a"], "score").count() == 0
 
 
+@pytest.mark.parametrize("block_values", [1 << 20, 40])
+def test_spearman_matrix_of_missing_patterns(spark, monkeypatch, block_values):
+    """Columns missing together, apart, never at once or always; ties; constant columns; no rows."""
+    monkeypatch.setattr(S.B, "BLOCK_VALUES", block_values)
+    rng = random.Random(8)
+    rows = []
+    for i in range(240):
+        gap, other = rng.random() < 0.4, rng.random() < 0.2
+        a, b = rng.randrange(5), rng.random()
+        rows.append((None if gap else float(a), None if gap else b, None if other else b + rng.random(), float(a) + b,
+                     1.0, None if not gap else b, None, None if other or gap else -b))
+    cols = ["a", "b", "c", "d", "flat", "rest", "none", "e"]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols)).repartition(3)
+    pdf = pd.DataFrame(rows, columns=cols, dtype=float)
+    got = {(r["metric_a"], r["metric_b"]): (r["spearman_r"], r["n"]) for r in S.spearman_matrix(df, cols).collect()}
+    for i, x in enumerate(cols):
+        for y in cols[i + 1:]:
+            want, n = plain_spearman(pdf[x], pdf[y])
+            if not n:
+                assert (x, y) not in got
+                continue
+            r, m = got.pop((x, y))
+            assert m == n and (r is None if math.isnan(want) else r == pytest.approx(want, abs=1e-12))
+    assert not got
+    assert S.spearman_matrix(df.limit(0), cols).collect() == []
+
+
 def test_spearman_matrix(numbers):
     df, pdf = numbers
     for r in S.spearman_matrix(df, ["a", "b", "c"]).collect():
