@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +28,10 @@ from fixatio.llm.common import per_worker, scratch, slices
 HOT = 1 << 16  # a pair in more than this part of all rows is hot, so there are at most so many
 _SLICE = 1 << 20  # bytes of text that are aligned at once
 _LONG = 1 << 20  # longer texts go to the tokenizer itself
-_WIDE = 1 << 14  # groups with more links are folded to distinct ids first
+_WIDE = 1 << 14  # groups with more links are folded to distinct ids first, units with more are not kept
 _GATHER = 1 << 22  # pairs that are folded at once
 _FIELD = np.int64(20)  # bits of an id in a packed key
+_MEET = re.compile(r"\s\s")
 
 
 class ByteTokens:
@@ -133,45 +135,41 @@ def _links(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, text:
 
 
 class Aligner:
-    """Aligns texts with two encoders; keeps the tables that numpy needs."""
+    """Aligns texts with two encoders; keeps the tables that numpy needs, and units seen before.
 
-    def __init__(self, left, right):
-        self.sides = left, right
+    Both tokenizers end a token before a blank or line end that stands between two other characters
+    than white space: no piece holds one after something else, and the byte-level pattern puts it in
+    front of what follows. So a text in which no two white space characters meet falls into units
+    that are tokenized and aligned each by itself, and most units are words that were seen before.
+    Other texts are aligned whole.
+    """
+
+    def __init__(self, left, right, remember: int = 200_000):
+        self.sides, self.remember = (left, right), remember
         self.length = [np.array([len(x) for x in s.bytes_of], np.int64) for s in self.sides]
         if max(map(len, self.length)) >= 1 << int(_FIELD):
             raise ValueError("vocabularies of 2**20 ids and more are not supported")
         self.wide = max(map(len, self.length))
         self.rendered = [f"{i}{c}".encode() for c in ",|;" for i in range(self.wide)]
+        pieces = [x for s in self.sides[1:] for x in s.bytes_of if len(x) > 1]
+        self.by_units = not any(b" " in x.lstrip(b" ") or b"\n" in x or (x[:2] == b"  " and x.strip(b" ")) for x in pieces)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.facts = np.zeros((0, 4), np.int64)  # n_a, n_b, n_groups, n_links of each unit
+        self.shown: list[bytes] = []
+        self.keys, self.key_at = np.zeros(0, np.int64), np.zeros(1, np.int64)  # its links
 
     def _whole(self, texts: list[bytes], side: int, ids: list[list[int]]) -> list[bool]:
         """Whether the bytes of the tokens are the text's, for each text."""
         table = self.sides[side].bytes_of
-        count = [len(x) for x in ids]
-        flat = [i for x in ids for i in x]
-        size = np.add.reduceat(np.append(self.length[side][flat], 0), np.concatenate([[0], np.cumsum(count)[:-1]])) if flat and all(count) else None
-        if size is not None and size.tolist() == [len(x) for x in texts] and b"".join(map(table.__getitem__, flat)) == b"".join(texts):
-            return [True] * len(texts)
         return [b"".join([table[i] for i in x]) == text for x, text in zip(ids, texts)]
 
-    def align(self, texts: list[str | None]) -> dict[str, list]:
-        """Per text: n_a, n_b, n_groups, n_links, groups (as bytes), and its pairs of ids with
-        the number of their links (three arrays). Texts that are null or empty, or that a
-        tokenizer does not give back byte by byte, have no tokens."""
-        out: dict[str, list] = {k: [0] * len(texts) for k in ("n_a", "n_b", "n_groups", "n_links")}
-        none = np.zeros(0, np.int64)
-        out |= {"groups": [b""] * len(texts), "pairs": [(none, none, none)] * len(texts)}
-        live = [i for i, x in enumerate(texts) if x]
-        data = [b" " + texts[i].encode() for i in live]
-        ids = [self.sides[0].encode([" " + texts[i] for i in live]), self.sides[1].encode([texts[i] for i in live])]
-        if live:
-            good = [x and y for x, y in zip(*(self._whole(data, s, ids[s]) for s in (0, 1)))]
-            if not all(good):
-                live, *ids = ([x for x, ok in zip(these, good) if ok] for these in (live, *ids))
-        if not live:
-            return out
-        flat = [np.array([i for x in side for i in x], np.int64) for side in ids]
-        count = [np.array([len(x) for x in side]) for side in ids]
-        # Texts lie one after the other: both tokenizers end a token where a text ends.
+    def _core(self, flat: list[np.ndarray], count: list[np.ndarray]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """Align texts that lie one after the other (both tokenizers end a token where one ends):
+        their four numbers and shown groups; keys, times and offsets of the links of each."""
+        n = len(count[0])
         end = [np.cumsum(self.length[s][flat[s]]) for s in (0, 1)]
         start = [e - self.length[s][flat[s]] for s, e in enumerate(end)]
         side = np.repeat(np.array([0, 1], np.int8), [len(x) for x in flat])
@@ -181,7 +179,7 @@ class Aligner:
         n_groups = int(number[-1]) + 1
         n_a, n_b = (np.bincount(g, minlength=n_groups) for g in group)
         text = np.zeros(n_groups, np.int64)
-        text[group[0]] = np.repeat(np.arange(len(live)), count[0])
+        text[group[0]] = np.repeat(np.arange(n), count[0])
         # All tokens, group after group, A's before B's, each with the sign that follows it.
         last_a, last_b = np.cumsum(n_a), np.cumsum(n_b)
         shown = np.zeros(len(order), np.int64)
@@ -190,25 +188,104 @@ class Aligner:
         shown[place_a], shown[place_b] = flat
         shown[place_a[last_a - 1]] += self.wide
         shown[place_b[last_b - 1]] += 2 * self.wide
-        shown, rendered = shown.tolist(), self.rendered
         key, times = _links(*flat, n_a, n_b, text)
-        mask = np.int64((1 << int(_FIELD)) - 1)
-        a, b = (key >> _FIELD) & mask, key & mask
-        of_text = np.searchsorted(key >> (2 * _FIELD), np.arange(len(live) + 1))
-        per_text = np.bincount(text, minlength=len(live))
-        linked = np.zeros(len(live), np.int64)
+        linked = np.zeros(n, np.int64)
         np.add.at(linked, text, n_a * n_b)
-        at = 0
-        for k, i in enumerate(live):
-            out["n_a"][i], out["n_b"][i] = int(count[0][k]), int(count[1][k])
-            out["n_groups"][i], out["n_links"][i] = int(per_text[k]), int(linked[k])
-            stop = at + out["n_a"][i] + out["n_b"][i]
-            out["groups"][i] = b"".join([rendered[x] for x in shown[at:stop]])[:-1]
-            at = stop
-            lo, hi = of_text[k], of_text[k + 1]
-            out["pairs"][i] = a[lo:hi], b[lo:hi], times[lo:hi]
+        stops = np.concatenate([[0], np.cumsum(count[0] + count[1])]).tolist()
+        signs = [self.rendered[x] for x in shown.tolist()]
+        lines = [b"".join(signs[lo:hi])[:-1] for lo, hi in zip(stops, stops[1:])]
+        facts = np.stack([count[0], count[1], np.bincount(text, minlength=n), linked], 1)
+        return facts, lines, key, times, np.searchsorted(key >> (2 * _FIELD), np.arange(n + 1))
+
+    def _learn(self, units: list[str]) -> None:
+        """Enter new units. Those that are not given back, or have very many links, get no place."""
+        latin, other = [], []
+        for u in units:
+            (latin if u.isascii() or max(u) < "\u0100" else other).append(u)
+        for some in (latin, other):
+            for lo in range(0, len(some), 1 << 15):
+                self._enter(["a", *some[lo:lo + (1 << 15)]])  # the first one starts with a blank
+
+    def _enter(self, units: list[str]) -> None:
+        parts = [(u if u[0] == "\n" else " " + u) for u in units]
+        data = [x.encode() for x in parts]
+        joined = "".join(parts)
+        flat = [np.array(s.encode([x])[0], np.int64) for s, x in zip(self.sides, (joined, joined[1:]))]
+        stops, count = np.cumsum([len(x) for x in data]), []
+        for s in (0, 1):
+            same = b"".join([self.sides[s].bytes_of[i] for i in flat[s].tolist()]) == joined.encode()
+            ends = np.cumsum(self.length[s][flat[s]])
+            at = np.searchsorted(ends, stops)
+            if not same or (ends[at] != stops).any():  # some unit is not given back: look for it
+                if len(units) > 2:
+                    middle = (1 + len(units)) // 2
+                    self._enter(units[:middle])
+                    self._enter(["a", *units[middle:]])
+                return
+            count.append(np.diff(np.concatenate([[0], at + 1])))
+        facts, lines, key, times, at = self._core(flat, count)
+        keep = np.flatnonzero(facts[:, 3] <= _WIDE)
+        self.index.update((units[i], len(self.shown) + n) for n, i in enumerate(keep.tolist()))
+        self.shown += [lines[i] for i in keep.tolist()]
+        self.facts = np.concatenate([self.facts, facts[keep]])
+        kept = np.isin(key >> (2 * _FIELD), keep)
+        mask = np.int64((1 << int(2 * _FIELD)) - 1)
+        self.keys = np.concatenate([self.keys, np.repeat(key[kept] & mask, times[kept])])
+        self.key_at = np.concatenate([self.key_at, self.key_at[-1] + np.cumsum(facts[keep, 3])])
+
+    def _units_of(self, texts: list[str | None]) -> dict[int, list[str]]:
+        return {
+            i: x.replace("\n", " \n").split(" ") for i, x in enumerate(texts)
+            if x and not (x[0].isspace() or x[-1].isspace() or _MEET.search(x))
+        }
+
+    def align(self, texts: list[str | None]) -> dict[str, list]:
+        """Per text: n_a, n_b, n_groups, n_links, groups (as bytes), and its pairs of ids with
+        the number of their links (three arrays). Texts that are null or empty, or that a
+        tokenizer does not give back byte by byte, have no tokens."""
+        out: dict[str, list] = {k: [0] * len(texts) for k in ("n_a", "n_b", "n_groups", "n_links")}
+        none = np.zeros(0, np.int64)
+        out |= {"groups": [b""] * len(texts), "pairs": [(none, none, none)] * len(texts)}
+        if len(self.index) > self.remember:
+            self._forget()
+        split = self._units_of(texts) if self.by_units else {}
+        self._learn(sorted(set().union(*split.values()) - self.index.keys()))
+        split = {i: units for i, units in split.items() if all(map(self.index.__contains__, units))}
+        if split:
+            self._put(out, list(split), *self._by_units(list(split.values())))
+        live = [i for i, x in enumerate(texts) if x and i not in split]
+        data = [b" " + texts[i].encode() for i in live]
+        ids = [self.sides[0].encode([" " + texts[i] for i in live]), self.sides[1].encode([texts[i] for i in live])]
+        good = [x and y for x, y in zip(*(self._whole(data, s, ids[s]) for s in (0, 1)))]
+        live, *ids = ([x for x, ok in zip(these, good) if ok] for these in (live, *ids))
+        if live:
+            flat = [np.array([i for x in side for i in x], np.int64) for side in ids]
+            self._put(out, live, *self._core(flat, [np.array([len(x) for x in side]) for side in ids]))
         return out
 
+    def _by_units(self, split: list[list[str]]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """The same as ``_core`` gives for whole texts, from their units."""
+        index, shown = self.index, self.shown
+        units = [index[u] for words in split for u in words]
+        stops = np.concatenate([[0], np.cumsum([len(w) for w in split])])
+        lines = [b";".join([shown[i] for i in units[lo:hi]]) for lo, hi in zip(stops[:-1].tolist(), stops[1:].tolist())]
+        u = np.array(units, np.int64)
+        facts = np.add.reduceat(self.facts[u], stops[:-1])
+        size = self.facts[u, 3]
+        at = np.repeat(self.key_at[u] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        key = (np.repeat(np.arange(len(split)), facts[:, 3]) << (2 * _FIELD)) + self.keys[at]
+        key, times = np.unique(key, return_counts=True)
+        return facts, lines, key, times, np.searchsorted(key >> (2 * _FIELD), np.arange(len(split) + 1))
+
+    def _put(self, out: dict[str, list], places: list[int], facts: np.ndarray, lines: list[bytes], key: np.ndarray, times: np.ndarray, at: np.ndarray) -> None:
+        mask = np.int64((1 << int(_FIELD)) - 1)
+        a, b = (key >> _FIELD) & mask, key & mask
+        for k, i in enumerate(places):
+            for name, x in zip(("n_a", "n_b", "n_groups", "n_links"), facts[k].tolist()):
+                out[name][i] = x
+            out["groups"][i] = lines[k]
+            out["pairs"][i] = a[at[k]:at[k + 1]], b[at[k]:at[k + 1]], times[at[k]:at[k + 1]]
+
 
 def _pairs_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row number, A id, B id and number of links of every packed pair of a batch."""

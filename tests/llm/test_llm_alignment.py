@@ -106,6 +106,28 @@ def test_operator_is_the_plain_one(spark, monkeypatch, tools, hot, wide):
     assert all(r.row.row == "clash" and r.row._key == 2 for r in out)
 
 
+def test_units_are_the_whole_text(tools):
+    """Remembered units, a memory that is too small, units that are not given back: the same result."""
+    left, right = alignment.ByteTokens(A, public_tokenizers.PATTERN), alignment.PieceTokens(B)
+    rnd = random.Random(6)
+    words = ["rain", "Rain,", "it's", "«été»", "日本", "x1y22", "--", "▁", "a▁b", "<|endoftext|>", "=" * 40, "U.S.", "\u0001", "don't"]
+    texts = ["".join(rnd.choice(words) + rnd.choice([" ", " ", " ", "\n", "\n", "  ", "\t", " \n"]) for _ in range(rnd.randrange(1, 30))).strip() for _ in range(300)]
+    whole = alignment.Aligner(left, right)
+    assert whole.by_units
+    whole.by_units = False
+    for remember in (200_000, 5):
+        aligner = alignment.Aligner(left, right, remember)
+        for lo in range(0, 300, 100):
+            some = texts[lo:lo + 100]
+            assert len(aligner._units_of(some)) > 20
+            got, expected = aligner.align(some), whole.align(some)
+            for name in ("n_a", "n_b", "n_groups", "n_links", "groups"):
+                assert got[name] == expected[name]
+            for x, y in zip(got["pairs"], expected["pairs"]):
+                assert [v.tolist() for v in x] == [v.tolist() for v in y]
+    assert not any("▁" in u for u in aligner.index)
+
+
 def test_pairs_of_wide_groups():
     rng = np.random.default_rng(2)
     n_a, n_b, text = np.array([300, 1, 2]), np.array([200, 1, 3]), np.array([0, 0, 5])
