@@ -106,28 +106,22 @@ def queries_of(blocks: DataFrame) -> DataFrame:
     return blocks.mapInArrow(run, "dim int, n int, ids binary, uids binary, values binary")
 
 
-Search = Callable[[tuple, tuple, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
+Search = Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def best_of_grid(blocks: DataFrame, search: Search, k: int, score_type: str) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the ``k`` best candidates of each query.
-
-    ``search(queries, documents, k)`` gets (ids, uids, values) and (ids, uids, values, blocks) of a
-    cell and returns query rows, document rows and scores: for each query, all candidates of the
-    cell that may be among its k best, none of them the query's own row.
-    """
+def _grid(blocks: DataFrame) -> tuple[DataFrame, int, Column, Column]:
+    """Stored query blocks, the number of columns of the grid, and a block's column and row in it."""
     asked = store(queries_of(blocks).withColumn("block", F.monotonically_increasing_id()), "queries")
     # How many columns and rows the grid has, from the numbers of packed rows (a hot vector is spread by its blocks).
     across = max(1, math.ceil(blocks.count() / CELL_DOCS))
     down = max(1, math.ceil(asked.count() / CELL_QUERIES))
     cell = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
-    docs = blocks.drop("is_query").withColumn("_d", cell(across)).withColumn(
-        "_q", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))
-    )
-    queries = asked.withColumn("_q", cell(down)).withColumn(
-        "_d", F.explode(F.sequence(F.lit(0), F.lit(across - 1)))
-    )
+    return asked, across, cell(across), cell(down)
 
+
+def _search_cells(queries: DataFrame, docs: DataFrame, search: Search, k: int, score_type: str) -> DataFrame:
+    """Search every cell (dim, _q, _d): (quid, query_id, vec_id, uid, score). Queries that have a
+    column ``within`` hand it to the search as well."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table({
             "quid": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()),
@@ -139,22 +133,86 @@ def best_of_grid(blocks: DataFrame, search: Search, k: int, score_type: str) ->
         dim = left.column("dim")[0].as_py()
         q_ids, q_uids, q, _ = arrays(left, dim)
         documents = arrays(right, dim)
-        rows, found, score = search((q_ids, q_uids, q), documents, k)
+        more = ()
+        if "within" in left.column_names:
+            more = (np.frombuffer(b"".join(left.column("within").to_pylist()), np.float64),)
+        rows, found, score = search((q_ids, q_uids, q), documents, k, *more)
         return pa.table({
             "quid": q_uids[rows], "query_id": q_ids[rows], "vec_id": documents[0][found], "uid": documents[1][found],
             "score": pa.array(score, pa.int64() if score_type == "long" else pa.float64()),
         })
 
     keys = ["dim", "_q", "_d"]
-    some = queries.groupBy(*keys).cogroup(docs.groupBy(*keys)).applyInArrow(
+    return queries.groupBy(*keys).cogroup(docs.groupBy(*keys)).applyInArrow(
         run, f"quid long, query_id long, vec_id long, uid long, score {score_type}"
     )
+
+
+def _ranked(some: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("quid").orderBy(F.desc("score"), "vec_id", "uid")
     return some.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score"
     )
 
 
+def best_of_grid(blocks: DataFrame, search: Search, k: int, score_type: str) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the ``k`` best candidates of each query.
+
+    ``search(queries, documents, k)`` gets (ids, uids, values) and (ids, uids, values, blocks) of a
+    cell and returns query rows, document rows and scores: for each query, all candidates of the
+    cell that may be among its k best, none of them the query's own row.
+    """
+    asked, across, column, row = _grid(blocks)
+    down = max(1, math.ceil(asked.count() / CELL_QUERIES))
+    docs = blocks.drop("is_query").withColumn("_d", column).withColumn(
+        "_q", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))
+    )
+    queries = asked.withColumn("_q", row).withColumn(
+        "_d", F.explode(F.sequence(F.lit(0), F.lit(across - 1)))
+    )
+    return _ranked(_search_cells(queries, docs, search, k, score_type), k)
+
+
+def best_in_two_passes(blocks: DataFrame, search: Search, k: int) -> DataFrame:
+    """As ``best_of_grid``, for cosines: a query block first searches one column of the grid, and
+    the distance of each query's k-th neighbour there goes with it to all other columns."""
+    asked, across, column, row = _grid(blocks)
+    down = max(1, math.ceil(asked.count() / CELL_QUERIES))
+    home = F.pmod(F.xxhash64("block", F.lit(1)), F.lit(across)).cast("int")
+    docs = blocks.drop("is_query").withColumn("_d", column).withColumn(
+        "_q", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))
+    )
+    queries = asked.withColumn("_q", row)
+    first = store(_search_cells(queries.withColumn("_d", home), docs, search, k, "double"), "first-cell")
+    # A query has at most k rows here.
+    known = first.groupBy("quid").agg(F.count("*").alias("n"), F.min("score").alias("score")).filter(F.col("n") >= k).select(
+        "quid", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("score"))).alias("within")
+    )
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, uids in zip(batch.column("block").to_pylist(), batch.column("uids").to_pylist()):
+                u = np.frombuffer(uids, np.int64)
+                yield pa.record_batch({"block": pa.array(np.full(len(u), block)), "at": pa.array(np.arange(len(u))), "quid": pa.array(u)})
+
+    # The distances of a block, in its order: a block holds at most BLOCK and a few queries.
+    places = asked.select("block", "uids").mapInArrow(unpack, "block long, at long, quid long").join(known, "quid", "left")
+    packed_again = places.groupBy("block").agg(
+        F.sort_array(F.collect_list(F.struct("at", F.coalesce("within", F.lit(math.inf)).alias("d")))).alias("w")
+    ).select("block", F.col("w.d").alias("w"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [np.array(w, np.float64).tobytes() for w in batch.column("w").to_pylist()]
+            yield pa.record_batch({"block": batch.column("block"), "within": pa.array(data, pa.binary())})
+
+    within = packed_again.mapInArrow(pack, "block long, within binary")
+    others = queries.join(within, "block").withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(across - 1)))).filter(
+        F.col("_d") != home
+    )
+    return _ranked(first.unionByName(_search_cells(others, docs, search, k, "double")), k)
+
+
 def k_best(score: np.ndarray, ids: np.ndarray, uids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k largest scores, ties to the smaller id."""
     if len(score) > 4 * k:
