@@ -24,8 +24,11 @@ from fixatio.llm.textbytes import mix, prefix_sums, span_hash, word_spans
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 4
-#: Frequencies of words are counted in this many hashed places, whatever the size of the corpus.
-PLACES_BITS = 16
+#: A word is common if it has more than this part of all (document, word) pairs: there are at most so many.
+#: Rarer words weigh as much as one just as common would, in a corpus of any size.
+COMMON = 1 << 17
+_DOC_BITS = np.uint64(13)  # of a text's number in a slice, below the bits of a word's hash
+_GATHER = 1 << 22  # (document, word) pairs that are counted at once
 BLOCK, BLOCK_CHARS = 256, 16_000_000
 _TABLE = 1 << 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -36,30 +39,66 @@ def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (span_hash(prefix_sums(data), start, stop) if len(start) else np.zeros(0, np.uint64)), doc
 
 
-def _place(word: np.ndarray) -> np.ndarray:
-    return (word >> np.uint64(64 - PLACES_BITS)).astype(np.int64)
+def _word_key(word: np.ndarray) -> np.ndarray:
+    return word >> _DOC_BITS
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    count = np.zeros(1 << PLACES_BITS, np.int64)
-    for batch in batches:
-        for part in slices(batch, "text", 1 << 20):
-            word, doc = _words(*byte_buffer(part.column("text")))
-            seen = np.unique(doc << PLACES_BITS | _place(word))
-            count += np.bincount(seen & ((1 << PLACES_BITS) - 1), minlength=len(count))
-    used = np.flatnonzero(count)
-    yield pa.record_batch({"place": pa.array(used), "n": pa.array(count[used])})
-
+    """How many texts have a word, by its hash, in parts that are summed later."""
+    held, size, texts = [], 0, 0
 
-def inverse_frequencies(texts: DataFrame) -> np.ndarray:
-    """ln((1 + documents) / (1 + documents with the word)) + 1 by hashed word, over all documents."""
-    rows = texts.mapInArrow(_frequencies, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
-    count = np.zeros(1 << PLACES_BITS)
-    count[rows.column("place").to_numpy()] = rows.column("n").to_numpy()
-    return np.log((1 + texts.count()) / (1 + count)) + 1
+    def out() -> pa.RecordBatch:
+        word, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.record_batch({"word": pa.array(word.astype(np.int64)), "n": pa.array(n)})
 
-
-def shingles(data: np.ndarray, at: np.ndarray, idf: np.ndarray, words: int = WORDS):
+    for batch in batches:
+        texts += batch.num_rows
+        for part in slices(batch, "text", 1 << 20):
+            for lo in range(0, part.num_rows, 1 << int(_DOC_BITS)):
+                some = part.slice(lo, 1 << int(_DOC_BITS))
+                word, doc = _words(*byte_buffer(some.column("text")))
+                pairs = np.unique(_word_key(word) << _DOC_BITS | doc.astype(np.uint64))
+                held.append(_word_key(pairs))
+                size += len(pairs)
+        if size > _GATHER:
+            yield out()
+            held, size = [], 0
+    if size:
+        yield out()
+    yield pa.record_batch({"word": pa.array([None], pa.int64()), "n": pa.array([texts], pa.int64())})
+
+
+class InverseFrequencies:
+    """ln((1 + documents) / (1 + documents with the word)) + 1 of common words by hash; all others
+    have that of the limit."""
+
+    def __init__(self, word: np.ndarray, n: np.ndarray, texts: int, limit: float):
+        order = np.argsort(word)
+        self.word = word[order].astype(np.uint64)
+        self.value = np.log((1 + texts) / (1 + n[order])) + 1
+        self.rare = float(np.log((1 + texts) / (1 + limit)) + 1)
+
+    def of(self, word: np.ndarray) -> np.ndarray:
+        if not len(self.word):
+            return np.full(len(word), self.rare)
+        key = _word_key(word)
+        at = np.minimum(np.searchsorted(self.word, key), len(self.word) - 1)
+        return np.where(self.word[at] == key, self.value[at], self.rare)
+
+
+def inverse_frequencies(texts: DataFrame) -> InverseFrequencies:
+    """Of the words of all documents; every word is counted, and the common ones are returned."""
+    counts = store(texts.mapInArrow(_frequencies, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    n_texts, pairs = counts.agg(
+        F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0)),
+        F.coalesce(F.sum(F.when(F.col("word").isNotNull(), F.col("n"))), F.lit(0)),
+    ).first()
+    limit = pairs / COMMON
+    common = counts.filter(F.col("word").isNotNull() & (F.col("n") > limit)).toArrow()
+    return InverseFrequencies(common.column("word").to_numpy(), common.column("n").to_numpy(), n_texts, min(limit, n_texts))
+
+
+def shingles(data: np.ndarray, at: np.ndarray, idf: InverseFrequencies, words: int = WORDS):
     """(shingle, weight of one occurrence, count, text number), by text number and shingle.
 
     A text of fewer words than a shingle is one shingle; one without words has none.
@@ -74,7 +113,7 @@ def shingles(data: np.ndarray, at: np.ndarray, idf: np.ndarray, words: int = WOR
     size = np.minimum(per_doc, words)[doc]
     heads = np.flatnonzero(index <= per_doc[doc] - size)
     value, weight = np.zeros(len(heads), np.uint64), np.zeros(len(heads))
-    own, span = idf[_place(word)], size[heads]
+    own, span = idf.of(word), size[heads]
     for k in range(words):
         at_k = np.minimum(heads + k, len(word) - 1)
         inside = k < span
@@ -121,7 +160,7 @@ class Sampler:
         return out
 
 
-def signatures(texts: DataFrame, idf: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def signatures(texts: DataFrame, idf: InverseFrequencies, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, _k1, _k2, chars, slot, bands) of each row of (doc_id, _k1, _k2, text); bands is
     null for a text without words, slot is a number of the row's own."""
     kind, key = texts.schema["doc_id"].dataType.simpleString(), uuid.uuid4().hex
@@ -168,7 +207,7 @@ def _forest(n: int, pairs: np.ndarray) -> list[int]:
     return out
 
 
-def similar_pairs(texts: pa.Array, bands: np.ndarray, side: np.ndarray, idf: np.ndarray, threshold: float):
+def similar_pairs(texts: pa.Array, bands: np.ndarray, side: np.ndarray, idf: InverseFrequencies, threshold: float):
     """Pairs (i < j) of texts with weighted Jaccard similarity at the threshold or above, and it.
 
     ``side`` is -1 for all where every pair is compared; else pairs of a 0 and a 1 that share a
@@ -230,7 +269,7 @@ def in_blocks(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     return nodes.join(cut, "component")
 
 
-def links(members: DataFrame, idf: np.ndarray, threshold: float = SIMILARITY) -> DataFrame:
+def links(members: DataFrame, idf: InverseFrequencies, threshold: float = SIMILARITY) -> DataFrame:
     """(a, b, similarity): verified links of (component, blocks, node, bands, text), of each block
     those that join its texts. Large components are cut into blocks, and every pair of blocks is
     compared in a task of its own."""

@@ -605,3 +605,24 @@ def test_mixing_awkward(awkward, nothing):
     assert rows(mixing.repeated_documents(nothing)) == []
     sizes = {(r.doc_id, r.size) for r in mixing.doc_sizes(awkward).collect()}
     assert {(1, 0), (2, 0), (3, 0), (5, 2), (8, 30_000)} <= sizes
+
+
+def test_word_frequencies_are_exact_and_scale_free(spark):
+    """Every word is counted by itself; only how common a word must be to count depends on the corpus."""
+    docs = [" ".join(f"w{j}" for j in range(i % 40 + 1)) + f" own{i} own{i}" for i in range(400)] + [None, ""]
+    df = spark.createDataFrame([(t,) for t in docs], "text string").repartition(3)
+    idf = neardup.inverse_frequencies(df)
+    n = collections.Counter(w for t in docs if t for w in set(t.split()))
+    words = sorted(n)
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    keys, _ = neardup._words(data, np.array([0, len(data)]))
+    assert idf.of(keys).tolist() == pytest.approx([math.log(403 / (1 + n[w])) + 1 for w in words])
+    assert len(idf.word) == len(n)  # words of one hash each, not places they share
+
+
+def test_rare_words_weigh_as_the_limit(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "COMMON", 50)
+    docs = ["common " + " ".join(f"x{i}y{j}" for j in range(9)) for i in range(60)]
+    idf = neardup.inverse_frequencies(spark.createDataFrame([(t,) for t in docs], "text string"))
+    assert len(idf.word) == 1 and idf.value[0] == pytest.approx(1.0)
+    assert idf.rare == pytest.approx(math.log(61 / (1 + 600 / 50)) + 1)
