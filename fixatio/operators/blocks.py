@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,9 @@ from fixatio.plans.stages import keep
 UNB, CUR = Window.unboundedPreceding, Window.currentRow
 # Distinct values that one task may hold in order at a time.
 BLOCK_VALUES = 1 << 20
+# Quantiles: accuracy of the sketch, half the share of rows that a bracket holds (its error and
+# two rows of the smallest key with one), and keys that are kept whole.
+SKETCH, BRACKET, SMALL_KEY = 10_000, 0.001, 4096
 
 
 def block(c: str | Column, size: int) -> Column:
@@ -178,27 +182,59 @@ def average_ranks(df: DataFrame, keys: Sequence[str], values: dict[str, str]) ->
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per key; NULLs are left out."""
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    rows = cumulate_values(counts, keys, "_v", ["_n"])
-    picks = []
-    for name, p in probs.items():
-        pos = (F.col("_n_total") - 1) * F.lit(float(p))
-        for side, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            here = (F.col("_n_before") <= at) & (at < F.col("_n_before") + F.col("_n"))
-            picks.append(F.max(F.when(here, F.col("_v"))).alias(f"_{side}_{name}"))
-        picks.append(F.max(pos - F.floor(pos)).alias(f"_w_{name}"))
-    found = rows.groupBy(*keys).agg(*picks)
+    """Exact quantiles with linear interpolation, one row per key; NULLs are left out.
+
+    A mergeable sketch brackets the position of each quantile in its key. One pass counts what
+    lies below a bracket and keeps the values in it, a few thousandths of the rows; only these are put
+    in order. Keys of at most ``SMALL_KEY`` rows are bracketed by everything. Should a sketch be
+    farther off than it promises, the brackets are widened. Reads ``df`` twice.
+    """
+    keys = list(keys)
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    for margin in (BRACKET, 32 * BRACKET, 1.0):
+        found, certain = _bracketed(rows, keys, list(probs.values()), margin)
+        if certain:
+            break
+        found = keep(found)
+        missing = [F.col(f"_{side}_{i}").isNull() for side in ("lo", "hi") for i in range(len(probs))]
+        if found.filter(reduce(Column.__or__, missing)).isEmpty():
+            break
     return found.select(
         *keys,
         *[
-            (
-                F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_w_{n}")
-            ).alias(n)
-            for n in probs
+            (F.col(f"_lo_{i}") + (F.col(f"_hi_{i}") - F.col(f"_lo_{i}")) * F.col(f"_w_{i}")).alias(n)
+            for i, n in enumerate(probs)
         ],
     )
+
+
+def _bracketed(rows: DataFrame, keys: list[str], probs: list[float], margin: float) -> tuple[DataFrame, bool]:
+    """The values on both sides of each position, and its fraction; whether none can be missing."""
+    ends = [min(1.0, max(0.0, p + side * margin)) for p in probs for side in (-1, 1)]
+    small = F.lit(True) if margin >= 1 else F.col("_size") <= SMALL_KEY
+    sketch = keep(rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_size"), F.percentile_approx("_v", ends, SKETCH).alias("_s")
+    ).select(*keys, "_size", *[
+        F.when(small, F.lit(limit)).otherwise(F.col("_s")[2 * i + j]).alias(f"_{name}_{i}")
+        for i in range(len(probs)) for j, (name, limit) in enumerate((("from", -math.inf), ("to", math.nan)))  # NaN is last
+    ]))
+    near = join_blocks(rows, sketch, keys) if keys else rows.crossJoin(F.broadcast(sketch))  # one row
+    # What is below a bracket counts as NULL, which comes first in order; what is above does not matter.
+    hits = F.array(*[
+        F.when(F.col("_v") <= F.col(f"_to_{i}"), F.struct(F.lit(i).alias("_i"), F.when(F.col("_v") >= F.col(f"_from_{i}"), F.col("_v")).alias("_v")))
+        for i in range(len(probs))
+    ])
+    counts = near.select(*keys, "_size", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("_h")).groupBy(
+        *keys, "_h._i", "_h._v"
+    ).agg(F.count(F.lit(1)).alias("_n"), F.max("_size").alias("_size"))
+    placed = cumulate_values(counts, [*keys, "_i"], "_v", ["_n"])
+    picks = []
+    for i, p in enumerate(probs):
+        pos = (F.col("_size") - 1) * F.lit(float(p))
+        for side, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+            here = (F.col("_i") == i) & (F.col("_n_before") <= at) & (at < F.col("_n_before") + F.col("_n"))
+            picks.append(F.max(F.when(here, F.col("_v"))).alias(f"_{side}_{i}"))
+        picks.append(F.max(pos - F.floor(pos)).alias(f"_w_{i}"))
+    # Small keys are kept whole, and so is every key once the bracket is everything.
+    certain = margin >= 1 or sketch.filter(~small).isEmpty()
+    return placed.groupBy(*keys).agg(*picks), certain

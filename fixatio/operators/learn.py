@@ -95,25 +95,53 @@ REGRESSORS: dict[str, Maker] = {
 }
 
 
+def greedy_segments(sizes: Sequence[tuple[int, int]], k: int) -> list[tuple[int, int, int, list[int]]]:
+    """Groups dealt out one by one, largest first, each to the lightest fold (the first of equal ones).
+
+    ``sizes`` are (size of a group, number of such groups). Returns (size, start, stop, cycle): the
+    groups of a size with the numbers start..stop - 1 go to the folds of the cycle in turn. Folds that
+    are less than a group apart take turns until they reach the next heavier one, so there are at
+    most k segments a size, however many groups it has.
+    """
+    load, out = [0] * k, []
+    for size, n in sorted(sizes, reverse=True):
+        start = 0
+        while start < n:
+            order = sorted(range(k), key=lambda f: (load[f], f))
+            lightest = order[0]
+            cycle = [f for f in order if (load[f], f) < (load[lightest] + size, lightest)]
+            turns, last = -(-(n - start) // len(cycle)), cycle[-1]
+            if len(cycle) < k:  # turns in which the last of the cycle comes before the next fold
+                nearest = order[len(cycle)]
+                gap = load[nearest] - load[last]
+                turns = min(turns, (gap - 1 if nearest < last else gap) // size + 1)
+            length = min(turns * len(cycle), n - start)
+            for i, f in enumerate(cycle):
+                load[f] += size * (length // len(cycle) + (i < length % len(cycle)))
+            out.append((size, start, start + length, cycle))
+            start += length
+    return out
+
+
 def grouped_folds(df: DataFrame, group: str, k: int = FOLDS) -> DataFrame:
-    """Add ``fold``: groups are dealt out by size, largest first; no group is split.
+    """Add ``fold``: groups go to the lightest fold, largest first; no group is split.
 
     Groups of one size go in order of a hash of their id, whose prefix also serves as
-    the block for numbering them, so many small groups do not meet in one task.
+    the block for numbering them, so many small groups do not meet in one task. The driver sees
+    one row per distinct size of a group, of which n rows can have sqrt(2n) at most.
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size")).withColumn(
         "_h", F.md5(F.col(group).cast("string"))
     )
     prefix = F.conv(F.substring("_h", 1, 3), 16, 10).cast("long")
     numbered = B.number_rows(sizes, ["_size"], ["_h", group], prefix, "_no")
-    per_size = sizes.groupBy((-F.col("_size")).alias("_neg")).agg(
-        F.count(F.lit(1)).alias("_groups")
-    )
-    larger = B.cumulate_values(per_size, [], "_neg", ["_groups"]).select(
-        (-F.col("_neg")).alias("_size"), "_groups_before"
+    per_size = sizes.groupBy("_size").agg(F.count(F.lit(1)).alias("n")).collect()
+    segments = df.sparkSession.createDataFrame(
+        greedy_segments([(r["_size"], r["n"]) for r in per_size], k), "_size long, _from long, _to long, _cycle array<int>"
     )
-    place = numbered.join(larger, "_size").select(
-        group, ((F.col("_groups_before") + F.col("_no") - 1) % k).cast("int").alias("fold")
+    turn = ((F.col("_no") - 1 - F.col("_from")) % F.size("_cycle")).cast("int")
+    place = numbered.join(segments, "_size").filter((F.col("_no") > F.col("_from")) & (F.col("_no") <= F.col("_to"))).select(
+        group, F.get("_cycle", turn).alias("fold")
     )
     return df.join(place, group)
 

@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,9 @@ from fixatio.operators import blocks as B
 from fixatio.plans.stages import keep
 
 
+MIN_ROWS = 20  # fixed value: fewer complete pairs give no correlation
+
+
 def long_form(
     df: DataFrame, ids: Sequence[str], cols: Sequence[str], name: str, value: str
 ) -> DataFrame:
@@ -38,7 +41,7 @@ def _rank_correlation(rows: DataFrame, keys: Sequence[str], x: str, y: str) -> D
 
 
 def spearman(
-    df: DataFrame, metrics: Sequence[str], score: str, min_rows: int = 20
+    df: DataFrame, metrics: Sequence[str], score: str, min_rows: int = MIN_ROWS
 ) -> DataFrame:
     """Spearman r, p and n of each metric with a score, over complete pairs."""
     rows = long_form(df.filter(F.col(score).isNotNull()), [score], metrics, "metric", "value")
@@ -201,7 +204,7 @@ def benjamini_hochberg(
     return tests.join(q, same, "left").drop("_p", *[f"_k_{k}" for k in keys])
 
 
-def correlation_report(df: DataFrame, metrics: Sequence[str], score: str, min_rows: int = 20):
+def correlation_report(df: DataFrame, metrics: Sequence[str], score: str, min_rows: int = MIN_ROWS):
     """Correlations with q-values, significance and stars, best first."""
     out = benjamini_hochberg(spearman(df, metrics, score, min_rows), "p_value", "q_value")
     return (
@@ -261,24 +264,28 @@ def mean_sem(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def trajectories(
-    trials: DataFrame, metrics: Sequence[str], group: str = "score_group", n_bins: int = 10
+    trials: DataFrame, metrics: Sequence[str], group: str = "score_group", n_bins: int = 10,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Mean and error of each metric over equal-width bins of trial number, per score group.
+    """Mean and error of each metric over equal-width bins of trial number, per score group (of the
+    same keys).
 
     Bins are closed on the right and span each group's own range.
     """
-    span = trials.groupBy(group).agg(
+    by = [*keys, group]
+    span = trials.groupBy(*by).agg(
         F.min("trial_num").alias("_lo"), F.max("trial_num").alias("_hi")
     )
     width = F.col("_hi") - F.col("_lo")
     at = F.ceil((F.col("trial_num") - F.col("_lo")) * n_bins / width) - 1
-    binned = trials.join(F.broadcast(span), group).withColumn(  # one row per group: two
+    # One row per group: two, for each of the keys.
+    binned = trials.join(span if keys else F.broadcast(span), by).withColumn(
         "trial_bin",
         F.when(width > 0, F.greatest(F.lit(0), F.least(F.lit(n_bins - 1), at)))
         .otherwise((n_bins - 1) // 2).cast("int"),
     )
-    rows = long_form(binned, [group, "trial_bin"], metrics, "metric", "y")
-    return mean_sem(rows, [group, "trial_bin", "metric"], "y")
+    rows = long_form(binned, [*by, "trial_bin"], metrics, "metric", "y")
+    return mean_sem(rows, [*by, "trial_bin", "metric"], "y")
 
 
 def gaze_density(
@@ -298,6 +305,75 @@ def gaze_density(
     return cells.join(totals, list(keys)).withColumn("share", F.col("n") / F.col("_t")).drop("_t")
 
 
+KERNEL_REACH = 6.0  # deviations; what is left out is below 2e-8 of the peak
+
+
+def kernel_density(
+    samples: DataFrame, keys: Sequence[str], grid: int = 200, factor: float = 0.05, bins: int = 32,
+    least: int = 11, x: str = "rx", y: str = "ry",
+) -> DataFrame:
+    """Gaussian kernel density of gaze samples at the nodes of a grid over the screen.
+
+    Returns (keys, node_x, node_y, density) where the density is not negligible. The kernel is the
+    covariance of a key's samples times ``factor`` squared. Samples are counted in ``bins`` to a
+    deviation of the kernel, along x and along y - beta x, in which it has no correlation. So it
+    splits into one smoothing along x, to the columns of the grid, and one along y, to its rows: work
+    is bounded by bins and nodes, not by samples, and every count is summed where it is made. A bin
+    stands at the mean of its points, so what it loses is of second order: below 1/(12 bins^2). Points
+    off the screen's margin are left out; keys of fewer than ``least`` points, or whose points lie
+    on a line, have no density.
+    """
+    keys = list(keys)
+    seen = samples.filter(C.in_view(x, y)).select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    shape = seen.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_size"), F.var_samp("_x").alias("_xx"), F.covar_samp("_x", "_y").alias("_xy"), F.var_samp("_y").alias("_yy")
+    ).filter((F.col("_size") >= least) & (F.col("_xx") > 1e-12)).select(
+        *keys, "_size", (F.col("_xy") / F.col("_xx")).alias("_beta"), (factor * F.sqrt("_xx")).alias("_sx"),
+        (F.col("_yy") - F.col("_xy") * F.col("_xy") / F.col("_xx")).alias("_rest"),
+    ).filter("_rest > 1e-12").withColumn("_sy", factor * F.sqrt("_rest")).drop("_rest")
+    shape = keep(shape)
+
+    def nodes(at: Column, reach: Column) -> Column:
+        first, last = F.ceil((at - reach) * (grid - 1)), F.floor((at + reach) * (grid - 1))
+        first, last = F.greatest(first, F.lit(0)), F.least(last, F.lit(grid - 1))
+        return F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")))
+
+    def bell(z: Column) -> Column:
+        return F.exp(-z * z / 2)
+
+    scaled, step = ["_size", "_beta", "_sx", "_sy"], float(grid - 1)
+    cells = (
+        B.join_blocks(seen, shape, keys).withColumn("_r", F.col("_y") - F.col("_beta") * F.col("_x"))
+        .groupBy(*keys, *scaled, F.floor(F.col("_x") / F.col("_sx") * bins).alias("_i"), F.floor(F.col("_r") / F.col("_sy") * bins).alias("_j"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.avg("_x").alias("_x"), F.avg("_r").alias("_r"))
+    )
+    weight = F.col("_n") * bell((F.col("node_x") / F.lit(step) - F.col("_x")) / F.col("_sx"))
+    across = (
+        cells.withColumn("node_x", nodes(F.col("_x"), KERNEL_REACH * F.col("_sx")))
+        .groupBy(*keys, *scaled, "_j", "node_x").agg(F.sum(weight).alias("_w"), F.sum(weight * F.col("_r")).alias("_wr"))
+        .withColumn("_c", F.col("_wr") / F.col("_w") + F.col("_beta") * F.col("node_x") / F.lit(step))
+    )
+    return (
+        across.withColumn("node_y", nodes(F.col("_c"), KERNEL_REACH * F.col("_sy")))
+        .groupBy(*keys, *scaled, "node_x", "node_y")
+        .agg(F.sum(F.col("_w") * bell((F.col("node_y") / F.lit(step) - F.col("_c")) / F.col("_sy"))).alias("_s"))
+        .select(*keys, F.col("node_x").cast("int"), F.col("node_y").cast("int"),
+                (F.col("_s") / (F.col("_size") * (2 * math.pi) * F.col("_sx") * F.col("_sy"))).alias("density"))
+    )
+
+
+def density_levels(density: DataFrame, keys: Sequence[str], levels: int = 20, grid: int = 200) -> DataFrame:
+    """Filled contours as numbers: per key and level (of the peak's height, in ``levels`` equal
+    steps) how many nodes reach it and what share of the screen's density lies on them."""
+    keys = list(keys)
+    peak = density.groupBy(*keys).agg(F.max("density").alias("peak"))
+    level = F.least(F.floor(F.col("density") / F.col("peak") * levels + 1e-9), F.lit(levels - 1)).cast("int")
+    bands = B.join_blocks(density, peak, keys).groupBy(*keys, "peak", level.alias("level")).agg(
+        F.count(F.lit(1)).alias("nodes"), (F.sum("density") / float((grid - 1) ** 2)).alias("mass")
+    )
+    return bands.select(*keys, "level", "nodes", "mass", "peak")
+
+
 def group_distribution(
     df: DataFrame, metrics: Sequence[str], group: str, probs: dict[str, float]
 ) -> DataFrame:

@@ -9,6 +9,7 @@ from fixatio.operators import learn as N
 from fixatio.operators import mixed as L
 from fixatio.operators import stats as S
 from fixatio.plans import inputs as I
+from fixatio.plans.oracle import SUPPLIER_FOLDS
 from fixatio.plans.registry import register
 from fixatio.plans.stages import keep
 
@@ -115,9 +116,7 @@ def best_of_scores(spark, d):
     "ridge_out_of_fold",
     """
 with folded as (
-  select l.*, f.fold from lineitem l join (
-    select l_suppkey, cast((row_number() over (order by n desc, md5(cast(l_suppkey as varchar)), l_suppkey) - 1) % 5 as int) as fold
-    from (select l_suppkey, count(*) as n from lineitem group by l_suppkey)) f using (l_suppkey)
+  select l.*, f.fold from lineitem l join (""" + SUPPLIER_FOLDS + """) f using (l_suppkey)
 ), fits as (
   select o.fold, count(*) as n, avg(l_quantity) as mx, stddev_samp(l_quantity) as sx, avg(l_extendedprice) as my,
     covar_samp(l_quantity, l_extendedprice) as cxy

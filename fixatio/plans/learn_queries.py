@@ -11,6 +11,7 @@ from fixatio.operators import learn as N
 from fixatio.operators import prepare as P
 from fixatio.plans import inputs as I
 from fixatio.plans.feature_queries import user_table
+from fixatio.plans.oracle import SUPPLIER_FOLDS
 from fixatio.plans.registry import register
 from fixatio.plans.stages import stage
 
@@ -38,11 +39,7 @@ def _store(spark, d, tag):
 
 @register(
     "grouped_folds",
-    """
-select l.l_orderkey, l.l_linenumber, l.l_suppkey, f.fold from lineitem l join (
-  select l_suppkey, cast((row_number() over (order by n desc, md5(cast(l_suppkey as varchar)),
-    l_suppkey) - 1) % 5 as int) as fold
-  from (select l_suppkey, count(*) as n from lineitem group by l_suppkey)) f using (l_suppkey)""",
+    f"select l.l_orderkey, l.l_linenumber, l.l_suppkey, f.fold from lineitem l join ({SUPPLIER_FOLDS}) f using (l_suppkey)",
     others=["l_orderkey", "l_linenumber", "l_suppkey", "fold"],
 )
 def grouped_folds(spark, d):

@@ -274,6 +274,20 @@ select * from scene where scene_type = 'stimulus' and scene_quality_valid
   and duration_ms between 500 and 10000"""
 
 
+#: Suppliers dealt to five folds one by one, largest first, each to the first lightest fold.
+SUPPLIER_FOLDS = """
+with recursive g as (
+  select l_suppkey, n, row_number() over (order by n desc, md5(cast(l_suppkey as varchar)), l_suppkey) as i
+  from (select l_suppkey, count(*) as n from lineitem group by l_suppkey)
+), dealt(i, l_suppkey, fold, loads) as (
+  select 0::bigint, null::bigint, null::int, [0, 0, 0, 0, 0]::bigint[]
+  union all
+  select g.i, g.l_suppkey, list_position(loads, list_min(loads)) - 1,
+    [loads[f + 1] + case when f + 1 = list_position(loads, list_min(loads)) then g.n else 0 end for f in range(5)]
+  from dealt d join g on g.i = d.i + 1
+) select l_suppkey, fold from dealt where i > 0"""
+
+
 def sql(final: str, extra: dict[str, str] | None = None) -> str:
     """A statement with just the CTEs it needs, in order."""
     ctes = {**CTES, **(extra or {})}
@@ -297,3 +311,10 @@ def sql(final: str, extra: dict[str, str] | None = None) -> str:
 def rounded(name: str, digits: int) -> str:
     """Rounded double under its own name; the same rounding as on the Spark side."""
     return f"round({name}::double, {digits}) + 0.0 as {name}"
+
+
+def significant(name: str) -> str:
+    """A double to seven significant digits, as text; the same form as on the Spark side.
+
+    The factor moves decimals that stand exactly between two digits off that place."""
+    return f"printf('%.6e', {name}::double * 1.0000000037::double + 0.0) as {name}"

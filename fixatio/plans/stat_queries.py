@@ -55,32 +55,28 @@ def session_scores(spark, d):
     )
 
 
-# The smallest check table holds 15 sessions, so the usual minimum of 20 is lowered there.
-MIN_SESSIONS = 10
-
-
 @register(
     "static_correlations",
     _spearman_sql("(select * from static_f join forms using (session_id))", list(static_sql()),
-                  "bdi_score", MIN_SESSIONS),
+                  "bdi_score", S.MIN_ROWS),
     others=["metric", "n"], nums=["spearman_r"], extra=STATIC_CTE,
 )
 def static_correlations(spark, d):
     f = X.static_features()
-    return S.spearman(session_scores(spark, d), f.columns, "bdi_score", MIN_SESSIONS).drop("p_value")
+    return S.spearman(session_scores(spark, d), f.columns, "bdi_score").drop("p_value")
 
 
 @register("static_correlation_report")
 def static_correlation_report(spark, d):
     """With p-values, q-values and stars, for both scales side by side."""
     f, rows = X.static_features(), session_scores(spark, d)
-    phq, bdi = (S.correlation_report(rows, f.columns, s, MIN_SESSIONS) for s in P.SCORES)
+    phq, bdi = (S.correlation_report(rows, f.columns, s) for s in P.SCORES)
     return S.two_scale_comparison(phq, bdi, ["metric"], ["spearman_r", "p_value", "q_value"])
 
 
 @register(
     "trial_correlations",
-    _spearman_sql("(select * from clean join forms using (session_id))", OVERVIEW, "phq9_score", 20),
+    _spearman_sql("(select * from clean join forms using (session_id))", OVERVIEW, "phq9_score", S.MIN_ROWS),
     others=["metric", "n"], nums=["spearman_r"],
 )
 def trial_correlations(spark, d):
@@ -93,13 +89,13 @@ def trial_correlations(spark, d):
     _spearman_sql("(select u.*, bdi_score from (select uid, "
                   + ", ".join(f"coalesce(avg({c}), 0) as {c}" for c in X.tlbs_names())
                   + ", avg(bdi_score) as bdi_score from tlbs_f join forms using (session_id) "
-                  "group by uid) u)", X.tlbs_names(), "bdi_score", 5),
+                  "group by uid) u)", X.tlbs_names(), "bdi_score", S.MIN_ROWS),
     others=["metric", "n"], nums=["spearman_r"], extra=TLBS_CTE,
 )
 def tlbs_correlations(spark, d):
     rows = stage(spark, d, "user_tlbs", lambda: steady(
         user_table(spark, d, "tlbs").fillna(0, X.tlbs_names()), X.tlbs_names()))
-    return S.spearman(rows, X.tlbs_names(), "bdi_score", 5).drop("p_value")
+    return S.spearman(rows, X.tlbs_names(), "bdi_score").drop("p_value")
 
 
 _PAIRS = [(a, b) for i, a in enumerate(OVERVIEW) for b in OVERVIEW[i + 1:]]
@@ -215,6 +211,33 @@ def trajectories(spark, d):
     return S.trajectories(rows, L.INVARIANT_METRICS)
 
 
+@register(
+    "pair_trajectories",
+    "select pair_suffix, score_group, trial_bin, metric, avg(y) as mean, "
+    "stddev_samp(y) / sqrt(count(y)) as sem, count(y) as n from ("
+    + " union all ".join(
+        f"select '{p.suffix}' as pair_suffix, score_group, trial_bin, '{m}' as metric, {m} as y from pair_binned "
+        f"where scene_valence_pair = '{p.name}' and {m} is not null"
+        for p in M.PAIRS for m in L.STRATIFIED_METRICS)
+    + ") where score_group is not null group by all",
+    others=["pair_suffix", "score_group", "trial_bin", "metric", "n"], nums=["mean", "sem"],
+    extra={**Z, "pair_halves": """
+select *, case when phq9_score < m then 'Low' when phq9_score >= m then 'High' end as score_group
+from zrows join (select scene_valence_pair, median(phq9_score) as m from zrows group by 1) using (scene_valence_pair)""",
+           "pair_binned": """
+select *, cast(case when ghi > glo then greatest(0, least(9, ceil((trial_num - glo) * 10
+    / (ghi - glo)::double) - 1)) else 4 end as int) as trial_bin
+from (select *, min(trial_num) over (partition by scene_valence_pair, score_group) as glo,
+        max(trial_num) over (partition by scene_valence_pair, score_group) as ghi from pair_halves)"""},
+)
+def pair_trajectories(spark, d):
+    """Pair-specific metrics over trial bins; each pair is split at the median of its own trials."""
+    suffix = F.create_map(*[F.lit(v) for p in M.PAIRS for v in (p.name, p.suffix)])
+    rows = gaze_trials(spark, d).withColumn("pair_suffix", suffix[F.col("scene_valence_pair")]).filter("pair_suffix is not null")
+    rows = P.median_split(rows, "phq9_score", keys=["pair_suffix"])
+    return S.trajectories(rows, L.STRATIFIED_METRICS, keys=["pair_suffix"])
+
+
 @register(
     "valence_by_group",
     "select outcome, pair_suffix, score_group, valence, avg(y) as mean, "
@@ -257,6 +280,44 @@ def gaze_density(spark, d):
     return S.gaze_density(I.samples(spark, d), ["scene_index"])
 
 
+_KDE_SQL = """
+with seen as (
+  select scene_index as s, rx as x, ry as y from samples
+  where rx is not null and ry is not null and rx > -0.1 and rx < 1.1 and ry > -0.1 and ry < 1.1
+), shape as (
+  select s, n, xy / xx as beta, 0.05 * sqrt(xx) as sx, 0.05 * sqrt(yy - xy * xy / xx) as sy from (
+    select s, count(*) as n, var_samp(x) as xx, covar_samp(x, y) as xy, var_samp(y) as yy from seen group by s)
+  where n >= 11 and xx > 1e-12 and yy - xy * xy / xx > 1e-12
+), cells as (
+  select s, floor((y - beta * x) / sy * 32) as jb, floor(x / sx * 32) as ib, count(*) as n, avg(x) as x, avg(y - beta * x) as r
+  from seen join shape using (s) group by 1, 2, 3
+), nodes as (
+  select unnest(range(200)) as i
+), across_x as (
+  select s, jb, i, sum(w) as w, sum(w * r) / sum(w) as r from (
+    select s, jb, i, r, c.n * exp(-0.5 * power((i / 199.0::double - c.x) / sx, 2)) as w from cells c join shape using (s)
+    join nodes on abs(i / 199.0::double - c.x) <= 6 * sx) group by 1, 2, 3
+), down_y as (
+  select s, a.i, j.i as j, sum(w * exp(-0.5 * power((j.i / 199.0::double - r - beta * (a.i / 199.0::double)) / sy, 2))) as w
+  from across_x a join shape using (s) join nodes j on abs(j.i / 199.0::double - r - beta * (a.i / 199.0::double)) <= 6 * sy
+  group by 1, 2, 3
+), density as (
+  select s, w / (n * 2 * pi() * sx * sy) as d from down_y join shape using (s)
+)
+select s as scene_index, peak, cast(least(floor(d / peak * 20 + 1e-9), 19) as int) as level, count(*) as nodes,
+  sum(d) / 39601::double as mass
+from density join (select s, max(d) as peak from density group by s) using (s) group by all"""
+
+
+@register(
+    "gaze_contours", _KDE_SQL, others=["scene_index", "level"], nums=["mass", "peak"], digits=4,
+    extra={},
+)
+def gaze_contours(spark, d):
+    """Twenty contour levels of the kernel density of each scene, at 200 x 200 nodes."""
+    return S.density_levels(S.kernel_density(I.samples(spark, d), ["scene_index"]), ["scene_index"]).drop("nodes")
+
+
 _BOX = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
@@ -387,19 +448,19 @@ _TEMPORAL_LONG = " union all ".join(
 @register(
     "temporal_model_sums",
     _sums_sql(_TEMPORAL_LONG, ["metric", "pair_suffix"], ["1.0::double", "s", "t", "s * t"]),
-    others=["metric", "pair_suffix", "uid", "n_outcome", "n"],
-    nums=[c for c in _sum_names(4) if c not in ("xx_0_0", "xx_0_2", "xx_2_2", "xy_0", "xy_2", "yy")],
-    extra=Z, digits=6,
+    others=["metric", "pair_suffix", "uid", "n_outcome", "n"], sums=_sum_names(4), extra=Z,
 )
 def temporal_model_sums(spark, d):
-    """Per-user sums of the trial-position models (those that involve the score)."""
-    skip = ["xx_0_0", "xx_0_2", "xx_2_2", "xy_0", "xy_2", "yy"]
-    return temporal_sums(spark, d, "phq9_z").drop(*skip)
+    """Per-user sums of the trial-position models."""
+    return temporal_sums(spark, d, "phq9_z")
+
 
+#: Target valence of each pair, written out so that the SQL does not depend on the plan's own rule.
+_TARGETS = {"negative_vs_positive": "negative", "negative_vs_neutral": "negative", "neutral_vs_positive": "positive"}
 
 _VALENCE_LONG = " union all ".join(
     f"select '{o}' as outcome, '{p.suffix}' as pair_suffix, uid, phq9_z as s, trial_norm as t, "
-    f"{int(v == L.reference_and_target(p)[1])}::double as g, {o}_{v} as y from zrows "
+    f"{int(v == _TARGETS[p.name])}::double as g, {o}_{v} as y from zrows "
     f"where scene_valence_pair = '{p.name}' and {o}_{v} is not null"
     for o in L.OUTCOMES for p in M.PAIRS for v in p.valences
 )
@@ -408,14 +469,10 @@ _VALENCE_LONG = " union all ".join(
 @register(
     "valence_model_sums",
     _sums_sql(_VALENCE_LONG, ["outcome", "pair_suffix"], ["1.0::double", "s", "g", "s * g", "t"]),
-    others=["outcome", "pair_suffix", "uid", "n_outcome", "n"],
-    nums=["xy_1", "xy_3", "xx_1_1", "xx_1_2", "xx_1_3", "xx_1_4", "xx_3_4"], extra=Z, digits=6,
+    others=["outcome", "pair_suffix", "uid", "n_outcome", "n"], sums=_sum_names(5), extra=Z,
 )
 def valence_model_sums(spark, d):
-    return valence_sums(spark, d, "phq9_z").select(
-        "outcome", "pair_suffix", "uid", "n_outcome", "n", "xy_1", "xy_3", "xx_1_1", "xx_1_2",
-        "xx_1_3", "xx_1_4", "xx_3_4",
-    )
+    return valence_sums(spark, d, "phq9_z")
 
 
 def temporal_summary(spark, d, score):
@@ -494,14 +551,10 @@ def line_sums(spark, d):
             f"(l_linenumber - 1) / 6.0::double as t, {c} as y "
             f"from lineitem join supplier on s_suppkey = l_suppkey" for c in LINE_OUTCOMES),
         ["metric", "pair_suffix"], ["1.0::double", "s", "t", "s * t"]),
-    others=["metric", "pair_suffix", "uid", "n_outcome", "n"],
-    nums=["xx_0_1", "xx_0_2", "xx_1_1", "xx_1_2", "xx_1_3", "xx_2_2", "xx_3_3"], digits=5,
+    others=["metric", "pair_suffix", "uid", "n_outcome", "n"], sums=_sum_names(4),
 )
 def line_model_sums(spark, d):
-    return line_sums(spark, d).select(
-        "metric", "pair_suffix", "uid", "n_outcome", "n", "xx_0_1", "xx_0_2", "xx_1_1", "xx_1_2",
-        "xx_1_3", "xx_2_2", "xx_3_3",
-    )
+    return line_sums(spark, d)
 
 
 @register("line_models")

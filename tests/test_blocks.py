@@ -115,3 +115,36 @@ def test_median_of_each_key(skewed):
     got = P.median_split(df, "v", keys=["k"]).groupBy("score_group").count().collect()
     assert {r["score_group"]: r["count"] for r in got} == {
         "Low": int((pdf["v"] < m).sum()), "High": int((pdf["v"] >= m).sum())}
+
+
+@pytest.mark.parametrize("bracket, small", [(0.001, 50), (0.02, 300), (0.0, 5)])
+def test_quantiles_from_brackets(spark, monkeypatch, bracket, small):
+    """Keys larger than the bound, ties, and brackets that are too narrow and must be widened."""
+    monkeypatch.setattr(B, "BRACKET", bracket)
+    monkeypatch.setattr(B, "SMALL_KEY", small)
+    rng = random.Random(5)
+    rows = [(k, v) for k, n in (("a", 9000), ("b", 700), ("c", 40), ("d", 1), (None, 3000)) for v in (
+        rng.choice([rng.gauss(0, 1), float(rng.randrange(4)), 2.0]) for _ in range(n))]
+    rows += [("e", 7.0)] * 6000 + [("e", 8.0)] + [("f", None)] * 5
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    probs = {"q0": 0.0, "q01": 0.01, "q25": 0.25, "q50": 0.5, "q99": 0.99, "q1": 1.0}
+    pdf = pd.DataFrame(rows, columns=["k", "v"])
+    got = {r["k"]: r for r in B.exact_quantiles(df, ["k"], "v", probs).collect()}
+    assert set(got) == {"a", "b", "c", "d", "e", None}
+    whole = B.exact_quantiles(df, [], "v", probs).first()
+    for name, p in probs.items():
+        assert whole[name] == pytest.approx(pdf["v"].quantile(p), abs=1e-12)
+        for k, r in got.items():
+            mine = pdf[pdf["k"].isna() if k is None else pdf["k"] == k]["v"]
+            assert r[name] == pytest.approx(mine.quantile(p), abs=1e-12), (k, name)
+
+
+def test_only_brackets_are_put_in_order(spark, monkeypatch):
+    seen = []
+    cumulate = B.cumulate_values
+    monkeypatch.setattr(B, "cumulate_values", lambda counts, *rest: seen.append(counts.count()) or cumulate(counts, *rest))
+    df = spark.range(200_000).selectExpr("cast(hash(id) as double) as v")
+    got = B.exact_quantiles(df, [], "v", {"m": 0.5, "hi": 0.9}).first()
+    want = df.toPandas()["v"].quantile([0.5, 0.9]).tolist()
+    assert [got["m"], got["hi"]] == want
+    assert seen and max(seen) < 0.01 * 200_000

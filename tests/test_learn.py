@@ -27,13 +27,38 @@ def store(tmp_path):
     return put
 
 
+def plain_folds(sizes, k):
+    """Loads, and the fold of each group, when the largest goes to the lightest fold each time."""
+    load, folds = [0] * k, []
+    for size in sorted(sizes, reverse=True):
+        f = load.index(min(load))
+        load[f] += size
+        folds.append((size, f))
+    return load, folds
+
+
+def test_segments_are_the_plain_greedy_rule():
+    rng = random.Random(2)
+    for _ in range(300):
+        k = rng.randrange(1, 7)
+        counts = {rng.choice([1, 2, 3, rng.randrange(1, 60)]): rng.randrange(1, 40) for _ in range(rng.randrange(1, 8))}
+        got, load = [], [0] * k
+        for size, start, stop, cycle in N.greedy_segments(list(counts.items()), k):
+            for no in range(start, stop):
+                got.append((size, cycle[(no - start) % len(cycle)]))
+                load[got[-1][1]] += size
+        assert (load, got) == plain_folds([s for s, n in counts.items() for _ in range(n)], k)
+    many = N.greedy_segments([(1, 10**12), (3, 10**9), (10**9, 3)], 5)
+    assert len(many) < 20 and sum(b - a for _, a, b, _ in many) == 10**12 + 10**9 + 3
+
+
 def test_no_group_in_two_folds(people):
     f = N.grouped_folds(people, "grp")
     per = f.groupBy("grp").agg(F.countDistinct("fold").alias("n"))
     assert per.agg(F.max("n")).first()[0] == 1 and f.count() == people.count()
-    groups = [r["n"] for r in f.select("grp", "fold").distinct().groupBy("fold")
-              .agg(F.count("*").alias("n")).collect()]
-    assert groups == [8] * 5
+    rows = {r["fold"]: r["n"] for r in f.groupBy("fold").agg(F.count("*").alias("n")).collect()}
+    sizes = [r["n"] for r in people.groupBy("grp").agg(F.count("*").alias("n")).collect()]
+    assert [rows[i] for i in range(5)] == plain_folds(sizes, 5)[0]
 
 
 def test_linear_models_learn(spark, people, store):

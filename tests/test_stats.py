@@ -140,3 +140,35 @@ def test_linear_trend(numbers):
     r = S.linear_trend(df, ["a"], "score").first()
     slope, intercept = np.polyfit(pdf["score"], pdf["a"], 1)
     assert (r["slope"], r["intercept"]) == (pytest.approx(slope), pytest.approx(intercept))
+
+
+def plain_density(points, grid, factor):
+    """A direct sum over all points with the kernel of their covariance."""
+    cov = np.cov(points.T) * factor**2
+    inverse, norm = np.linalg.inv(cov), 2 * math.pi * math.sqrt(np.linalg.det(cov)) * len(points)
+    axis = np.arange(grid) / (grid - 1)
+    out = np.zeros((grid, grid))
+    for i, x in enumerate(axis):
+        d = np.stack(np.broadcast_arrays(x - points[:, 0][:, None], axis[None, :] - points[:, 1][:, None]))
+        out[i] = np.exp(-0.5 * np.einsum("apj,ab,bpj->pj", d, inverse, d)).sum(0) / norm
+    return out
+
+
+def test_kernel_density_is_the_direct_sum(spark):
+    """As near as the bins are fine."""
+    rng = np.random.default_rng(4)
+    free = rng.multivariate_normal([0.5, 0.4], [[0.02, 0.012], [0.012, 0.03]], 300)
+    free = free[((free > -0.1) & (free < 1.1)).all(1)]
+    rows = [("a", float(x), float(y)) for x, y in free] + [("few", 0.5, 0.5)] * 10
+    rows += [("line", i / 50, i / 50) for i in range(50)] + [("spot", 0.3, 0.3)] * 40 + [("off", 5.0, 0.2)] * 30 + [("null", None, 0.2)] * 30
+    df = spark.createDataFrame(rows, "k string, rx double, ry double").repartition(3)
+    for bins, grid, tolerance in ((32, 200, 1e-4), (4, 100, 6e-3), (512, 40, 1e-6)):
+        got = S.kernel_density(df, ["k"], grid=grid, bins=bins).collect()
+        assert {r["k"] for r in got} == {"a"}
+        dense = np.zeros((grid, grid))
+        for r in got:
+            dense[r["node_x"], r["node_y"]] = r["density"]
+        want = plain_density(free, grid, 0.05)
+        assert np.abs(dense - want).max() < tolerance * want.max()
+    levels = S.density_levels(S.kernel_density(df, ["k"]), ["k"]).collect()
+    assert sum(r["mass"] for r in levels) == pytest.approx(1, abs=0.05)
