@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fixatio.operators import blocks as B
 from fixatio.operators import prepare as P
 from fixatio.plans import inputs as I
 from fixatio.plans.registry import register
@@ -13,19 +14,9 @@ from fixatio.sources import raw
 from fixatio.sources import tables as TB
 
 
-def _one_file(frame: DataFrame, folder: str, name: str, **options) -> None:
-    """Write a frame as the single file ``folder/name`` on whatever file system the folder is."""
-    spark, tmp = frame.sparkSession, f"{folder}/tmp-{name}"
-    frame.coalesce(1).write.options(**options).text(tmp)
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    part = next(s.getPath() for s in fs.listStatus(path(tmp)) if s.getPath().getName().startswith("part-"))
-    fs.rename(part, path(f"{folder}/{name}"))
-
-
 def _configs(spark: SparkSession, d: str) -> str:
-    """A configuration file per set of images: the list of its scheduled pairs."""
+    """A configuration per set of images, in parts: its scheduled pairs, a line each, beside their
+    positions in the list."""
     look = I.stimuli(spark, d).select(
         "folder", "image_id", F.struct(F.concat(F.lit(" "), "category").alias("category"), "labels", "url").alias("meta")
     )
@@ -35,13 +26,14 @@ def _configs(spark: SparkSession, d: str) -> str:
             look.select("folder", F.col("image_id").alias(f"image_{side}_id"), F.col("meta").alias(side)),
             ["folder", f"image_{side}_id"],
         )
-    entry = F.to_json(F.map_from_arrays(F.array("image_left_id", "image_right_id"), F.array("left", "right")))
-    listed = F.sort_array(F.collect_list(F.struct("scene_index", entry.alias("e"))))
-    text = F.concat(F.lit("["), F.array_join(F.transform(listed, lambda x: x["e"]), ","), F.lit("]"))
-    texts = pairs.groupBy("folder").agg(text.alias("value"))
+    # Scenes are the odd numbers; a set's pairs are numbered in blocks of them.
+    placed = B.number_rows(pairs, ["folder"], ["scene_index"], B.block("scene_index", 4096), "_no")
+    line = F.to_json(F.struct(
+        (F.col("_no") - 1).alias("position"),
+        F.map_from_arrays(F.array("image_left_id", "image_right_id"), F.array("left", "right")).alias("images"),
+    ))
     folder = new_folder(spark, "configs")
-    for i in range(I.N_FOLDERS):
-        _one_file(texts.filter(F.col("folder") == f"set_{i}").select("value"), folder, f"set_{i}.json")
+    placed.select(F.col("folder").alias("set"), line.alias("value")).write.partitionBy("set").text(folder)
     return folder
 
 
@@ -53,7 +45,7 @@ def _configs(spark: SparkSession, d: str) -> str:
 )
 def files_schedule(spark, d):
     """Schedules read from configuration files."""
-    return raw.read_schedule(spark, _configs(spark, d))
+    return raw.read_schedule(spark, _configs(spark, d), in_parts=True)
 
 
 @register(
@@ -64,7 +56,7 @@ def files_schedule(spark, d):
 )
 def files_stimuli(spark, d):
     """Stimuli read from configuration files, lists as JSON."""
-    return TB.lists_as_json(raw.read_stimuli(spark, _configs(spark, d)))
+    return TB.lists_as_json(raw.read_stimuli(spark, _configs(spark, d), in_parts=True))
 
 
 @register(
@@ -73,48 +65,64 @@ def files_stimuli(spark, d):
     others=["session_id", "uid", "phq9_severity", "bdi_severity"], nums=["phq9_score", "bdi_score"],
 )
 def files_forms(spark, d):
-    """Questionnaires read from a CSV file with the names of its source."""
+    """Questionnaires read from CSV files with the names of their source."""
     rows = I.forms(spark, d)
     names = {"session_id": "sid", "uid": "uid", "phq9_score": "phq-9_score", "bdi_score": "bdi_score"}
-    line = F.concat_ws(",", F.lit("0"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names])
-    head = spark.createDataFrame([("Unnamed: 0," + ",".join(names.values()),)], "value string")
     folder = new_folder(spark, "forms")
-    ordered = head.select("value", F.lit(0).alias("o")).union(rows.select(line, F.lit(1))).repartition(1)
-    _one_file(ordered.sortWithinPartitions("o").select("value"), folder, "forms.csv")
-    return raw.read_forms(spark, f"{folder}/forms.csv").select(
+    named = rows.select(F.lit(0).alias("Unnamed: 0"), *[F.col(c).alias(n) for c, n in names.items()])
+    named.write.option("header", True).csv(folder)
+    return raw.read_forms(spark, folder).select(
         "session_id", "uid", "phq9_score", "bdi_score", "phq9_severity", "bdi_severity"
     )
 
 
 def _recordings(spark: SparkSession, d: str) -> str:
-    """Recordings as CSV files in a folder per set, half of them with other column order."""
+    """Recordings as CSV files in a folder per set and session, half of the sets with other column
+    order; a missing image or number is written as one of the marks that stand for it."""
     rows = I.samples(spark, d)
     raw_names = {
         "": "sample_idx", "TIMESTAMP": "timestamp_ms", "TEV": "tev", "FEV": "fev", "FDUR": "fdur", "FPOGX": "fpogx",
         "FPOGY": "fpogy", "RX": "rx", "RY": "ry", "BLINK": "blink", "IMAGE": "image", "SCENE_INDEX": "scene_index",
     }
+    def marked_by(*marks: str):
+        return F.get(F.array(*[F.lit(m) for m in marks]), F.pmod("sample_idx", F.lit(len(marks))).cast("int"))
+
+    number = marked_by("nan", "None", "null", "")
+    marked = rows.withColumns({c: F.coalesce(F.col(c).cast("string"), number) for c in ("tev", "rx", "ry")}).withColumn(
+        "image", F.coalesce("image", marked_by("no_image", "nan", ""))
+    )
     folder = new_folder(spark, "recordings")
     for i in range(I.N_FOLDERS):
         names = list(raw_names.items())[:: 1 if i % 2 else -1]
-        one = rows.filter(F.col("folder") == f"set_{i}")
-        one.select(*[F.col(c).alias(n or "_c") for n, c in names]).withColumnRenamed("_c", " ").write.option(
-            "header", True
-        ).csv(f"{folder}/set_{i}")
+        one = marked.filter(F.col("folder") == f"set_{i}")
+        one.select(F.col("session_id").alias("session"), *[F.col(c).alias(n or "_c") for n, c in names]).withColumnRenamed(
+            "_c", " "
+        ).write.option("header", True).partitionBy("session").csv(f"{folder}/set_{i}")
     return folder
 
 
 @register(
     "files_samples",
-    "select folder, idx as sample_idx, t as timestamp_ms, fev::double as fev, fdur, rx, ry, blink, image, "
-    "scene_index, count(*) as n from samples group by all",
-    others=["folder", "sample_idx", "blink", "image", "scene_index", "n"],
+    "select session_id, folder, idx as sample_idx, t as timestamp_ms, fev::double as fev, fdur, rx, ry, blink, image, "
+    "scene_index from samples",
+    others=["session_id", "folder", "sample_idx", "blink", "image", "scene_index"],
     nums=["timestamp_ms", "fev", "fdur", "rx", "ry"],
 )
 def files_samples(spark, d):
-    """Samples read from recordings with two kinds of headers; a file's name is no session here."""
+    """Samples read from recordings with two kinds of headers and marks for missing values."""
     rows = raw.read_samples(spark, _recordings(spark, d))
-    keys = ["folder", "sample_idx", "timestamp_ms", "fev", "fdur", "rx", "ry", "blink", "image", "scene_index"]
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    return rows.select(
+        "session_id", "folder", "sample_idx", "timestamp_ms", "fev", "fdur", "rx", "ry", "blink", "image", "scene_index"
+    )
+
+
+@register(
+    "files_inventory", "select distinct session_id, folder as test_version from samples",
+    others=["session_id", "test_version"],
+)
+def files_inventory(spark, d):
+    """Sessions and their sets from the paths of the recordings alone."""
+    return raw.session_files(spark, _recordings(spark, d)).distinct()
 
 
 @register(

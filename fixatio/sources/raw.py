@@ -17,16 +17,21 @@ RAW_COLUMNS = ["TIMESTAMP", "TEV", "FEV", "FDUR", "FPOGX", "FPOGY", "RX", "RY",
 CONFIG_TYPE = "array<map<string, struct<category: string, labels: array<string>, url: string>>>"
 
 
+# A recording is the file <set>/<session>.csv, or any number of files in the folder
+# <set>/session=<session>, so that a long one is neither written nor held by a single task.
 def _folder(path) -> F.Column:
-    return F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
+    return F.regexp_extract(path, r"([^/]+)/(session=[^/]+/)?[^/]+$", 1)
 
 
 def _session(path) -> F.Column:
-    return F.regexp_extract(path, r"([^/]+)\.csv$", 1)
+    return F.coalesce(
+        F.nullif(F.regexp_extract(path, r"/session=([^/]+)/[^/]+$", 1), F.lit("")), F.regexp_extract(path, r"([^/]+)\.csv$", 1)
+    )
 
 
 def session_files(spark: SparkSession, path: str) -> DataFrame:
-    """Recordings under a folder: session and set name from the paths; no contents are read."""
+    """Recordings under a folder: session and set name from the paths, once for each file; no
+    contents are read."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.csv").load(path).select("path")
@@ -102,27 +107,43 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
     return rest.unionByName(own.withColumn("sample_idx", F.col("sample_idx") - 1).drop("plain"))
 
 
+# One line of a configuration in parts.
+LINE_TYPE = f"position long, images {CONFIG_TYPE.removeprefix('array<').removesuffix('>')}"
+
+
+def _set_name(pattern: str) -> Column:
+    return F.url_decode(F.regexp_extract("_metadata.file_path", pattern, 1)).alias("folder")
+
+
 def _configs(spark: SparkSession, path: str) -> DataFrame:
     """One row per configuration file: set name and text."""
     return spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path).select(
-        F.url_decode(F.regexp_extract("_metadata.file_path", r"([^/]+)\.json$", 1)).alias("folder"),
-        F.trim("value").alias("text"),
+        _set_name(r"([^/]+)\.json$"), F.trim("value").alias("text"),
     )
 
 
-def read_stimuli(spark: SparkSession, path: str) -> DataFrame:
+def _config_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Set name, list position and images of each line of the configurations in parts: folders
+    set=<set> of files with one pair a line and its position in the list beside it."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
+        _set_name(r"/set=([^/]+)/[^/]+$"), F.from_json("value", LINE_TYPE).alias("line")
+    )
+    return lines.select("folder", F.col("line.position").alias("pos"), F.col("line.images").alias("pair"))
+
+
+def read_stimuli(spark: SparkSession, path: str, in_parts: bool = False) -> DataFrame:
     """Images of all configuration files; a repeated image keeps its last entry.
 
-    A file holds a list of two-image objects, or one object with all images.
+    A file holds a list of two-image objects, or one object with all images. With ``in_parts``
+    a list is spread over files, see ``_config_lines``.
     """
     listed = F.when(F.col("text").startswith("["), F.col("text")).otherwise(
         F.concat(F.lit("["), "text", F.lit("]"))
     )
-    entries = (
-        _configs(spark, path)
-        .select("folder", F.posexplode(F.from_json(listed, CONFIG_TYPE)).alias("pos", "pair"))
-        .select("folder", "pos", F.explode("pair").alias("image_id", "meta"))
+    pairs = _config_lines(spark, path) if in_parts else _configs(spark, path).select(
+        "folder", F.posexplode(F.from_json(listed, CONFIG_TYPE)).alias("pos", "pair")
     )
+    entries = pairs.select("folder", "pos", F.explode("pair").alias("image_id", "meta"))
     last = entries.groupBy("folder", "image_id").agg(F.max_by("meta", "pos").alias("m"))
     return last.select(
         "image_id",
@@ -134,32 +155,38 @@ def read_stimuli(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_schedule(spark: SparkSession, path: str) -> DataFrame:
+def read_schedule(spark: SparkSession, path: str, in_parts: bool = False) -> DataFrame:
     """Images of each scene: the pair at list position p belongs to scene 2p + 1, left first.
 
-    A file that is not a list, or has a pair without exactly two images, fails the query.
+    A file that is not a list, or has a pair without exactly two images, fails the query. With
+    ``in_parts`` a list is spread over files, see ``_config_lines``; a line without a position
+    fails the query.
     """
-    config = F.from_json("text", CONFIG_TYPE)
-    checked = _configs(spark, path).select(
-        "folder",
-        F.when(F.col("text").startswith("["), config).otherwise(
-            F.raise_error(F.concat(F.col("folder"), F.lit(": expected a list of pairs")))
-        ).alias("pairs"),
-    )
     keys = F.map_keys("pair")
     wrong = F.concat("folder", F.lit(" position "), F.col("pos").cast("string"),
                      F.lit(": expected 2 images, got "), F.size(keys).cast("string"))
     pair = F.when(F.size(keys) == 2, keys).otherwise(F.raise_error(wrong))
+    if in_parts:
+        no_place = F.raise_error(F.concat("folder", F.lit(": a line without a position")))
+        listed = _config_lines(spark, path).withColumn("pos", F.when(F.col("pos").isNotNull(), F.col("pos")).otherwise(no_place))
+    else:
+        config = F.from_json("text", CONFIG_TYPE)
+        listed = _configs(spark, path).select(
+            "folder",
+            F.when(F.col("text").startswith("["), config).otherwise(
+                F.raise_error(F.concat(F.col("folder"), F.lit(": expected a list of pairs")))
+            ).alias("pairs"),
+        ).select("folder", F.posexplode("pairs").alias("pos", "pair"))
     return (
-        checked.select("folder", F.posexplode("pairs").alias("pos", "pair"))
-        .select("folder", (2 * F.col("pos") + 1).cast("int").alias("scene_index"), pair.alias("k"))
+        listed.select("folder", (2 * F.col("pos") + 1).cast("int").alias("scene_index"), pair.alias("k"))
         .select("folder", "scene_index", F.col("k")[0].alias("image_left_id"),
                 F.col("k")[1].alias("image_right_id"))
     )
 
 
 def read_forms(spark: SparkSession, path: str) -> DataFrame:
-    """Questionnaires: columns renamed, scores typed, severity bands added."""
+    """Questionnaires of a CSV file, or of a folder of such files with a header each: columns
+    renamed, scores typed, severity bands added."""
     from fixatio.operators.prepare import with_severity
 
     raw = spark.read.option("header", True).csv(path)

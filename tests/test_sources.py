@@ -127,3 +127,31 @@ def test_headers_are_read_by_name_for_each_file(spark, tmp_path):
     (tmp_path / "set_c" / "none.csv").write_text("1,2,3\n")
     with pytest.raises(Exception, match="no header"):
         raw.read_samples(spark, str(tmp_path)).collect()
+
+
+def test_configurations_and_recordings_in_parts(spark, tmp_path):
+    """A list spread over files, with positions beside it, reads as the one file does; so does a
+    recording in a folder of its own."""
+    entry = {"a": {"category": "stimulus", "labels": ["sad"]}, "b": {"category": " neutral ", "labels": [], "url": "u"}}
+    other = {"b": {"category": "stimulus", "labels": ["Happy Face"]}, "c": {"category": "neutral", "labels": []}}
+    whole, parts = tmp_path / "whole", tmp_path / "parts" / "set=s 1"
+    whole.mkdir()
+    parts.mkdir(parents=True)
+    (whole / "s 1.json").write_text(json.dumps([entry, other]))
+    (parts / "part-1.txt").write_text(json.dumps({"position": 1, "images": other}))
+    (parts / "part-0.txt").write_text(json.dumps({"position": 0, "images": entry}))
+    for read in (raw.read_stimuli, raw.read_schedule):
+        a, b = read(spark, str(whole)).collect(), read(spark, str(tmp_path / "parts"), in_parts=True).collect()
+        assert sorted(map(str, a)) == sorted(map(str, b)) and a
+    (parts / "part-2.txt").write_text(json.dumps({"images": entry}))
+    with pytest.raises(Exception, match="without a position"):
+        raw.read_schedule(spark, str(tmp_path / "parts"), in_parts=True).collect()
+    head = ",TIMESTAMP,TEV,FEV,FDUR,FPOGX,FPOGY,RX,RY,BLINK,IMAGE,SCENE_INDEX\n"
+    for place in ("one/v1/x.csv", "many/v1/session=x/part-0.csv", "many/v1/session=x/part-1.csv"):
+        path = tmp_path / place
+        path.parent.mkdir(parents=True, exist_ok=True)
+        rows = [f"{i},{i}.5,1,0,0,0.1,0.2,None,nan,0,img,1\n" for i in range(4)]
+        path.write_text(head + "".join(rows if "one" in place else rows[:2] if "part-0" in place else rows[2:]))
+    one, many = (sorted(map(str, raw.read_samples(spark, str(tmp_path / d)).collect())) for d in ("one", "many"))
+    assert one == many and len(one) == 4
+    assert {tuple(r) for r in raw.session_files(spark, str(tmp_path / "many")).collect()} == {("x", "v1")}
