@@ -28,7 +28,7 @@ BANDS, ROWS = 12, 4
 #: Rarer words weigh as much as one just as common would, in a corpus of any size.
 COMMON = 1 << 17
 _DOC_BITS = np.uint64(13)  # of a text's number in a slice, below the bits of a word's hash
-_GATHER = 1 << 22  # (document, word) pairs that are counted at once
+_GATHER = 1 << 20  # (document, word) pairs that are counted at once
 BLOCK, BLOCK_CHARS = 256, 16_000_000
 _TABLE = 1 << 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
