@@ -29,7 +29,8 @@ def build_scene_metrics(
     spark: SparkSession, recordings: str, config_path: str, fixations_target: str,
     scene_rows_target: str, target: str, gates: M.Gates = M.Gates(),
 ) -> None:
-    """Fixations and scene facts are stored on the way, so samples are put in order only once."""
+    """Fixations and scene facts are stored on the way, so neither is computed again for the metrics;
+    each of the three steps puts the samples it reads in order."""
     samples = raw.read_samples(spark, recordings)
     TB.write_table(E.extract_fixations(samples), fixations_target)
     TB.write_table(E.scene_samples(samples, gates), scene_rows_target)

@@ -10,19 +10,12 @@ from fixatio.operators import prepare as P
 from fixatio.plans import inputs as I
 from fixatio.plans.registry import register
 
-SHORT = {"negative": "neg", "positive": "pos", "neutral": "neu"}
-SUFFIX = {"negative_vs_positive": "neg_vs_pos", "negative_vs_neutral": "neg_vs_neu",
-          "neutral_vs_positive": "pos_vs_neu"}
-MEMBERS = {"neg_vs_pos": ("negative", "positive"), "neg_vs_neu": ("negative", "neutral"),
-           "pos_vs_neu": ("positive", "neutral")}
-SIMPLE = [
-    "fixation_count", "mean_fixation_duration_ms", "total_fixation_duration_ms",
-    "fixation_rate_per_sec", "scanpath_length", "saccade_count", "saccade_rate_per_sec",
-    "mean_saccade_amplitude", "blink_count", "blink_rate_per_min", "gaze_transition_entropy",
-    "transition_matrix_density", "first_fixation_duration_ms",
-]
-METRICS = (("dwell", "dwell_time_ms"), ("fix_prop", "fixation_proportion"),
-           ("revisit", "revisit_count"), ("dwell_500ms", "dwell_time_500ms"), ("ttff", "ttff_ms"))
+# Names come from the model; what the SQL does with them is written out here.
+SHORT = M.VALENCE_SHORT
+SUFFIX = {p.name: p.suffix for p in M.PAIRS}
+MEMBERS = {p.suffix: p.valences for p in M.PAIRS}
+SIMPLE = X.GENERAL_METRICS
+METRICS = tuple(X.VALENCE_METRICS.items())
 
 
 def clean(spark, d):
