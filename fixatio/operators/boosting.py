@@ -102,6 +102,35 @@ def _split_rows(model: int, label: int, splits: list[tuple]) -> pa.RecordBatch:
     })
 
 
+def bin_edges(rows: DataFrame, bins: int) -> list[np.ndarray]:
+    """Upper edges of the bins of each feature of ``_x``, from approximate quantiles of all rows."""
+    n = len(rows.first()["_x"])
+    shares = [i / bins for i in range(1, bins)]
+    found = rows.agg(*[F.percentile_approx(F.col("_x")[i], shares, 10_000).alias(f"e{i}") for i in range(n)]).first()
+    return [np.unique(np.array(e, float)) for e in found]
+
+
+def binned_rows(rows: DataFrame, edges: list[np.ndarray], classes: list[float]) -> DataFrame:
+    """(row, fold, y, bins): the columns but the features, the number of the label's class (without
+    classes the label), and a byte for each feature."""
+
+    def to_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.asarray(batch.column("_x").flatten(), np.float64).reshape(batch.num_rows, -1)
+            out = np.stack([np.searchsorted(e, x[:, i], side="left") for i, e in enumerate(edges)], 1).astype(np.uint8)
+            y = batch.column("label").to_numpy().astype(float)
+            if classes:
+                y = np.searchsorted(classes, y).astype(float)
+            yield pa.record_batch({
+                "row": batch.column("row"), "fold": batch.column("fold"), "y": pa.array(y),
+                "bins": pa.array([b.tobytes() for b in out], pa.binary()),
+            })
+
+    row = F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != "_x"]).alias("row")
+    narrow = rows.select(row, F.col("label").cast("double").alias("label"), F.col("fold").cast("int").alias("fold"), "_x")
+    return narrow.mapInArrow(to_bins, f"row {narrow.schema['row'].dataType.simpleString()}, fold int, y double, bins binary")
+
+
 class HistogramBoosting:
     """Boosted trees for a ``task`` (binary, multiclass, regression)."""
 
@@ -110,33 +139,10 @@ class HistogramBoosting:
 
     # --- preparation -----------------------------------------------------------------
 
-    def _edges(self, rows: DataFrame) -> list[np.ndarray]:
-        """Upper edges of the bins of each feature, from approximate quantiles of all rows."""
-        n = len(rows.first()["_x"])
-        shares = [i / self.bins for i in range(1, self.bins)]
-        found = rows.agg(*[F.percentile_approx(F.col("_x")[i], shares, 10_000).alias(f"e{i}") for i in range(n)]).first()
-        return [np.unique(np.array(e, float)) for e in found]
-
     def _prepared(self, rows: DataFrame, models: list[int], classes: list[float]) -> tuple[DataFrame, int]:
         """Stored (model, row, fold, y, bins), and in how many parts a model's rows lie."""
-        edges, numbers = self._edges(rows), classes
-
-        def to_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x = np.asarray(batch.column("_x").flatten(), np.float64).reshape(batch.num_rows, -1)
-                out = np.stack([np.searchsorted(e, x[:, i], side="left") for i, e in enumerate(edges)], 1).astype(np.uint8)
-                y = batch.column("label").to_numpy().astype(float)
-                if numbers:
-                    y = np.searchsorted(numbers, y).astype(float)
-                yield pa.record_batch({
-                    "row": batch.column("row"), "fold": batch.column("fold"), "y": pa.array(y),
-                    "bins": pa.array([b.tobytes() for b in out], pa.binary()),
-                })
-
-        row = F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != "_x"]).alias("row")
-        narrow = rows.select(row, F.col("label").cast("double").alias("label"), F.col("fold").cast("int").alias("fold"), "_x")
         parts = max(1, math.ceil(rows.count() / PART_ROWS))
-        binned = narrow.mapInArrow(to_bins, f"row {narrow.schema['row'].dataType.simpleString()}, fold int, y double, bins binary")
+        binned = binned_rows(rows, bin_edges(rows, self.bins), classes)
         binned = binned.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")).withColumn(
             "model", F.explode(F.array(*[F.lit(f) for f in models]))
         )

@@ -8,22 +8,24 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fixatio.functions import columns as C
 from fixatio.operators import blocks as B
 from fixatio.operators.boosting import HistogramBoosting
+from fixatio.operators.forest import BlockForest
 
 # --- fixed values: model settings ------------------------------------------------
 TREES, ROUNDS, DEPTH, RATE, SEED, FOLDS = 200, 200, 4, 0.1, 42, 5
+FOREST_DEPTH = 30
 # ---------------------------------------------------------------------------------
 
-Maker = Callable[[int], Estimator | HistogramBoosting]
+Maker = Callable[[int], Estimator | HistogramBoosting | BlockForest]
 
 
 def _scaled(last) -> Pipeline:
@@ -60,14 +62,12 @@ def ridge(n: int) -> Estimator:
     return Ridge(n)
 
 
-def forest_classifier(n: int, trees: int = TREES) -> Estimator:
-    return RandomForestClassifier(numTrees=trees, maxDepth=30, seed=SEED, labelCol="label",
-                                  featureSubsetStrategy="sqrt")
+def forest_classifier(n: int, trees: int = TREES) -> BlockForest:
+    return BlockForest("class", trees, FOREST_DEPTH, SEED, "sqrt")
 
 
-def forest_regressor(n: int, trees: int = TREES) -> Estimator:
-    return RandomForestRegressor(numTrees=trees, maxDepth=30, seed=SEED, labelCol="label",
-                                 featureSubsetStrategy="all")
+def forest_regressor(n: int, trees: int = TREES) -> BlockForest:
+    return BlockForest("regression", trees, FOREST_DEPTH, SEED, "all")
 
 
 def boosted_classifier(n: int, rounds: int = ROUNDS) -> HistogramBoosting:
@@ -161,8 +161,8 @@ def cross_predict(rows: DataFrame, make: Maker, k: int = FOLDS) -> DataFrame:
     """
     sizes = {r["fold"]: r["n"] for r in rows.groupBy("fold").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
-    if isinstance(boosting := make(total), HistogramBoosting):  # all folds at once
-        return boosting.cross_predict(rows, k)
+    if isinstance(model := make(total), HistogramBoosting | BlockForest):  # all folds at once
+        return model.cross_predict(rows, k)
 
     def one_fold(f: int) -> DataFrame:
         fitted = make(total - sizes[f]).fit(rows.filter(F.col("fold") != f))
@@ -306,9 +306,8 @@ def run_models(
 
 def feature_importance(rows: DataFrame, features: Sequence[str], trees: int = TREES, k: int = 20):
     """The k most important features of a forest fitted on all rows."""
-    fitted = forest_classifier(0, trees).fit(rows)
-    pairs = list(zip(features, fitted.featureImportances.toArray().tolist()))
-    return rows.sparkSession.createDataFrame(pairs, "feature string, importance double").orderBy(
+    name = F.element_at(F.array(*[F.lit(c) for c in features]), F.col("place") + 1)
+    return forest_classifier(0, trees).importances(rows).select(name.alias("feature"), "importance").orderBy(
         F.desc("importance"), "feature"
     ).limit(k)
 
