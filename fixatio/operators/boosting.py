@@ -105,7 +105,7 @@ def _split_rows(model: int, label: int, splits: list[tuple]) -> pa.RecordBatch:
 def bin_edges(rows: DataFrame, bins: int) -> list[np.ndarray]:
     """Upper edges of the bins of each feature of ``_x``, from approximate quantiles of all rows."""
     n = len(rows.first()["_x"])
-    shares = [i / bins for i in range(1, bins)]
+    shares = F.array(*[F.lit(i / bins) for i in range(1, bins)])  # made once, not for each feature
     found = rows.agg(*[F.percentile_approx(F.col("_x")[i], shares, 10_000).alias(f"e{i}") for i in range(n)]).first()
     return [np.unique(np.array(e, float)) for e in found]
 
