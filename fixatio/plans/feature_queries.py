@@ -114,6 +114,10 @@ where early or late"""
 }
 
 
+DISTRIBUTIONAL_CTE = {"distributional_f": f"select session_id, {select(distributional_sql())} from clean group by session_id"}
+TEMPORAL_CTE = {**THIRDS_CTE, "temporal_f": f"select session_id, {select(temporal_sql())} from thirds group by session_id"}
+
+
 @register("static_features", "select * from static_f", others=["session_id"],
           nums=list(static_sql()), extra=STATIC_CTE)
 def static_features(spark, d):
@@ -177,6 +181,22 @@ def user_static_features(spark, d):
     return user_table(spark, d, "static")
 
 
+@register(
+    "user_distributional_features", _user_sql("distributional_f", list(distributional_sql())),
+    others=["uid"], nums=[*distributional_sql(), "phq9_score", "bdi_score"], extra=DISTRIBUTIONAL_CTE,
+)
+def user_distributional_features(spark, d):
+    return user_table(spark, d, "distributional")
+
+
+@register(
+    "user_temporal_features", _user_sql("temporal_f", list(temporal_sql())),
+    others=["uid"], nums=[*temporal_sql(), "phq9_score", "bdi_score"], extra=TEMPORAL_CTE,
+)
+def user_temporal_features(spark, d):
+    return user_table(spark, d, "temporal")
+
+
 _COMBINED = [*X.tlbs_names(), *static_sql()]
 
 
@@ -226,6 +246,41 @@ def model_rows(spark, d):
     return rows.select("uid", "phq9_score", *_THEORY)
 
 
+def _set_sql(family: str) -> dict[str, str]:
+    """One row per user: the mean of each named feature set, missing features as 0."""
+    return {
+        f"set_{i}": "(" + " + ".join(f"coalesce({c}, 0)" for c in cols) + f") / {len(cols)}::double"
+        for i, cols in enumerate(X.feature_sets(family).values())
+    }
+
+
+def feature_set_means(spark, d, family: str):
+    """Means over the columns of each feature set of a family, for users with both scores."""
+    rows = P.model_rows(user_table(spark, d, family), _all_of(family), P.SCORES)
+    sums = {f"set_{i}": " + ".join(cols) for i, cols in enumerate(X.feature_sets(family).values())}
+    sizes = [len(cols) for cols in X.feature_sets(family).values()]
+    return rows.selectExpr("uid", *[f"({e}) / {n}D as {name}" for (name, e), n in zip(sums.items(), sizes)])
+
+
+def _all_of(family: str) -> list[str]:
+    return list(dict.fromkeys(c for cols in X.feature_sets(family).values() for c in cols))
+
+
+def _register_sets(family: str, source: str, cols: list[str], extra: dict[str, str]) -> None:
+    sets = _set_sql(family)
+    register(
+        f"feature_sets_{family}",
+        f"select uid, {select(sets)} from ({_user_sql(source, cols)}) where phq9_score is not null and bdi_score is not null",
+        others=["uid"], nums=list(sets), extra=extra,
+    )(lambda spark, d: feature_set_means(spark, d, family))
+
+
+_register_sets("static", "static_f", list(static_sql()), STATIC_CTE)
+_register_sets("distributional", "distributional_f", list(distributional_sql()), DISTRIBUTIONAL_CTE)
+_register_sets("temporal", "temporal_f", list(temporal_sql()), TEMPORAL_CTE)
+_register_sets("tlbs", "tlbs_f join static_f using (session_id)", _COMBINED, {**STATIC_CTE, **TLBS_CTE})
+
+
 @register(
     "feature_missingness",
     "select feature, n_missing, n_rows, rows_with_any from ("

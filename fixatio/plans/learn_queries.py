@@ -112,15 +112,64 @@ def regression_boosted_run(spark, d):
                {"All dimensions": DIMS})
 
 
-def user_rows(spark, d):
-    """User means of static features with targets, missing features as 0."""
-    f = X.static_features().columns
+def user_rows(spark, d, family: str = "static"):
+    """User means of a family's features with targets, missing features as 0."""
+    sets = X.feature_sets(family)
+    f = list(dict.fromkeys(c for cols in sets.values() for c in cols))
     return stage(
-        spark, d, "user_model_rows",
-        lambda: P.model_rows(P.targets(user_table(spark, d, "static")), f, P.SCORES),
+        spark, d, f"user_model_rows_{family}",
+        lambda: P.model_rows(P.targets(user_table(spark, d, family)), f, P.SCORES),
     )
 
 
+def family_runs(spark, d, family: str, task: str, label: str, models):
+    """Every feature set of a family against one target of the users."""
+    tag = f"{family}_{label}"
+    return stage(
+        spark, d, f"family_runs_{task}_{tag}",
+        lambda: N.run_models(
+            spark, user_rows(spark, d, family), X.feature_sets(family), label, "uid", task, models,
+            store=_store(spark, d, tag),
+        ),
+    )
+
+
+def both_scores(spark, d, family: str, task: str, suffix: str, models):
+    """The runs of a family against the targets of both questionnaires."""
+    out = [
+        family_runs(spark, d, family, task, f"{scale}_{suffix}", models).withColumn("scale", F.lit(scale))
+        for scale in ("phq9", "bdi")
+    ]
+    return out[0].unionByName(out[1])
+
+
+@register("distributional_regression_runs")
+def distributional_regression_runs(spark, d):
+    return both_scores(spark, d, "distributional", "regression", "score", _pick(N.REGRESSORS, "Ridge Regression"))
+
+
+@register("temporal_regression_runs")
+def temporal_regression_runs(spark, d):
+    return both_scores(spark, d, "temporal", "regression", "score", _pick(N.REGRESSORS, "Ridge Regression"))
+
+
+@register("tlbs_regression_runs")
+def tlbs_regression_runs(spark, d):
+    return both_scores(spark, d, "tlbs", "regression", "score", _pick(N.REGRESSORS, "Ridge Regression"))
+
+
+@register("static_extreme_group_runs")
+def static_extreme_group_runs(spark, d):
+    """Users at both ends of each scale from their static features, by forests."""
+    return both_scores(spark, d, "static", "binary", "extreme", _pick(N.CLASSIFIERS, "Random Forest"))
+
+
+@register("static_severity_class_runs")
+def static_severity_class_runs(spark, d):
+    """Severity classes of each scale from the static features, by forests."""
+    return both_scores(spark, d, "static", "multiclass", "severity_class", _pick(N.MULTICLASS, "Random Forest"))
+
+
 @register("user_regression_run")
 def user_regression_run(spark, d):
     """Scores of users from their static features, both feature sets."""
