@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from fixatio.functions import columns as C
 from fixatio.operators import blocks as B
+from fixatio.operators import ridge as R
 from fixatio.operators.boosting import HistogramBoosting
 from fixatio.operators.forest import BlockForest
 
@@ -163,6 +164,8 @@ def cross_predict(rows: DataFrame, make: Maker, k: int = FOLDS) -> DataFrame:
     total = sum(sizes.values())
     if isinstance(model := make(total), HistogramBoosting | BlockForest):  # all folds at once
         return model.cross_predict(rows, k)
+    if isinstance(model, Ridge):
+        return R.cross_predict(rows, k, model.alpha)
 
     def one_fold(f: int) -> DataFrame:
         fitted = make(total - sizes[f]).fit(rows.filter(F.col("fold") != f))
