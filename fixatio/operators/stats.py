@@ -17,7 +17,7 @@ from fixatio.operators import blocks as B
 from fixatio.plans.stages import keep
 
 
-MIN_ROWS = 20  # fixed value: fewer complete pairs give no correlation
+MIN_ROWS = 20  # fixed value: fewer complete pairs give no correlation, unless a caller asks for it
 
 
 def long_form(

@@ -24,7 +24,7 @@ OVERVIEW = [
 ]
 
 
-def _spearman_sql(source: str, metrics, score: str, minimum: int) -> str:
+def _spearman_sql(source: str, metrics, score: str, minimum: int = 0) -> str:
     long = " union all ".join(
         f"select '{m}' as metric, round({m}::double, 9) as x, {score}::double as y from {source} "
         f"where {m} is not null and {score} is not null" for m in metrics
@@ -36,7 +36,7 @@ select metric, case when not isnan(r) then r end as spearman_r, n from (
         + (count(*) over (partition by metric, x) - 1) / 2.0 as rx,
       rank() over (partition by metric order by y)
         + (count(*) over (partition by metric, y) - 1) / 2.0 as ry
-    from ({long})) group by metric) where n >= {minimum}"""
+    from ({long})) group by metric){f" where n >= {minimum}" if minimum else ""}"""
 
 
 def steady(df, cols):
@@ -57,13 +57,13 @@ def session_scores(spark, d):
 
 @register(
     "static_correlations",
-    _spearman_sql("(select * from static_f join forms using (session_id))", list(static_sql()),
-                  "bdi_score", S.MIN_ROWS),
+    _spearman_sql("(select * from static_f join forms using (session_id))", list(static_sql()), "bdi_score"),
     others=["metric", "n"], nums=["spearman_r"], extra=STATIC_CTE,
 )
 def static_correlations(spark, d):
+    """Of every metric that any scored session has, however few."""
     f = X.static_features()
-    return S.spearman(session_scores(spark, d), f.columns, "bdi_score").drop("p_value")
+    return S.spearman(session_scores(spark, d), f.columns, "bdi_score", min_rows=0).drop("p_value")
 
 
 @register("static_correlation_report")

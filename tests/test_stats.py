@@ -172,3 +172,32 @@ def test_kernel_density_is_the_direct_sum(spark):
         assert np.abs(dense - want).max() < tolerance * want.max()
     levels = S.density_levels(S.kernel_density(df, ["k"]), ["k"]).collect()
     assert sum(r["mass"] for r in levels) == pytest.approx(1, abs=0.05)
+
+
+def few_rows(spark, names, n):
+    """Rows with a score and metrics; the first two metrics are known once and twice."""
+    rng = random.Random(n)
+    rows = [[float(rng.randint(0, 60)), *[rng.random() if i > 1 or k <= i else None for i in range(len(names))]] for k in range(n)]
+    return rows, spark.createDataFrame(rows, "bdi_score double, " + ", ".join(f"`{m}` double" for m in names))
+
+
+def check_few(found, names, rows):
+    pdf = pd.DataFrame(rows, columns=["bdi_score", *names])
+    found = {r["metric"]: r for r in found.collect()}
+    assert set(found) == set(names)
+    for i, m in enumerate(names):
+        pair = pdf[["bdi_score", m]].dropna()
+        assert found[m]["n"] == len(pair) == (i + 1 if i < 2 else len(rows))
+        if i > 1:
+            assert found[m]["spearman_r"] == pytest.approx(pair.rank().corr().iloc[0, 1], abs=1e-6)
+    assert found[names[0]]["spearman_r"] is None  # of one row
+
+
+def test_static_correlations_of_few_sessions(spark, monkeypatch):
+    from fixatio.operators import features as X
+    from fixatio.plans import stat_queries as Q
+
+    names = list(X.static_features().columns)
+    rows, df = few_rows(spark, names, 12)
+    monkeypatch.setattr(Q, "session_scores", lambda spark, d: df)
+    check_few(Q.static_correlations(spark, "few sessions"), names, rows)
