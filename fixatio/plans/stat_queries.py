@@ -89,13 +89,14 @@ def trial_correlations(spark, d):
     _spearman_sql("(select u.*, bdi_score from (select uid, "
                   + ", ".join(f"coalesce(avg({c}), 0) as {c}" for c in X.tlbs_names())
                   + ", avg(bdi_score) as bdi_score from tlbs_f join forms using (session_id) "
-                  "group by uid) u)", X.tlbs_names(), "bdi_score", S.MIN_ROWS),
+                  "group by uid) u)", X.tlbs_names(), "bdi_score"),
     others=["metric", "n"], nums=["spearman_r"], extra=TLBS_CTE,
 )
 def tlbs_correlations(spark, d):
+    """Over all users with a score, however few."""
     rows = stage(spark, d, "user_tlbs", lambda: steady(
         user_table(spark, d, "tlbs").fillna(0, X.tlbs_names()), X.tlbs_names()))
-    return S.spearman(rows, X.tlbs_names(), "bdi_score").drop("p_value")
+    return S.spearman(rows, X.tlbs_names(), "bdi_score", min_rows=0).drop("p_value")
 
 
 _PAIRS = [(a, b) for i, a in enumerate(OVERVIEW) for b in OVERVIEW[i + 1:]]

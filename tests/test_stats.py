@@ -201,3 +201,18 @@ def test_static_correlations_of_few_sessions(spark, monkeypatch):
     rows, df = few_rows(spark, names, 12)
     monkeypatch.setattr(Q, "session_scores", lambda spark, d: df)
     check_few(Q.static_correlations(spark, "few sessions"), names, rows)
+
+
+def test_tlbs_correlations_of_few_users(spark, monkeypatch):
+    from fixatio.operators import features as X
+    from fixatio.plans import stat_queries as Q
+
+    names = list(X.tlbs_names())
+    rows, df = few_rows(spark, names, 6)
+    monkeypatch.setattr(Q, "user_table", lambda spark, d, family: df)
+    found = {r["metric"]: r for r in Q.tlbs_correlations(spark, "few users").collect()}
+    pdf = pd.DataFrame(rows, columns=["bdi_score", *names]).fillna(0.0)  # missing parameters count as 0
+    assert set(found) == set(names)
+    for m in names:
+        assert found[m]["n"] == 6
+        assert found[m]["spearman_r"] == pytest.approx(pdf[["bdi_score", m]].rank().corr().iloc[0, 1], abs=1e-6)
