@@ -76,9 +76,16 @@ def files_forms(spark, d):
     )
 
 
+#: Samples of a recording in one of its files.
+FILE_SAMPLES = 1 << 18
+
+
 def _recordings(spark: SparkSession, d: str) -> str:
     """Recordings as CSV files in a folder per set and session, half of the sets with other column
-    order; a missing image or number is written as one of the marks that stand for it."""
+    order; a missing image or number is written as one of the marks that stand for it.
+
+    A file holds up to ``FILE_SAMPLES`` successive samples, whichever tasks held them before: the number
+    of files follows from sessions and samples alone, not from the tasks."""
     rows = I.samples(spark, d)
     raw_names = {
         "": "sample_idx", "TIMESTAMP": "timestamp_ms", "TEV": "tev", "FEV": "fev", "FDUR": "fdur", "FPOGX": "fpogx",
@@ -94,7 +101,7 @@ def _recordings(spark: SparkSession, d: str) -> str:
     folder = new_folder(spark, "recordings")
     for i in range(I.N_FOLDERS):
         names = list(raw_names.items())[:: 1 if i % 2 else -1]
-        one = marked.filter(F.col("folder") == f"set_{i}")
+        one = marked.filter(F.col("folder") == f"set_{i}").repartition("session_id", B.block("sample_idx", FILE_SAMPLES))
         one.select(F.col("session_id").alias("session"), *[F.col(c).alias(n or "_c") for n, c in names]).withColumnRenamed(
             "_c", " "
         ).write.option("header", True).partitionBy("session").csv(f"{folder}/set_{i}")

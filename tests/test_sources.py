@@ -155,3 +155,31 @@ def test_configurations_and_recordings_in_parts(spark, tmp_path):
     one, many = (sorted(map(str, raw.read_samples(spark, str(tmp_path / d)).collect())) for d in ("one", "many"))
     assert one == many and len(one) == 4
     assert {tuple(r) for r in raw.session_files(spark, str(tmp_path / "many")).collect()} == {("x", "v1")}
+
+
+def test_files_of_recordings_follow_from_sessions(spark, tmp_path, monkeypatch):
+    """Samples of a session in many tasks make one file, and none is lost."""
+    from pathlib import Path
+
+    from pyspark.sql import functions as F
+
+    from fixatio.plans import source_queries as Q
+
+    n = 3 * 200
+    rows = spark.range(n).repartition(20).select(
+        (F.col("id") % 3).cast("string").alias("session_id"), F.concat(F.lit("set_"), F.col("id") % 3).alias("folder"),
+        F.floor(F.col("id") / 3).alias("sample_idx"), F.col("id").cast("double").alias("timestamp_ms"), F.lit(1.0).alias("tev"),
+        F.lit(0.0).alias("fev"), F.lit(64.0).alias("fdur"), F.lit(0.5).alias("fpogx"), F.lit(0.5).alias("fpogy"),
+        F.when(F.col("id") % 7 > 0, 0.25).alias("rx"), F.lit(0.75).alias("ry"), (F.col("id") % 2 == 0).alias("blink"),
+        F.when(F.col("id") % 5 == 0, "a, \"b\"").alias("image"), F.lit(1).alias("scene_index"),
+    )
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.option("maxPartitionBytes", 1000).parquet(str(tmp_path / "rows"))
+    monkeypatch.setattr(Q.I, "samples", lambda spark, d: rows.repartition(20))
+    monkeypatch.setattr(Q, "new_folder", lambda spark, name: str(tmp_path / name))
+    assert Q.files_inventory(spark, "any").count() == 3
+    assert len(list(Path(tmp_path / "recordings").rglob("*.csv"))) == 3
+    monkeypatch.setattr(Q, "new_folder", lambda spark, name: str(tmp_path / "again"))
+    monkeypatch.setattr(Q, "FILE_SAMPLES", 50)  # a long session in several files
+    found = Q.files_samples(spark, "any")
+    assert sorted(map(str, found.collect())) == sorted(map(str, rows.select(*found.columns).collect()))
