@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fixatio.functions import columns as C
 from fixatio.operators import blocks as B
+from fixatio.plans.stages import keep
 
 # Raw column names of a recording, as text: numbers are parsed afterwards, so that a bad
 # value costs one NULL and not the file. The unnamed first column is the row number.
@@ -48,16 +49,6 @@ def _names(header: str) -> list[str]:
     return ["_idx" if n.strip() in ("", "Unnamed: 0") else n.strip() for n in names]
 
 
-def _by_name(header: str, line: str) -> Column:
-    """The wanted fields of a line under this header, as text; a column that is missing is NULL."""
-    names = _names(header)
-    fields = F.from_csv(line, ", ".join(f"c{i} string" for i in range(len(names))))
-    return F.struct(*[
-        (fields[f"c{names.index(n)}"] if n in names else F.lit(None).cast("string")).alias(n)
-        for n in ["_idx", *RAW_COLUMNS]
-    ])
-
-
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
     """Gaze samples of all recordings under a folder, typed, without rows that have no scene.
 
@@ -72,22 +63,41 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
         .select(F.col("_metadata.file_path").alias("file"), F.rtrim("value").alias("line"))
         .filter("line <> ''")
     )
-    is_header = F.lit(True)
+    bare, is_header = F.translate("line", '"\ufeff ', ""), F.lit(True)
     for n in ("TIMESTAMP", "SCENE_INDEX"):
-        is_header = is_header & F.array_contains(F.split(F.regexp_replace("line", '["\ufeff ]', ""), ","), n)
-    of_file = lines.groupBy("file").agg(F.min(F.when(is_header, F.col("line"))).alias("header"))
+        is_header = is_header & bare.contains(n) & F.array_contains(F.split(bare, ","), n)
+    of_file = keep(lines.groupBy("file").agg(F.min(F.when(is_header, F.col("line"))).alias("header")).select(
+        "file", "header", F.url_decode(_session(F.col("file"))).alias("session_id"), F.url_decode(_folder(F.col("file"))).alias("folder")
+    ))
     # The different headers, not the files, are what the plan grows with.
     headers = [r["header"] for r in of_file.select("header").distinct().collect()]
     if None in headers:
         name = of_file.filter("header is null").first()["file"]
         raise ValueError(f"{name}: no header with TIMESTAMP and SCENE_INDEX")
-    rows = lines.filter(~is_header).join(of_file, "file")
-    fields = [F.when(F.col("header") == h, _by_name(h, "line")) for h in headers or [",".join(RAW_COLUMNS)]]
-    plain = [h for h in headers if "_idx" not in _names(h)]
-    rows = rows.select("file", F.col("header").isin(plain).alias("plain"), F.coalesce(*fields).alias("r"))
+    names = {h: _names(h) for h in headers or [",".join(RAW_COLUMNS)]}
+    # Only lines with quotes need the parser, once for each width of their headers.
+    quoted = F.col("line").contains('"')
+    cells, parsed = F.when(~quoted, F.split("line", ",")).alias("cells"), {}
+    for width in sorted({len(n) for n in names.values()}):
+        mine = quoted & F.col("header").isin([h for h, n in names.items() if len(n) == width])
+        parsed[width] = F.when(mine, F.from_csv("line", ", ".join(f"c{i} string" for i in range(width)))).alias(f"w{width}")
+    rows = lines.filter(~is_header).join(of_file, "file").select("session_id", "folder", "header", cells, *parsed.values())
+
+    def field(n: str) -> Column:
+        """The wanted field as text; a column that is missing, or a field without text, is NULL."""
+        found = [
+            F.when(F.col("header") == h, F.coalesce(F.nullif(F.get("cells", F.lit(at)), F.lit("")), F.col(f"w{len(own)}")[f"c{at}"]))
+            for h, own, at in ((h, own, own.index(n)) for h, own in names.items() if n in own)
+        ]
+        return (F.coalesce(*found) if found else F.lit(None).cast("string")).alias(n)
+
+    plain = [h for h, n in names.items() if headers and "_idx" not in n]
+    rows = rows.select(
+        "session_id", "folder", F.col("header").isin(plain).alias("plain"), F.struct(*[field(n) for n in ["_idx", *RAW_COLUMNS]]).alias("r")
+    )
     typed = rows.select(
-        F.url_decode(_session(F.col("file"))).alias("session_id"),
-        F.url_decode(_folder(F.col("file"))).alias("folder"),
+        "session_id",
+        "folder",
         F.coalesce(C.number("r._idx").cast("long"), F.lit(-1).cast("long")).alias("sample_idx"),
         C.number("r.TIMESTAMP").alias("timestamp_ms"),
         *[C.number(f"r.{n}").alias(n.lower()) for n in RAW_COLUMNS[1:8]],
