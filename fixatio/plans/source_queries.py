@@ -9,7 +9,7 @@ from fixatio.operators import blocks as B
 from fixatio.operators import prepare as P
 from fixatio.plans import inputs as I
 from fixatio.plans.registry import register
-from fixatio.plans.stages import new_folder
+from fixatio.plans.stages import keep, new_folder
 from fixatio.sources import raw
 from fixatio.sources import tables as TB
 
@@ -22,10 +22,10 @@ def _configs(spark: SparkSession, d: str) -> str:
     )
     pairs = I.schedule(spark, d)
     for side in ("left", "right"):
-        pairs = pairs.join(
-            look.select("folder", F.col("image_id").alias(f"image_{side}_id"), F.col("meta").alias(side)),
-            ["folder", f"image_{side}_id"],
-        )
+        # Images are as many as pairs: by their size in files, which packs well, they would be sent to all tasks.
+        mine = look.select("folder", F.col("image_id").alias(f"image_{side}_id"), F.col("meta").alias(side))
+        pairs = pairs.join(mine.hint("merge"), ["folder", f"image_{side}_id"])
+    pairs = keep(pairs)  # numbering reads them twice
     # Scenes are the odd numbers; a set's pairs are numbered in blocks of them.
     placed = B.number_rows(pairs, ["folder"], ["scene_index"], B.block("scene_index", 4096), "_no")
     line = F.to_json(F.struct(

@@ -183,3 +183,25 @@ def test_files_of_recordings_follow_from_sessions(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(Q, "FILE_SAMPLES", 50)  # a long session in several files
     found = Q.files_samples(spark, "any")
     assert sorted(map(str, found.collect())) == sorted(map(str, rows.select(*found.columns).collect()))
+
+
+def test_images_are_not_sent_to_all_tasks(spark, tmp_path, monkeypatch):
+    """The pairs of a configuration meet their images by key, whatever the size of the files."""
+    from fixatio.plans import source_queries as Q
+
+    meta = [(f"i{k}", "set_0", "neutral", ["a"], f"img://{k}") for k in range(40)]
+    images = spark.createDataFrame(meta, "image_id string, folder string, category string, labels array<string>, url string")
+    pairs = spark.createDataFrame([("set_0", 2 * k + 1, f"i{k}", f"i{39 - k}") for k in range(20)],
+                                  "folder string, scene_index int, image_left_id string, image_right_id string")
+    images.write.parquet(str(tmp_path / "images"))
+    images = spark.read.parquet(str(tmp_path / "images"))  # of known size
+    plans, store, number = [], getattr(Q, "keep", lambda df: df), Q.B.number_rows
+    seen = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(Q.I, "stimuli", lambda spark, d: images)
+    monkeypatch.setattr(Q.I, "schedule", lambda spark, d: pairs)
+    monkeypatch.setattr(Q, "new_folder", lambda spark, name: str(tmp_path / name))
+    monkeypatch.setattr(Q, "keep", lambda df: (seen(df), store(df))[1], raising=False)
+    monkeypatch.setattr(Q.B, "number_rows", lambda df, *a: (seen(df), number(df, *a))[1])
+    found = sorted(tuple(r) for r in Q.files_schedule(spark, "any").collect())
+    assert found == sorted(("set_0", 2 * k + 1, f"i{k}", f"i{39 - k}") for k in range(20))
+    assert any("Join" in p for p in plans) and not any("Broadcast" in p for p in plans)
