@@ -115,3 +115,46 @@ def test_awkward_rows(spark):
     alone = same.filter("fold = 0")
     assert boosting.HistogramBoosting("binary", 3, 2, 0.1).cross_predict(alone, 2).collect() == []
     assert boosting.HistogramBoosting("binary", 3, 2, 0.1).cross_predict(same.limit(0), 2).collect() == []
+
+
+def test_sums_by_feature_equal_a_loop_and_hold_no_cell_for_each_row_and_feature():
+    import tracemalloc
+
+    import numpy as np
+
+    from fixatio.operators import boosting as B
+
+    rng = np.random.default_rng(5)
+    n, classes, nodes, features, n_bins = 4000, 3, 4, 50, 8
+    g, h = rng.integers(-9, 9, (n, classes)).astype(float), rng.integers(0, 9, (n, classes)).astype(float)
+    node, bins = rng.integers(0, nodes, (n, classes)), rng.integers(0, n_bins, (n, features))
+    total = np.ones((classes, 2, nodes, features, n_bins))
+    tracemalloc.start()
+    B.add_sums(total, g, h, node, bins, n_bins)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    expected = np.ones_like(total)
+    for c in range(classes):
+        for f in range(features):
+            np.add.at(expected[c, 0, :, f], (node[:, c], bins[:, f]), g[:, c])
+            np.add.at(expected[c, 1, :, f], (node[:, c], bins[:, f]), h[:, c])
+    assert (total == expected).all()
+    assert peak < 1.5 * bins.nbytes  # before, a cell, its weight and its place for each row and feature
+
+
+def test_walk_of_several_classes():
+    import numpy as np
+
+    from fixatio.operators import boosting as B
+
+    rng = np.random.default_rng(6)
+    trees = B.Trees(3, 3)
+    trees.feature[:], trees.bin[:] = rng.integers(0, 5, trees.feature.shape), rng.integers(0, 9, trees.bin.shape)
+    bins = rng.integers(0, 9, (40, 5))
+    found = trees.walk(bins, 3)
+    for r in range(40):
+        for c in range(3):
+            at = 0
+            for _ in range(3):
+                at = 2 * at + 1 + int(bins[r, trees.feature[c, at]] > trees.bin[c, at])
+            assert found[r, c] == at - 7
