@@ -46,6 +46,31 @@ def test_splits_are_the_best_of_all_cuts(monkeypatch, cells):
                 assert got[1][v] == c
 
 
+@pytest.mark.parametrize("classes", [1, 2, 5])
+def test_counting_and_sorting_find_the_same_tree(monkeypatch, classes):
+    """Nodes are searched by counting from COUNTED rows on, so that large ones are not sorted at every level."""
+    rng = np.random.default_rng(8)
+    bins = np.c_[rng.integers(0, 256, (400, 3)), rng.integers(0, 2, (400, 2))].astype(np.uint8)
+    y = rng.integers(0, 7, 400) if classes == 1 else rng.integers(0, classes, 400)
+    target = y[:, None].astype(float) if classes == 1 else np.eye(classes)[y]
+    trees = []
+    for counted, cells in ((1, 1 << 16), (30, 1 << 16), (10**6, 1 << 16), (10**6, 1)):
+        monkeypatch.setattr(FO, "COUNTED", counted)
+        monkeypatch.setattr(FO, "CELLS", cells)
+        trees.append(FO.grow(bins, target, np.random.default_rng([1, 2]), 5 if classes == 1 else 2, 30))
+    assert len(trees[0]["feature"]) > 100
+    for tree in trees[1:]:
+        for name in ("feature", "cut", "left", "value"):
+            assert (tree[name] == trees[0][name]).all(), name
+        assert tree["gain"] == pytest.approx(trees[0]["gain"])
+
+
+@pytest.mark.parametrize("counted", [1, 20])
+def test_counted_splits_are_the_best_of_all_cuts(monkeypatch, counted):
+    monkeypatch.setattr(FO, "COUNTED", counted)
+    test_splits_are_the_best_of_all_cuts(monkeypatch, 1 << 16)
+
+
 def test_a_tree_is_pure_and_covers_its_rows():
     rng = np.random.default_rng(5)
     bins = rng.integers(0, 256, (300, 4)).astype(np.uint8)
