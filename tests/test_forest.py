@@ -84,6 +84,17 @@ def test_a_tree_is_pure_and_covers_its_rows():
     assert stump["feature"].tolist() == [-1]
 
 
+def test_leaves_are_kept_as_the_entries_that_are_not_0():
+    rng = np.random.default_rng(9)
+    bins, y = rng.integers(0, 256, (300, 4)).astype(np.uint8), rng.integers(0, 10, 300)
+    for depth in (30, 2):
+        tree = FO.grow(bins, np.eye(10)[y], np.random.default_rng([1, 2]), 2, depth)
+        kept, leaf = FO.leaf_entries(tree), tree["feature"] < 0
+        assert (FO.leaf_values({**tree, **kept}, 10) == tree["value"][leaf]).all()
+        if depth == 30:  # pure leaves: a number each, not ten for each node
+            assert len(kept["share"]) == leaf.sum() < tree["value"].size / 15
+
+
 @pytest.fixture(scope="module")
 def rows(spark):
     rng = np.random.default_rng(6)
@@ -129,3 +140,12 @@ def test_regression_and_edges(spark, rows):
     assert {(r["prediction"], r["score"]) for r in FO.BlockForest("class", 3, 30, 42, "sqrt").cross_predict(one, 3).collect()} == {(1.0, None)}
     assert FO.BlockForest("class", 3, 30, 42, "sqrt").cross_predict(rows.limit(0), 3).count() == 0
     assert FO.BlockForest("class", 3, 30, 42, "sqrt").cross_predict(rows.withColumn("fold", F.lit(0)), 3).count() == 0
+
+
+@pytest.mark.parametrize("task", ["class", "regression"])
+def test_trees_go_once_to_a_part_of_a_fold(spark, rows, monkeypatch, task):
+    forest = FO.BlockForest(task, 12, 30, 42, "all")
+    first = by_id(forest.cross_predict(rows, 3))
+    assert forest._parts(FO.PART_ROWS) == 1 and forest._parts(FO.PART_ROWS + 1) == 2
+    monkeypatch.setattr(FO, "PART_ROWS", 7)  # 12 parts of 80 rows each
+    assert by_id(forest.cross_predict(rows, 3)) == first
