@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -71,6 +72,35 @@ def test_counted_splits_are_the_best_of_all_cuts(monkeypatch, counted):
     test_splits_are_the_best_of_all_cuts(monkeypatch, 1 << 16)
 
 
+@pytest.mark.parametrize("counted", [1, 20, 10**6])
+@pytest.mark.parametrize("classes", [2, 5, 40])
+def test_numbered_classes_split_as_0_1_targets_do(monkeypatch, classes, counted):
+    """A row is added to its own class only, not to each; some of the rows take part, in any order."""
+    monkeypatch.setattr(FO, "COUNTED", counted)
+    rng = np.random.default_rng(11)
+    for cells in (1, 300, 1 << 16):
+        monkeypatch.setattr(FO, "CELLS", cells)
+        bins, rows = rng.integers(0, rng.choice([2, 256]), (300, 6)).astype(np.uint8), rng.permutation(300)[:200]
+        label, weight, node = rng.integers(0, classes, 200), rng.integers(1, 40, 200).astype(float), np.r_[np.arange(9), rng.integers(0, 9, 191)]
+        weighted = np.eye(classes)[label] * weight[:, None]
+        w, s = np.bincount(node, weight), np.stack([np.bincount(node, c) for c in weighted.T], 1)
+        picked = np.stack([rng.permutation(6)[:3] for _ in range(9)])
+        plain = FO.level_splits(bins[rows], weight, weighted, node, w, s, picked)
+        for got, wanted in zip(FO.level_splits(bins, weight, label, node, w, s, picked, rows), plain):
+            assert (got == wanted).all()
+        assert (plain[0] >= 0).any()
+
+
+def test_growing_copies_only_the_features_that_are_tried():
+    rng = np.random.default_rng(12)
+    bins, y = rng.integers(0, 256, (3000, 1500)).astype(np.uint8), rng.integers(0, 2, 3000)
+    tracemalloc.start()
+    tree = FO.grow(bins, np.eye(2)[y], np.random.default_rng([1, 2]), 3, 30)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(tree["feature"]) > 300 and peak < 2 * bins.nbytes  # the rows drawn, and what a level needs
+
+
 def test_a_tree_is_pure_and_covers_its_rows():
     rng = np.random.default_rng(5)
     bins = rng.integers(0, 256, (300, 4)).astype(np.uint8)
