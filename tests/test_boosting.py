@@ -158,3 +158,41 @@ def test_walk_of_several_classes():
             for _ in range(3):
                 at = 2 * at + 1 + int(bins[r, trees.feature[c, at]] > trees.bin[c, at])
             assert found[r, c] == at - 7
+
+
+@pytest.mark.parametrize("task", ["binary", "multiclass", "regression"])
+def test_rows_in_parts_equal_plain_boosting(spark, monkeypatch, data, task):
+    """Rows that do not fit into a task: a job for each level, sums of many parts."""
+    monkeypatch.setattr(boosting, "TASK_BYTES", 0)
+    test_equals_plain_boosting(spark, monkeypatch, data, task, 30, 3, 2)
+
+
+def test_a_model_whose_rows_fit_into_a_task_is_not_a_job_for_each_level(spark, monkeypatch, data):
+    x, raw, fold = data
+    rows = spark.createDataFrame([(i, Vectors.dense(v), float(r > 2), int(f)) for i, (v, r, f) in enumerate(zip(x, raw, fold))], ["id", "features", "label", "fold"])
+    levels, level = [], boosting.HistogramBoosting._level
+    monkeypatch.setattr(boosting.HistogramBoosting, "_level", lambda *a: levels.append(1) or level(*a))
+    in_tasks = {r.id: (r.prediction, r.score) for r in boosting.HistogramBoosting("binary", 4, 3, 0.3).cross_predict(rows, 3).collect()}
+    assert not levels
+    monkeypatch.setattr(boosting, "TASK_BYTES", 0)
+    in_parts = {r.id: (r.prediction, r.score) for r in boosting.HistogramBoosting("binary", 4, 3, 0.3).cross_predict(rows, 3).collect()}
+    assert len(levels) == 12 and set(in_tasks) == set(in_parts)
+    for i, (prediction, score) in in_parts.items():
+        assert in_tasks[i] == (prediction, pytest.approx(score, rel=1e-12))
+
+
+@pytest.mark.parametrize("features, n_bins, rows", [(1, 4, 500), (5, 8, 3000), (6, 8, 3000), (5, 32, 100)])
+def test_sums_of_pairs_of_features_equal_a_loop(monkeypatch, features, n_bins, rows):
+    """Some of the rows, in several chunks; few rows are added up a feature at a time."""
+    monkeypatch.setattr(boosting, "CHUNK", 700)
+    rng = np.random.default_rng(7)
+    bins, node = rng.integers(0, n_bins, (rows, features)).astype(np.uint8), rng.integers(0, 3, rows)
+    g, h, some = rng.integers(-9, 9, rows).astype(float), rng.integers(0, 9, rows).astype(float), np.flatnonzero(rng.random(rows) < 0.7)
+    columns, width = boosting.bin_columns(bins, n_bins)
+    assert width == (n_bins if rows < 4 * n_bins**2 else n_bins**2)
+    got = boosting.feature_sums(boosting.column_sums(columns, width, g[some], h[some], node[some], 3, some), features, n_bins)
+    expected = np.zeros((2, 3, features, n_bins))
+    for f in range(features):
+        np.add.at(expected[0, :, f], (node[some], bins[some, f]), g[some])
+        np.add.at(expected[1, :, f], (node[some], bins[some, f]), h[some])
+    assert (got == expected).all()
